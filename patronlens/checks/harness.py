@@ -38,6 +38,10 @@ def compare(frame: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str |
     theirs = sorted(relation.columns)
     if ours != theirs:
         return f"columns differ: {ours} vs {theirs}"
+    loose = [f"{c} {t}" for c, t in zip(relation.columns, relation.types) if str(t) not in ("BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN")]
+    loose += [f"{c} {t}" for c, t in frame.dtypes if t not in ("bigint", "double", "string", "boolean")]
+    if loose:
+        return f"column types: {loose}"
     left = Counter(tuple(_plain(row[c]) for c in ours) for row in frame.collect())
     order = [relation.columns.index(c) for c in ours]
     right = Counter(tuple(_plain(row[i]) for i in order) for row in relation.fetchall())

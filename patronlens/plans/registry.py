@@ -33,6 +33,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Builder], Builder]:
 def load_all() -> dict[str, Query]:
     from patronlens.plans import (  # noqa: F401
         profile_queries,
+        source_queries,
+        report_queries,
     )
 
     return QUERIES
