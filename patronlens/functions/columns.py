@@ -106,3 +106,12 @@ def numeric_text(text: Column) -> Column:
 def compact_labels(*labels: Column) -> Column:
     """Array of the labels whose condition held, in order."""
     return F.array_compact(F.array(*labels))
+
+
+def money_sum(value: Column) -> Column:
+    """Sum of cent amounts without rounding drift, independent of the row order."""
+    return F.sum(value.cast("decimal(18,2)")).cast("double")
+
+
+def money_avg(value: Column) -> Column:
+    return F.try_divide(money_sum(value), F.count(value).cast("double"))

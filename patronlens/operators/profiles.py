@@ -2,11 +2,11 @@
 
 Shape of the job:
 
-* `facet_rollup` reads the events once and groups them by (customer, facet,
-  value), where the facets are 'all', weekday, hour, device and the category
-  levels. Counts, sums and extremes combine on the map side, so a customer that
-  owns a third of all events only ships one partial row per facet and task.
-* a second group by customer turns the facet rows into totals and modes.
+* `activity_cells` reads the events once and combines them into small cells
+  before anything is shuffled, so a customer that owns a third of all events
+  ships a bounded number of rows per task.
+* `facet_rows` and `customer_metrics` fold the cells into totals, modes and the
+  top category; both reuse the placement by customer.
 * `interval_stats` handles gaps between purchases without ever placing all
   purchases of a customer in one task (see there).
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.columns import (
-    MICROS_PER_DAY, clamp, mobile_exact, non_empty, ratio, whole_days,
+    MICROS_PER_DAY, clamp, mobile_exact, money_avg, non_empty, ratio, whole_days,
 )
 from patronlens.functions.picks import pick_first, ranked_first
 
@@ -30,62 +30,81 @@ def amount(events: DataFrame) -> Column:
     return F.coalesce(F.nullif(events["total_amount"], F.lit(0)), events["order_total"])
 
 
-def _facets(wanted: tuple[str, ...]) -> Column:
-    kind = F.struct
-    rows = []
-    if "all" in wanted:
-        rows.append(kind(F.lit("all").alias("facet"), F.lit(0).alias("level"), F.lit("").alias("value")))
-    if "time" in wanted:
-        rows.append(kind(F.lit("weekday").alias("facet"), F.lit(0).alias("level"), F.weekday("ts").cast("string").alias("value")))
-        rows.append(kind(F.lit("hour").alias("facet"), F.lit(0).alias("level"), F.hour("ts").cast("string").alias("value")))
-    if "device" in wanted:
-        rows.append(kind(F.lit("device").alias("facet"), F.lit(0).alias("level"), non_empty(F.col("device_type")).alias("value")))
-    if "category" in wanted:
-        top = F.coalesce(non_empty(F.col("category_level_1")), non_empty(F.col("product_category")))
-        levels = (top, non_empty(F.col("category_level_2")), non_empty(F.col("category_level_3")))
-        for i, name in enumerate(levels, start=1):
-            rows.append(kind(F.lit("category").alias("facet"), F.lit(i).alias("level"), name.alias("value")))
-    return F.array(*rows)
-
-
-def facet_rollup(events: DataFrame, wanted: tuple[str, ...] = ("all", "time", "device", "category")) -> DataFrame:
-    """Additive measures per (customer, facet, level, value) in one pass."""
+def activity_cells(events: DataFrame, clock: bool = True, categories: bool = True) -> DataFrame:
+    """Additive measures per customer and cell, from one scan of the events.
+
+    A cell is either (weekday, hour, device) or a category path, so an event adds
+    to at most two cells. Equal cells combine before the shuffle, and a customer's
+    cells are bounded by 168 device-hours plus the catalogue, whatever the number
+    of events. The cells are then placed by customer: every later grouping by
+    customer, or by customer and more, finds them there and shuffles nothing.
+    """
     kind = F.col("event_type")
-    viewed = kind.isin(*PAGE_VIEWS)
-    weight = (
-        F.when(viewed, 1).when(kind == "add_to_cart", 2).when(kind.isin(*CATEGORY_PURCHASES), 5).otherwise(0)
-    )
-    flat = events.select(
-        "customer_id", "ts", "event_type", amount(events).alias("amount"),
-        non_empty(F.col("device_type")).alias("device"), F.explode(_facets(wanted)).alias("f"),
-    ).where(F.col("f.value").isNotNull())
-    bought = kind == "purchase"
-    measures = [F.count("*").alias("n"), F.min("ts").alias("first_ts")]
-    if "all" in wanted:
+    viewed, bought, taken = kind.isin(*PAGE_VIEWS), kind == "purchase", kind.isin(*CATEGORY_PURCHASES)
+    top = F.coalesce(non_empty(F.col("category_level_1")), non_empty(F.col("product_category")))
+    path = (top, non_empty(F.col("category_level_2")), non_empty(F.col("category_level_3")))
+    blank = F.lit(None).cast("string")
+    shapes = []
+    if clock:
+        shapes.append(F.struct(
+            F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour"), non_empty(F.col("device_type")).alias("device"),
+            *[blank.alias(f"l{i}") for i in (1, 2, 3)]))
+    if categories:
+        whole = F.lit(None).cast("int")
+        shapes.append(F.when(F.coalesce(*path).isNotNull(), F.struct(
+            whole.alias("weekday"), whole.alias("hour"), blank.alias("device"),
+            *[c.alias(f"l{i}") for i, c in enumerate(path, start=1)])))
+    flat = events.select("customer_id", "ts", "event_type", amount(events).alias("amount"), F.explode(F.array(*shapes)).alias("c"))
+    measures = [F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.count_if(viewed).alias("views")]
+    if clock:
         measures += [
-            F.max("ts").alias("last_ts"),
-            F.count_if(bought).alias("purchases"),
+            F.max("ts").alias("last_ts"), F.count_if(bought).alias("purchases"),
             F.sum(F.when(bought, F.col("amount"))).alias("revenue"),
-            F.min(F.when(bought, F.col("ts"))).alias("first_purchase"),
-            F.max(F.when(bought, F.col("ts"))).alias("last_purchase"),
-            F.count_if(kind == "refund").alias("refunds"),
-            F.count_if(kind == "session_start").alias("sessions"),
-            F.count_if(kind == "view_item").alias("item_views"),
-            F.count_if(kind == "add_to_cart").alias("carts"),
-            F.count("device").alias("with_device"),
-            F.count_if(mobile_exact(F.col("device"))).alias("on_mobile"),
+            F.min(F.when(bought, F.col("ts"))).alias("first_purchase"), F.max(F.when(bought, F.col("ts"))).alias("last_purchase"),
+            F.count_if(kind == "refund").alias("refunds"), F.count_if(kind == "session_start").alias("sessions"),
+            F.count_if(kind == "view_item").alias("item_views"), F.count_if(kind == "add_to_cart").alias("carts"),
         ]
-    if "all" in wanted or "category" in wanted:
-        measures.append(F.count_if(viewed).alias("views"))
-    if "category" in wanted:
+    if categories:
+        weight = F.when(viewed, 1).when(kind == "add_to_cart", 2).when(taken, 5).otherwise(0)
         measures += [
-            F.sum(weight).alias("engagement"),
-            F.count_if(kind.isin(*CATEGORY_PURCHASES)).alias("item_purchases"),
+            F.sum(weight).alias("engagement"), F.count_if(taken).alias("item_purchases"),
             F.min(F.when(weight > 0, F.col("ts"))).alias("first_engaged"),
         ]
-    return flat.groupBy(
-        "customer_id", F.col("f.facet").alias("facet"), F.col("f.level").alias("level"), F.col("f.value").alias("value")
-    ).agg(*measures)
+    cells = flat.where(F.col("c").isNotNull()).groupBy(
+        "customer_id", *[F.col(f"c.{k}").alias(k) for k in ("weekday", "hour", "device", "l1", "l2", "l3")]).agg(*measures)
+    return cells.repartition("customer_id")
+
+
+def facet_rows(cells: DataFrame) -> DataFrame:
+    """Cells folded into one row per (customer, facet, level, value).
+
+    Facets are 'all', 'weekday', 'hour', 'device' and 'category' with its level.
+    """
+    def facet(name: str, value: Column, level: int = 0) -> Column:
+        return F.struct(F.lit(name).alias("facet"), F.lit(level).alias("level"), value.alias("value"))
+
+    timed = F.col("weekday").isNotNull()
+    facets = []
+    if "purchases" in cells.columns:
+        facets += [
+            facet("all", F.when(timed, "")), facet("weekday", F.col("weekday").cast("string")),
+            facet("hour", F.col("hour").cast("string")), facet("device", F.col("device")),
+        ]
+    if "engagement" in cells.columns:
+        facets += [facet("category", F.col(f"l{i}"), i) for i in (1, 2, 3)]
+    earliest, latest = ("first_ts", "first_purchase", "first_engaged"), ("last_ts", "last_purchase")
+    keys = ("customer_id", "weekday", "hour", "device", "l1", "l2", "l3")
+    folds = [
+        (F.min if m in earliest else F.max if m in latest else F.sum)(m).alias(m) for m in cells.columns if m not in keys
+    ]
+    if "purchases" in cells.columns:
+        folds += [
+            F.sum(F.when(F.col("device").isNotNull(), F.col("n"))).alias("with_device"),
+            F.sum(F.when(mobile_exact(F.col("device")), F.col("n")).otherwise(0)).alias("on_mobile"),
+        ]
+    spread = cells.withColumn("f", F.explode(F.array(*facets))).where(F.col("f.value").isNotNull())
+    return spread.groupBy(
+        "customer_id", F.col("f.facet").alias("facet"), F.col("f.level").alias("level"), F.col("f.value").alias("value")).agg(*folds)
 
 
 def _mode(facet: str) -> Column:
@@ -214,14 +233,14 @@ def purchase_columns(metrics: DataFrame, reference: Column) -> DataFrame:
     """Order value, refund rate, recency and monthly purchase frequency."""
     n = F.col("total_purchases")
     span = whole_days(F.col("last_purchase"), F.col("first_purchase"))
-    return (
-        metrics.withColumn("avg_order_value", ratio(F.col("total_revenue"), n))
-        .withColumn("raw_refund_rate", ratio(F.col("total_refunds"), n))
-        .withColumn("refund_rate", F.least(F.col("raw_refund_rate"), F.lit(1.0)))
-        .withColumn("days_since_last_purchase", whole_days(reference, F.col("last_purchase")))
-        .withColumn("purchase_frequency_per_month",
-                    F.when(n == 0, 0.0).when(span > 0, n / (span / 30.0)).otherwise(n.cast("double")))
-    )
+    refunds = ratio(F.col("total_refunds"), n)
+    return metrics.withColumns({
+        "avg_order_value": ratio(F.col("total_revenue"), n),
+        "raw_refund_rate": refunds,
+        "refund_rate": F.least(refunds, F.lit(1.0)),
+        "days_since_last_purchase": whole_days(reference, F.col("last_purchase")),
+        "purchase_frequency_per_month": F.when(n == 0, 0.0).when(span > 0, n / (span / 30.0)).otherwise(n.cast("double")),
+    })
 
 
 def session_columns(metrics: DataFrame) -> DataFrame:
@@ -242,10 +261,11 @@ def value_columns(metrics: DataFrame, reference: Column, years: int = 3, rate: f
     rare = F.when(freq <= 1.0, F.greatest(F.lit(0.0), 1 - freq)).otherwise(0.0)
     idle = F.when(F.col("total_sessions") == 0, 1.0).otherwise(0.0)
     risk = 0.4 * recency + 0.25 * rare + 0.2 * F.col("cart_abandonment_rate") + 0.15 * idle
-    return (
-        metrics.withColumn("clv_estimate", F.when((F.col("total_purchases") == 0) | (tenure <= 0), 0.0).otherwise(worth))
-        .withColumn("churn_risk_score", clamp(risk))
-    )
+    return metrics.withColumns({
+        "clv_estimate": F.when((F.col("total_purchases") == 0) | (tenure <= 0), 0.0).otherwise(worth),
+        "churn_risk_score": clamp(risk),
+        "tenure_days": whole_days(F.col("last_seen"), F.col("first_seen")),
+    })
 
 
 def build_profiles(
@@ -257,7 +277,7 @@ def build_profiles(
     `events` must already carry canonical ids when a merge map is given. The
     joined inputs are all grouped by customer, so Spark keeps one partitioning.
     """
-    base = customer_metrics(facet_rollup(events)).where(F.col("total_events") >= min_events)
+    base = customer_metrics(facet_rows(activity_cells(events))).where(F.col("total_events") >= min_events)
     wide = value_columns(session_columns(purchase_columns(base, reference)), reference, projection_years, discount_rate)
     wide = wide.join(interval_stats(events), "customer_id", "left").withColumn("behavior_type", behavior_type())
     if merge_map is not None:
@@ -265,7 +285,7 @@ def build_profiles(
 
         wide = wide.join(merged_id_counts(merge_map), "customer_id", "left").withColumn(
             "merged_ids", F.coalesce("merged_ids", F.lit(0)))
-    return wide.withColumn("tenure_days", whole_days(F.col("last_seen"), F.col("first_seen")))
+    return wide
 
 
 def category_affinity(events: DataFrame) -> DataFrame:
@@ -274,7 +294,7 @@ def category_affinity(events: DataFrame) -> DataFrame:
     The window runs over already grouped rows: its partitions are bounded by the
     number of categories of a level, never by the number of events.
     """
-    grouped = facet_rollup(events, ("category",)).where(F.col("engagement") > 0)
+    grouped = facet_rows(activity_cells(events, clock=False)).where(F.col("engagement") > 0)
     level = Window.partitionBy("customer_id", "level")
     return grouped.select(
         "customer_id", "level", F.col("value").alias("category"), "engagement",
@@ -305,12 +325,12 @@ def population_summary(profiles: DataFrame) -> DataFrame:
     return profiles.agg(
         F.count("*").alias("n_customers"),
         F.sum("total_revenue").cast("double").alias("total_revenue"),
-        F.avg(revenue).alias("avg_revenue_per_customer"),
+        money_avg(revenue).alias("avg_revenue_per_customer"),
         F.sum("total_purchases").alias("total_purchases"),
         F.avg("total_purchases").alias("avg_purchases_per_customer"),
         F.sum("total_sessions").alias("total_sessions"),
         F.avg("total_sessions").alias("avg_sessions_per_customer"),
-        F.avg("clv_estimate").alias("avg_clv"),
+        money_avg(F.col("clv_estimate")).alias("avg_clv"),
         F.avg("churn_risk_score").alias("avg_churn_risk"),
         F.avg((F.col("total_purchases") > 0).cast("double")).alias("pct_with_purchases"),
         F.avg("cart_abandonment_rate").alias("avg_cart_abandonment_rate"),

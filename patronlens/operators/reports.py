@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronlens.functions.columns import ratio
+from patronlens.functions.columns import money_avg, money_sum, ratio
 
 # The behaviours of the flow chart and their column.
 FLOW_NODES = (("regular", 1), ("irregular", 1), ("long_cycle", 1), ("new", 0), ("one_time", 1))
@@ -111,8 +111,8 @@ def champion_summary(chosen: DataFrame) -> DataFrame:
     return chosen.agg(
         F.count("*").alias("champions"), F.count_if("is_fragile").alias("fragile"),
         F.coalesce(F.avg(F.col("is_fragile").cast("double")), F.lit(0.0)).alias("fragile_share"),
-        F.sum("revenue").alias("revenue"),
-        F.coalesce(F.sum(F.when(F.col("is_fragile"), F.col("revenue"))), F.lit(0.0)).alias("revenue_at_risk"),
+        money_sum(F.col("revenue")).alias("revenue"),
+        F.coalesce(money_sum(F.when(F.col("is_fragile"), F.col("revenue"))), F.lit(0.0)).alias("revenue_at_risk"),
         F.count_if(f < 0.3).alias("low"), F.count_if((f >= 0.3) & (f < 0.6)).alias("medium"), F.count_if(f >= 0.6).alias("high"),
         F.count_if(F.col("days_since_purchase") > 30).alias("inactive_over_30_days"),
         F.count_if(F.col("churn_risk") > 0.5).alias("churn_over_half"),
@@ -138,7 +138,7 @@ def new_customer_quality(profiles: DataFrame) -> DataFrame:
         F.count_if(v < F.col("cut.q25")).alias("low_quality"),
         F.count_if((v >= F.col("cut.q25")) & (v < F.col("cut.q75"))).alias("medium_quality"),
         F.count_if(v >= F.col("cut.q75")).alias("high_quality"),
-        F.avg(v).alias("avg_lifetime_value"),
+        money_avg(v).alias("avg_lifetime_value"),
     )
 
 
@@ -156,7 +156,7 @@ def churn_overview(profiles: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     return profiles.agg(
         F.count_if(risky).alias("at_risk"), F.avg(risky.cast("double")).alias("at_risk_share"),
-        F.coalesce(F.sum(F.when(risky, F.col("clv_estimate"))), F.lit(0.0)).alias("value_at_risk"),
+        F.coalesce(money_sum(F.when(risky, F.col("clv_estimate"))), F.lit(0.0)).alias("value_at_risk"),
         F.count_if(F.col("days_since_last_purchase").isNull()).alias("never_purchased"),
         *pair("recency_risk", days, lambda a: F.least(a / 60.0, F.lit(1.0))),
         *pair("churn_score", F.col("churn_risk_score"), lambda a: a),
@@ -178,7 +178,7 @@ def category_opportunities(affinity: DataFrame, profiles: DataFrame) -> DataFram
     buys, looks = F.col("purchase_count") > 0, (F.col("purchase_count") == 0) & (F.col("engagement_score") > 0.3)
     grouped = joined.groupBy("category").agg(
         F.count_if(buys).alias("buyers"), F.count_if(looks).alias("lookalikes"),
-        F.coalesce(F.sum(F.when(buys, F.col("clv_estimate"))), F.lit(0.0)).alias("value"),
+        F.coalesce(money_sum(F.when(buys, F.col("clv_estimate"))), F.lit(0.0)).alias("value"),
         F.coalesce(F.avg(F.when(looks, F.col("engagement_score"))), F.lit(0.0)).alias("avg_similarity"))
     average = ratio(F.col("value"), F.col("buyers"))
     return grouped.withColumn("buyer_avg_clv", average).withColumn(

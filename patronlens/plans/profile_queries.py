@@ -229,10 +229,10 @@ def trailing_window_customers(spark, folder):
 
 _SUMMARY_SQL = """
 SELECT count(*) AS n_customers, round(CAST(sum(total_revenue) AS DOUBLE), 6) AS total_revenue,
-  round(avg(CAST(total_revenue AS DOUBLE)), 6) AS avg_revenue_per_customer,
+  round(CAST(sum(total_revenue) AS DOUBLE) / count(*), 6) AS avg_revenue_per_customer,
   CAST(sum(total_purchases) AS BIGINT) AS total_purchases, round(avg(total_purchases), 6) AS avg_purchases_per_customer,
   CAST(sum(total_sessions) AS BIGINT) AS total_sessions, round(avg(total_sessions), 6) AS avg_sessions_per_customer,
-  round(avg(clv_estimate), 6) AS avg_clv, round(avg(churn_risk_score), 6) AS avg_churn_risk,
+  round(CAST(sum(CAST(clv_estimate AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS avg_clv, round(avg(churn_risk_score), 6) AS avg_churn_risk,
   round(avg(CASE WHEN total_purchases > 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_with_purchases,
   round(avg(cart_abandonment_rate), 6) AS avg_cart_abandonment_rate FROM profiles"""
 

@@ -226,7 +226,7 @@ def champion_fragility(spark, folder):
 
 @query("champion_summary", with_(profiles_sql("shop"), _CHAMPIONS, select="""
 SELECT count(*) AS champions, count(*) FILTER (WHERE is_fragile) AS fragile, round(avg(CASE WHEN is_fragile THEN 1.0 ELSE 0.0 END), 6) AS fragile_share,
-  round(sum(revenue), 6) AS revenue, round(coalesce(sum(revenue) FILTER (WHERE is_fragile), 0), 6) AS revenue_at_risk,
+  round(CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE), 6) AS revenue, round(coalesce(CAST(sum(CAST(revenue AS DECIMAL(18,2))) FILTER (WHERE is_fragile) AS DOUBLE), 0), 6) AS revenue_at_risk,
   count(*) FILTER (WHERE fragility_score < 0.3) AS low, count(*) FILTER (WHERE fragility_score >= 0.3 AND fragility_score < 0.6) AS medium,
   count(*) FILTER (WHERE fragility_score >= 0.6) AS high, count(*) FILTER (WHERE days_since_purchase > 30) AS inactive_over_30_days,
   count(*) FILTER (WHERE churn_risk > 0.5) AS churn_over_half, count(*) FILTER (WHERE never_purchased) AS never_purchased FROM champ"""))
@@ -247,7 +247,7 @@ SELECT count(*) AS customers, count(*) FILTER (WHERE total_purchases >= 2) AS se
   round(avg(CASE WHEN total_purchases >= 3 THEN 1.0 ELSE 0.0 END), 6) AS conversion_to_third,
   round(avg(CASE WHEN total_purchases = 1 THEN 1.0 ELSE 0.0 END), 6) AS churn_rate,
   count(*) FILTER (WHERE clv_estimate < q25) AS low_quality, count(*) FILTER (WHERE clv_estimate >= q25 AND clv_estimate < q75) AS medium_quality,
-  count(*) FILTER (WHERE clv_estimate >= q75) AS high_quality, round(avg(clv_estimate), 6) AS avg_lifetime_value
+  count(*) FILTER (WHERE clv_estimate >= q75) AS high_quality, round(CAST(sum(CAST(clv_estimate AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS avg_lifetime_value
 FROM profiles, (SELECT max(CASE WHEN pos = n // 4 THEN v END) AS q25, max(CASE WHEN pos = 3 * n // 4 THEN v END) AS q75
   FROM (SELECT clv_estimate AS v, row_number() OVER (ORDER BY clv_estimate) - 1 AS pos, count(*) OVER () AS n FROM profiles)) c"""))
 def new_customer_quality(spark, folder):
@@ -263,7 +263,7 @@ def lifetime_value_distribution(spark, folder):
 
 @query("churn_overview", with_(profiles_sql("shop"), select="""
 SELECT count(*) FILTER (WHERE churn_risk_score >= 0.5) AS at_risk, round(avg(CASE WHEN churn_risk_score >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS at_risk_share,
-  round(coalesce(sum(clv_estimate) FILTER (WHERE churn_risk_score >= 0.5), 0.0), 6) AS value_at_risk,
+  round(coalesce(CAST(sum(CAST(clv_estimate AS DECIMAL(18,2))) FILTER (WHERE churn_risk_score >= 0.5) AS DOUBLE), 0.0), 6) AS value_at_risk,
   count(*) FILTER (WHERE days_since_last_purchase IS NULL) AS never_purchased,
   round(least(avg(coalesce(days_since_last_purchase, 0)) / 60, 1.0), 6) AS recency_risk_all,
   round(least(avg(coalesce(days_since_last_purchase, 0)) FILTER (WHERE churn_risk_score >= 0.5) / 60, 1.0), 6) AS recency_risk_at_risk,
@@ -284,7 +284,7 @@ def at_risk_customers(spark, folder):
 _OPPORTUNITY = """
 opp0 AS (SELECT category, count(*) FILTER (WHERE purchase_count > 0) AS buyers,
   count(*) FILTER (WHERE purchase_count = 0 AND engagement_score > 0.3) AS lookalikes,
-  coalesce(sum(clv_estimate) FILTER (WHERE purchase_count > 0), 0.0) AS v,
+  coalesce(CAST(sum(CAST(clv_estimate AS DECIMAL(18,2))) FILTER (WHERE purchase_count > 0) AS DOUBLE), 0.0) AS v,
   coalesce(avg(engagement_score) FILTER (WHERE purchase_count = 0 AND engagement_score > 0.3), 0.0) AS avg_similarity
   FROM aff JOIN profiles USING (customer_id) GROUP BY 1),
 opp AS (SELECT *, coalesce(v / nullif(buyers, 0), 0.0) AS buyer_avg_clv FROM opp0)

@@ -22,6 +22,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Give an input with fewer splits than cores to all cores, by a unique key.
+
+    Inputs of many files or row groups already have more splits than cores and
+    are left as they are, so this never shuffles a large table.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def instant(text: str):
     return F.lit(text).cast("timestamp")
 
@@ -34,7 +44,8 @@ def web_events(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in (
         ("signup", "session_start"), ("view", "view_item"), ("click", "add_to_cart"),
         ("purchase", "purchase"), ("error", "refund")) for x in pair])
-    raw = table(spark, folder, "events").select(
+    log = spread(table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value", "props"), "event_id")
+    raw = log.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("customer_id"),
         kinds[F.col("event_type")].alias("event_type"),
@@ -68,7 +79,8 @@ def web_id_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with customer, order time and part attributes."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    lines = spread(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"), "l_orderkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return (
@@ -87,7 +99,7 @@ def line_kind():
 
 
 def shop_events(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey")
     money = F.col("o_totalprice").cast("decimal(18,2)")
     bare = [_null("decimal(18,2)").alias("order_total"), _null("string").alias("product_category")]
     no_category = [_null("string").alias(f"category_level_{i}") for i in (1, 2, 3)]
