@@ -35,6 +35,8 @@ def load_all() -> dict[str, Query]:
         profile_queries,
         source_queries,
         report_queries,
+        segment_queries,
+        scoring_queries,
     )
 
     return QUERIES
