@@ -8,7 +8,8 @@ from patronlens.checks.base_sql import SHOP, WEB, profiles as profiles_sql, with
 from patronlens.functions.columns import r6
 from patronlens.operators import identity, profiles
 from patronlens.plans.inputs import (
-    shop_affinity, shop_profiles, web_affinity, web_merge_map, web_profiles, web_resolved,
+    fresh_shop_affinity, fresh_shop_profiles, fresh_web_affinity, fresh_web_profiles, shop_profiles, web_affinity, web_merge_map,
+    web_profiles, web_resolved,
 )
 from patronlens.plans.registry import query
 from patronlens.sources import retail
@@ -28,7 +29,7 @@ def stamp_sql(name: str) -> str:
 SELECT behavior_type, count(*) AS customers, round(CAST(sum(total_revenue) AS DOUBLE), 6) AS revenue,
        round(avg(avg_order_value), 6) AS avg_order_value FROM profiles GROUP BY 1"""))
 def profiles_value_by_behavior(spark, folder):
-    return web_profiles(spark, folder).groupBy("behavior_type").agg(
+    return fresh_web_profiles(spark, folder).groupBy("behavior_type").agg(
         F.count("*").alias("customers"), r6(F.sum("total_revenue")).alias("revenue"),
         r6(F.avg("avg_order_value")).alias("avg_order_value"))
 
@@ -128,7 +129,7 @@ def plain_sql(columns) -> str:
         for c in columns)
 
 
-for _name, _builder, _src in (("customer_profiles_web", web_profiles, "web"), ("customer_profiles_shop", shop_profiles, "shop")):
+for _name, _builder, _src in (("customer_profiles_web", fresh_web_profiles, "web"), ("customer_profiles_shop", fresh_shop_profiles, "shop")):
     query(_name, with_(profiles_sql(_src), select=f"SELECT {plain_sql(_PROFILE_COLUMNS)} FROM profiles"))(
         lambda spark, folder, b=_builder: plain(b(spark, folder), _PROFILE_COLUMNS))
 
@@ -179,12 +180,12 @@ def _affinity_columns(frame):
 
 @query("category_affinity_web", with_(profiles_sql("web"), select=_AFF_SQL))
 def category_affinity_web(spark, folder):
-    return _affinity_columns(web_affinity(spark, folder))
+    return _affinity_columns(fresh_web_affinity(spark, folder))
 
 
 @query("category_affinity_shop", with_(profiles_sql("shop"), select=_AFF_SQL))
 def category_affinity_shop(spark, folder):
-    return _affinity_columns(shop_affinity(spark, folder))
+    return _affinity_columns(fresh_shop_affinity(spark, folder))
 
 
 @query("affinity_ranking", with_(profiles_sql("web"), select="""

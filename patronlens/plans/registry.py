@@ -37,6 +37,7 @@ def load_all() -> dict[str, Query]:
         report_queries,
         segment_queries,
         scoring_queries,
+        whitespace_queries,
     )
 
     return QUERIES
