@@ -38,6 +38,8 @@ def load_all() -> dict[str, Query]:
         segment_queries,
         scoring_queries,
         whitespace_queries,
+        discovery_queries,
+        clv_queries,
     )
 
     return QUERIES

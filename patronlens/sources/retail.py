@@ -143,7 +143,7 @@ def shop_item_events(spark: SparkSession, folder: str) -> DataFrame:
     return order_lines(spark, folder).select(
         F.concat_ws("_", F.lit("l"), F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("event_id"),
         F.col("o_custkey").cast("string").alias("customer_id"),
-        line_kind().alias("event_type"),
+        F.when((line_kind() == "purchase_item") & (F.col("l_linestatus") == "O"), "purchase").otherwise(line_kind()).alias("event_type"),
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         attributes.alias("attributes"),
     )
