@@ -67,29 +67,34 @@ def first_seen_cohorts(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy(F.date_format("first_seen", "yyyy-MM").alias("cohort"), "behavior_type").agg(F.count("*").alias("customers"))
 
 
-def order_statistics(profiles: DataFrame, column: str, fractions: dict[str, tuple[int, int]]) -> DataFrame:
-    """Value at 0-based position floor(a*n/b) of the sorted column, exactly, without a global sort.
+def order_statistics(frame: DataFrame, column: str, fractions: dict[str, tuple[int, int]], accuracy: int = 20_000) -> DataFrame:
+    """Value at 0-based position floor(a*n/b) of the sorted column, exactly, as one row.
 
-    Equal values are counted first; the running total over the distinct values
-    needs one ordered pass, done per range and offset by the totals of the
-    ranges before it.
+    A quantile sketch with a guaranteed rank error brackets every position first.
+    A second pass folds all values outside the bracket into one count on either
+    side, so only the small share of distinct values inside it is ever ordered.
     """
-    counts = profiles.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    low, high = counts.agg(F.min("v").cast("double")).scalar(), counts.agg(F.max("v").cast("double")).scalar()
-    # 1024 equal-width ranges; each is ordered on its own
-    width = F.greatest(high - low, F.lit(1e-12))
-    binned = counts.withColumn("bin", F.least(F.floor((F.col("v").cast("double") - low) / width * 1024), F.lit(1023)).cast("int"))
-    bins = binned.groupBy("bin").agg(F.sum("n").alias("bin_n"))
-    before = bins.select("bin", (F.sum("bin_n").over(Window.orderBy("bin")) - F.col("bin_n")).alias("offset"))
-    inside = Window.partitionBy("bin").orderBy("v")
-    ranked = binned.join(before, "bin").withColumn("upto", F.col("offset") + F.sum("n").over(inside)).withColumn(
-        "since", F.col("upto") - F.col("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    picks = [
-        F.max(F.when((F.col("since") <= F.floor(total * a / b)) & (F.col("upto") > F.floor(total * a / b)), F.col("v"))).alias(name)
-        for name, (a, b) in fractions.items()
-    ]
-    return ranked.agg(*picks)
+    names = list(fractions)
+    slack = 2.0 / accuracy
+    edges = [e for a, b in fractions.values() for e in (max(0.0, a / b - slack), min(1.0, a / b + slack))]
+    value = F.col(column).cast("double")
+    sketch = frame.agg(F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), F.lit(accuracy))).scalar()
+    marks = F.transform(
+        F.sequence(F.lit(0), F.lit(len(names) - 1)),
+        lambda i: F.struct(i.alias("i"), F.element_at(F.col("_edges"), 2 * i + 1).alias("lo"), F.element_at(F.col("_edges"), 2 * i + 2).alias("hi")))
+    rows = frame.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), value.alias("d")).withColumn("_edges", sketch)
+    spread = rows.select("v", "d", F.inline(marks))
+    # exact ends: position 0 and the last one must not fall out of the bracket through ties
+    side = F.when(F.col("d") < F.col("lo"), 0).when(F.col("d") > F.col("hi"), 2).otherwise(1)
+    folded = spread.withColumn("side", side).groupBy("i", "side", F.when(F.col("side") == 1, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("i").orderBy("side", "v")
+    placed = folded.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("i"))})
+    wanted = F
+    for i, (a, b) in enumerate(fractions.values()):
+        wanted = wanted.when(F.col("i") == i, F.floor(F.col("total") * a / b))
+    hit = placed.withColumn("wanted", wanted).where(
+        (F.col("side") == 1) & (F.col("upto") - F.col("n") <= F.col("wanted")) & (F.col("upto") > F.col("wanted")))
+    return hit.agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
 
 
 def champions(profiles: DataFrame, days_threshold: int = 45) -> DataFrame:
@@ -158,9 +163,9 @@ def churn_overview(profiles: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.count_if(risky).alias("at_risk"), F.avg(risky.cast("double")).alias("at_risk_share"),
         F.coalesce(money_sum(F.when(risky, F.col("clv_estimate"))), F.lit(0.0)).alias("value_at_risk"),
         F.count_if(F.col("days_since_last_purchase").isNull()).alias("never_purchased"),
-        *pair("recency_risk", days, lambda a: F.least(a / 60.0, F.lit(1.0))),
+        *pair("recency_risk", days, lambda a: F.when(a.isNotNull(), F.least(a / 60.0, F.lit(1.0)))),
         *pair("churn_score", F.col("churn_risk_score"), lambda a: a),
-        *pair("frequency_drop", F.col("purchase_frequency_per_month"), lambda a: 1 - F.least(a / 2.0, F.lit(1.0))),
+        *pair("frequency_drop", F.col("purchase_frequency_per_month"), lambda a: F.when(a.isNotNull(), 1 - F.least(a / 2.0, F.lit(1.0)))),
     )
 
 

@@ -235,7 +235,7 @@ def priority(segments: DataFrame) -> DataFrame:
         F.when(size >= 500, 20).when(size >= 100, 15).when(size >= 50, 10).otherwise(5)
         + F.when(average >= 10000, 25).when(average >= 5000, 20).when(average >= 1000, 15).otherwise(5)
         + F.coalesce(F.col("overall_robustness") * 20, F.lit(0.0))
-        + F.coalesce(F.least(F.col("expected_roi") / 5.0, F.lit(1.0)) * 15, F.lit(0.0))
+        + F.when(F.col("expected_roi").isNull(), 0.0).otherwise(F.least(F.col("expected_roi") / 5.0, F.lit(1.0)) * 15)
         + F.when(value >= 100000, 20).when(value >= 50000, 15).when(value >= 10000, 10).when(value > 0, 5).otherwise(0))
     return segments.withColumn("priority_score", F.least(F.lit(100.0), score))
 

@@ -40,6 +40,7 @@ def load_all() -> dict[str, Query]:
         whitespace_queries,
         discovery_queries,
         clv_queries,
+        streaming_queries,
     )
 
     return QUERIES

@@ -41,10 +41,15 @@ def _null(kind: str):
 
 
 def web_events(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("event_id", "user_id", "event_type", "ts", "value", "props")
+    return web_events_from(spread(table(spark, folder, "events").select(*columns), "event_id"))
+
+
+def web_events_from(log: DataFrame) -> DataFrame:
+    """Canonical form of the click log, for a table or a stream."""
     kinds = F.create_map(*[F.lit(x) for pair in (
         ("signup", "session_start"), ("view", "view_item"), ("click", "add_to_cart"),
         ("purchase", "purchase"), ("error", "refund")) for x in pair])
-    log = spread(table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value", "props"), "event_id")
     raw = log.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("customer_id"),
