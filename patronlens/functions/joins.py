@@ -11,10 +11,10 @@ SALTS = 16
 
 
 def join_unique(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
-    """Join rows with a lookup that has one row per key.
+    """Join rows with a lookup that has one row, or a fixed number of rows, per key.
 
     The rows of a key are split over `SALTS` parts by the hash of `spread` and the
-    lookup row is repeated per part, so no key lands in one task as a whole. A small
+    lookup rows are repeated per part, so no key lands in one task as a whole. A small
     lookup is still broadcast by Spark, on its measured size.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))

@@ -19,17 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.joins import join_unique
+from patronlens.functions.lineage import cut
 
 MAX_PIVOTS = 256
-SLACK = 1e-9
-
-
-def _chord(names: Sequence[str], other) -> Column:
-    total = None
-    for n in names:
-        delta = F.col(n) - other[n]
-        total = delta * delta if total is None else total + delta * delta
-    return F.sqrt(total)
+# Slack of the pruning bounds against rounding; it only ever keeps a few more pairs.
+SLACK = 1e-7
 
 
 def _dot(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -39,9 +33,20 @@ def _dot(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return total
 
 
+def _chord(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    total = None
+    for a, b in zip(left, right, strict=True):
+        total = (a - b) * (a - b) if total is None else total + (a - b) * (a - b)
+    return F.sqrt(total)
+
+
+def _columns(names: Sequence[str], prefix: str = "") -> list[Column]:
+    return [F.col(prefix + n) for n in names]
+
+
 def unit(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows scaled to length one; a zero vector has no direction and no positive cosine, so it is left out."""
-    length = F.sqrt(_dot([F.col(n) for n in names], [F.col(n) for n in names]))
+    length = F.sqrt(_dot(_columns(names), _columns(names)))
     long_enough = frame.withColumn("_len", length).where(F.col("_len") > 0)
     return long_enough.withColumns({n: F.col(n) / F.col("_len") for n in names}).drop("_len")
 
@@ -54,12 +59,12 @@ def _distinct_points(points: DataFrame, group: Sequence[str], names: Sequence[st
 
 
 def _pivots(points: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """About sqrt(n) pivots per group, at most MAX_PIVOTS, in hash order, as one array per group."""
-    ranked = points.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(*names), *names)))
-    top = ranked.where(F.col("_rn") <= MAX_PIVOTS)
+    """About sqrt(n) pivots per group, at most MAX_PIVOTS, taken in hash order."""
+    ranked = points.withColumn("cell", F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(*names), *names)))
+    top = ranked.where(F.col("cell") <= MAX_PIVOTS)
     sizes = points.groupBy(*group).agg(F.ceil(F.sqrt(F.count("*").cast("double"))).alias("_wanted"))
-    chosen = top.join(sizes, list(group)).where(F.col("_rn") <= F.col("_wanted"))
-    return chosen.groupBy(*group).agg(F.collect_list(F.struct(F.col("_rn").alias("cell"), *names)).alias("pivots"))
+    chosen = top.join(sizes, list(group)).where(F.col("cell") <= F.col("_wanted"))
+    return chosen.select(*group, "cell", *[F.col(n).alias(f"p_{n}") for n in names])
 
 
 def nearest(points: DataFrame, queries: DataFrame, group: Sequence[str], names: Sequence[str], k: int = 5) -> DataFrame:
@@ -69,44 +74,43 @@ def nearest(points: DataFrame, queries: DataFrame, group: Sequence[str], names:
     Returns (group, id, neighbour_id, similarity, position).
     """
     group, names = list(group), list(names)
-    folded = _distinct_points(points.select("id", *group, *names), group, names, k)
-    placed = join_unique(folded, _pivots(folded, group, names), group, F.struct(*names))
-    closest = F.array_min(F.transform("pivots", lambda p: F.struct(_chord(names, p).alias("reach"), p["cell"].alias("cell"))))
-    cells = placed.withColumn("_c", closest).select(
-        *group, *names, "ids", F.col("_c.cell").alias("cell"), F.col("_c.reach").alias("reach"),
-        F.element_at(F.filter("pivots", lambda p: p["cell"] == F.col("_c.cell")), 1).alias("pivot"))
-    outlines = cells.groupBy(*group, "cell").agg(
-        F.max("reach").alias("radius"), F.sum(F.size("ids")).alias("n"), F.first("pivot").alias("pivot"))
-    maps = outlines.groupBy(*group).agg(F.collect_list(F.struct("cell", "radius", "n", "pivot")).alias("cells"))
-
-    asked = queries.select(*group, *names).distinct()
-    seen = join_unique(asked, maps, group, F.struct(*names))
-    bounds = F.array_sort(F.transform("cells", lambda c: F.struct(
-        (_chord(names, c["pivot"]) + c["radius"]).alias("far"), c["n"].alias("n"), c["cell"].alias("cell"),
-        _chord(names, c["pivot"]).alias("way"), c["radius"].alias("radius"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("have"), F.lit(2.0 ** 0.5).alias("limit"))
-
-    def widen(state, c):
-        enough = state["have"] + c["n"] >= k
-        first_time = (state["have"] < k) & enough
-        limit = F.when(first_time, F.least(state["limit"], c["far"])).otherwise(state["limit"])
-        return F.struct((state["have"] + c["n"]).alias("have"), limit.alias("limit"))
-
-    limited = seen.withColumn("bounds", bounds).withColumn("limit", F.aggregate("bounds", start, widen)["limit"])
-    probes = limited.select(
-        *group, *[F.col(n).alias(f"q_{n}") for n in names], "limit",
-        F.explode(F.filter("bounds", lambda c: c["way"] - c["radius"] <= F.col("limit") + SLACK)).alias("c"),
-    ).select(*group, *[f"q_{n}" for n in names], "limit", F.col("c.cell").alias("cell"), F.col("c.way").alias("way"))
-    met = probes.join(cells.drop("pivot"), [*group, "cell"]).where(
-        F.abs(F.col("way") - F.col("reach")) <= F.col("limit") + SLACK)
-    cosine = _dot([F.col(f"q_{n}") for n in names], [F.col(n) for n in names])
-    met = met.select(*group, *[f"q_{n}" for n in names], "ids", cosine.alias("similarity")).where(F.col("similarity") > 0)
-    by_query = Window.partitionBy(*group, *[f"q_{n}" for n in names])
-    best = met.withColumn("_rn", F.row_number().over(by_query.orderBy(F.desc("similarity"), F.col("ids")[0]))).where(F.col("_rn") <= k)
+    own, pivot = _columns(names), _columns(names, "p_")
+
+    # every point goes to its closest pivot: at most MAX_PIVOTS distances per point, folded in the same task
+    folded = cut(_distinct_points(points.select("id", *group, *names), group, names, k))
+    pivots = cut(_pivots(folded, group, names))
+    reach = _chord(own, pivot)
+    cells = cut(
+        join_unique(folded, pivots, group, F.struct(*names)).groupBy(*group, *names, "ids")
+        .agg(F.min(reach).alias("reach"), F.min_by("cell", reach).alias("cell")))
+    outlines = cut(cells.groupBy(*group, "cell").agg(F.max("reach").alias("radius"), F.sum(F.size("ids")).alias("n")).join(
+        pivots, [*group, "cell"]))
+
+    # a cell that holds k points bounds the distance of the k-th neighbour
+    asked = cut(queries.select(*group, *names).distinct().withColumn("q", F.monotonically_increasing_id()))
+    way = _chord(own, pivot)
+    far = way + F.col("radius")
+    bound = F.coalesce(F.min(F.when(F.col("n") >= k, far)), F.when(F.sum("n") >= k, F.max(far)), F.lit(2.0))
+    limits = join_unique(asked, outlines, group, F.col("q")).groupBy("q", *group, *names).agg(
+        # a chord of sqrt(2) is a cosine of zero, beyond which nothing counts
+        F.least(bound, F.lit(2.0 ** 0.5)).alias("limit"))
+    limits = cut(limits)
+    probes = join_unique(limits, outlines, group, F.col("q")).withColumn("way", way).where(
+        F.col("way") - F.col("radius") <= F.col("limit") + SLACK)
+    probes = probes.select("q", *group, "cell", "way", "limit", *[F.col(n).alias(f"q_{n}") for n in names])
+
+    met = probes.join(cells, [*group, "cell"]).where(F.abs(F.col("way") - F.col("reach")) <= F.col("limit") + SLACK)
+    cosine = _dot(_columns(names, "q_"), own)
+    met = met.withColumn("similarity", cosine).where(
+        (F.col("similarity") > 0) & (F.col("similarity") >= 1 - F.col("limit") * F.col("limit") / 2 - SLACK))
+    by_query = Window.partitionBy("q")
+    best = met.select("q", "similarity", "ids").withColumn(
+        "_rn", F.row_number().over(by_query.orderBy(F.desc("similarity"), F.col("ids")[0]))).where(F.col("_rn") <= k)
     # at most k vectors with at most k ids each
-    single = best.select(*group, *[F.col(f"q_{n}") for n in names], "similarity", F.explode("ids").alias("neighbour_id"))
-    ranked = single.withColumn("position", F.row_number().over(by_query.orderBy(F.desc("similarity"), "neighbour_id"))).where(F.col("position") <= k)
-    packed = ranked.groupBy(*group, *[F.col(f"q_{n}").alias(n) for n in names]).agg(
-        F.collect_list(F.struct("neighbour_id", "similarity", "position")).alias("found"))
+    single = best.select("q", "similarity", F.explode("ids").alias("neighbour_id"))
+    ranked = single.withColumn("position", F.row_number().over(by_query.orderBy(F.desc("similarity"), "neighbour_id"))).where(
+        F.col("position") <= k)
+    packed = ranked.groupBy("q").agg(F.collect_list(F.struct("neighbour_id", "similarity", "position")).alias("found"))
+    packed = packed.join(asked, "q").drop("q")
     answered = join_unique(queries.select("id", *group, *names), packed, [*group, *names], F.col("id"))
     return answered.select(*group, "id", F.inline("found"))
