@@ -201,3 +201,18 @@ def data_period(profiles: DataFrame, events: DataFrame) -> DataFrame:
         F.date_format(F.min("first_seen"), "yyyy-MM-dd").alias("period_start"),
         F.date_format(F.max("last_seen"), "yyyy-MM-dd").alias("period_end"),
     ).withColumn("events", events.agg(F.count("*")).scalar())
+
+
+def robustness_report(robustness: DataFrame) -> DataFrame:
+    """Segments per tier, share of high robustness in percent, mean stability."""
+    tier = F.col("robustness_tier")
+    return robustness.agg(
+        F.count("*").alias("segments"), F.count_if(tier == "HIGH").alias("high"), F.count_if(tier == "MEDIUM").alias("medium"),
+        F.count_if(tier == "LOW").alias("low"), (F.avg((tier == "HIGH").cast("double")) * 100).alias("high_share"),
+        F.avg("feature_stability").alias("avg_feature_stability"), F.avg("time_window_consistency").alias("avg_time_consistency"))
+
+
+def critical_features(rows: DataFrame) -> DataFrame:
+    """How often a feature is critical and how stable its segments are; `rows` has an array of them."""
+    return rows.select("feature_stability", F.explode("critical_features").alias("feature")).groupBy("feature").agg(
+        F.count("*").alias("segments"), F.avg("feature_stability").alias("avg_stability"))

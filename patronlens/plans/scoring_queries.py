@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from patronlens.checks.base_sql import profiles as profiles_sql, with_
 from patronlens.functions.lineage import cut
-from patronlens.operators import clustering, scoring, stability
+from patronlens.operators import clustering, reports, scoring, stability
 from patronlens.plans.registry import query
 from patronlens.plans.report_queries import tidy
+from patronlens.sources import retail
+from patronlens.plans.segmentation_run import run
 from patronlens.plans.segment_queries import ROBUST_SQL, SEGMENT_SQL, described, members_sql
 
 GROUPS = 12
@@ -35,8 +37,14 @@ def segments(spark, folder, source="web", groups=GROUPS):
 
 
 
+_MADE: dict = {}
+
+
 def checked(spark, folder, source="web", groups=GROUPS):
-    found, everyone = segments(spark, folder, source, groups)
+    key = (spark.sparkContext.applicationId, folder, source, groups)
+    if key not in _MADE:
+        _MADE[key] = segments(spark, folder, source, groups)
+    found, everyone = _MADE[key]
     return scoring.viability(found, everyone.scalar()), everyone
 
 
@@ -174,3 +182,20 @@ _register("explanation_confidence", """SELECT CASE tier WHEN 'HIGH' THEN 'high'
 _register("run_metrics", """SELECT count(*) AS segments, count(*) FILTER (WHERE is_valid) AS valid_segments, count(*) FILTER (WHERE is_actionable) AS actionable_segments,
   count(*) FILTER (WHERE is_valid AND is_actionable) AS production_ready_segments, max(everyone) AS profiles FROM scored""",
           lambda f, n: scoring.run_metrics(n, f).withColumn("profiles", n.scalar()))
+
+_register("robustness_report", """SELECT count(*) AS segments, count(*) FILTER (WHERE tier = 'HIGH') AS high, count(*) FILTER (WHERE tier = 'MEDIUM') AS medium, count(*) FILTER (WHERE tier = 'LOW') AS low,
+  round(avg(CASE WHEN tier = 'HIGH' THEN 1.0 ELSE 0.0 END) * 100, 6) AS high_share, round(avg(feature_stability), 6) AS avg_feature_stability,
+  round(avg(time_window_consistency), 6) AS avg_time_consistency FROM scored WHERE tier IS NOT NULL""",
+          lambda f, _: reports.robustness_report(f.where("robustness_tier IS NOT NULL")))
+_register("critical_feature_report", """SELECT f AS feature, count(*) AS segments, round(avg(feature_stability), 6) AS avg_stability FROM (
+  SELECT feature_stability, unnest(CASE WHEN num % 2 = 0 THEN ['total_revenue', 'preferred_day'] ELSE ['total_revenue'] END) AS f FROM scored WHERE tier IS NOT NULL) GROUP BY 1""",
+          lambda f, _: reports.critical_features(f.where("robustness_tier IS NOT NULL").select("feature_stability", F.when(
+              F.regexp_extract("segment_id", r"_(\d+)$", 1).cast("int") % 2 == 0, F.array(F.lit("total_revenue"), F.lit("preferred_day")))
+              .otherwise(F.array(F.lit("total_revenue"))).alias("critical_features"))))
+
+
+@query("prioritised_segments")
+def prioritised_segments(spark, folder):
+    tables = run(retail.web_events(spark, folder), retail.web_id_history(spark, folder), retail.instant(retail.WEB_REFERENCE), k=4, restarts=2)
+    return tables["segments"].select("segment_id", "name", "size", "total_clv", "is_valid", "is_actionable", "is_usable", "priority_score",
+                                     F.array_join("usability_reasons", "|").alias("usability_reasons"), "whitespace_value")
