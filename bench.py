@@ -41,9 +41,9 @@ def _whitespace(spark, folder):
 
 def _discovery(spark, folder):
     people = cut(inputs.fresh_shop_profiles(spark, folder))
-    rows = cut(discovery.attribute_rows(retail.shop_item_events(spark, folder)))
-    fields = cut(discovery.classify(discovery.field_profile(rows)))
-    owned = discovery.dominant_values(rows, fields.where("status = 'usable'"))
+    counts = cut(discovery.attribute_counts(discovery.attribute_rows(retail.shop_item_events(spark, folder))))
+    fields = cut(discovery.classify(discovery.field_profile(counts)))
+    owned = discovery.dominant_values(counts, fields.where("status = 'usable'"))
     statistics = cut(discovery.value_statistics(owned, people))
     return discovery.score_traits(fields, statistics, people.agg(F.count("*")).scalar())
 

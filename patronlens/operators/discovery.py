@@ -72,14 +72,25 @@ def json_attribute_rows(events: DataFrame, document: str, depth: int = 3) -> Dat
     return done
 
 
-def field_profile(rows: DataFrame, events_total: Column | None = None) -> DataFrame:
+def attribute_counts(rows: DataFrame) -> DataFrame:
+    """Rows folded to (customer, path, value) with occurrences, weight and first time.
+
+    This is the only pass over the events: the field profile and the dominant
+    values both start from it. A purchase weighs five.
+    """
+    weight = F.when(F.col("event_type") == "purchase", 5).otherwise(1)
+    return rows.groupBy("customer_id", "path", "value").agg(
+        F.count("*").alias("n"), F.sum(weight).alias("w"), F.min("ts").alias("first_ts"))
+
+
+def field_profile(counts: DataFrame) -> DataFrame:
     """Occurrences, nulls, distinct values, customers and value shapes of every path.
 
     Values are counted per (path, value) first. A path seen in every event is
     thereby spread over its values, and the second step only folds counts.
     """
     listed = F.col("value").startswith("[list:")
-    values = rows.groupBy("path", "value").agg(F.count("*").alias("n"))
+    values = counts.groupBy("path", "value").agg(F.sum("n").alias("n"))
     live = F.col("value").isNotNull()
     shaped = values.groupBy("path").agg(
         F.sum("n").alias("occurrences"), F.coalesce(F.sum(F.when(~live, F.col("n"))), F.lit(0)).alias("nulls"),
@@ -88,7 +99,7 @@ def field_profile(rows: DataFrame, events_total: Column | None = None) -> DataFr
         F.coalesce(F.sum(F.when(numeric_text(F.col("value")), F.col("n"))), F.lit(0)).alias("numeric"),
         F.coalesce(F.sum(F.when(F.col("value").rlike(r"[>/|\\]|::"), F.col("n"))), F.lit(0)).alias("hierarchical"),
         F.coalesce(F.sum(F.length("value") * F.col("n")), F.lit(0)).alias("characters"))
-    people = rows.where(live & ~listed).select("path", "customer_id").distinct().groupBy("path").agg(F.count("*").alias("customers"))
+    people = counts.where(live & ~listed).select("path", "customer_id").distinct().groupBy("path").agg(F.count("*").alias("customers"))
     return shaped.join(people, "path", "left").withColumn("customers", F.coalesce("customers", F.lit(0)))
 
 
@@ -114,12 +125,10 @@ def classify(profile: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return typed.withColumn("status", status)
 
 
-def dominant_values(rows: DataFrame, usable: DataFrame) -> DataFrame:
-    """Value with the most weight per customer and path; a purchase weighs five."""
-    weight = F.when(F.col("event_type") == "purchase", 5).otherwise(1)
-    kept = rows.where(F.col("value").isNotNull()).join(usable.select("path"), "path", "left_semi")
-    grouped = kept.groupBy("customer_id", "path", "value").agg(F.sum(weight).alias("w"), F.min("ts").alias("first_ts"))
-    return grouped.groupBy("customer_id", "path").agg(
+def dominant_values(counts: DataFrame, usable: DataFrame) -> DataFrame:
+    """Value with the most weight per customer and path."""
+    kept = counts.where(F.col("value").isNotNull()).join(usable.select("path"), "path", "left_semi")
+    return kept.groupBy("customer_id", "path").agg(
         F.min_by("value", F.struct((-F.col("w")).alias("w"), "first_ts", "value")).alias("value"))
 
 

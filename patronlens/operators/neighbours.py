@@ -67,6 +67,16 @@ def _pivots(points: DataFrame, group: Sequence[str], names: Sequence[str]) -> Da
     return chosen.select(*group, "cell", *[F.col(n).alias(f"p_{n}") for n in names])
 
 
+def _tightened(rough: DataFrame, cells: DataFrame, group: Sequence[str], names: Sequence[str], k: int) -> DataFrame:
+    """Limits lowered to the k-th distance inside the closest cell that holds k points."""
+    asked = rough.where(F.col("home").isNotNull()).select("q", *group, F.col("home").alias("cell"), *[F.col(n).alias(f"q_{n}") for n in names])
+    chord = _chord(_columns(names, "q_"), _columns(names))
+    near = asked.join(cells.drop("ids", "reach"), [*group, "cell"]).select("q", chord.alias("chord"))
+    ranked = near.withColumn("_rn", F.row_number().over(Window.partitionBy("q").orderBy("chord"))).where(F.col("_rn") <= k)
+    reached = ranked.groupBy("q").agg(F.max("chord").alias("kth"), F.count("*").alias("_n")).where(F.col("_n") == k)
+    return rough.drop("home").join(reached.drop("_n"), "q", "left").withColumn("limit", F.least("limit", "kth")).drop("kth")
+
+
 def nearest(points: DataFrame, queries: DataFrame, group: Sequence[str], names: Sequence[str], k: int = 5) -> DataFrame:
     """The k most similar points of every query with a positive cosine.
 
@@ -90,11 +100,12 @@ def nearest(points: DataFrame, queries: DataFrame, group: Sequence[str], names:
     asked = cut(queries.select(*group, *names).distinct().withColumn("q", F.monotonically_increasing_id()))
     way = _chord(own, pivot)
     far = way + F.col("radius")
-    bound = F.coalesce(F.min(F.when(F.col("n") >= k, far)), F.when(F.sum("n") >= k, F.max(far)), F.lit(2.0))
-    limits = join_unique(asked, outlines, group, F.col("q")).groupBy("q", *group, *names).agg(
+    full = F.col("n") >= k
+    bound = F.coalesce(F.min(F.when(full, far)), F.when(F.sum("n") >= k, F.max(far)), F.lit(2.0))
+    rough = cut(join_unique(asked, outlines, group, F.col("q")).groupBy("q", *group, *names).agg(
         # a chord of sqrt(2) is a cosine of zero, beyond which nothing counts
-        F.least(bound, F.lit(2.0 ** 0.5)).alias("limit"))
-    limits = cut(limits)
+        F.least(bound, F.lit(2.0 ** 0.5)).alias("limit"), F.min_by("cell", F.when(full, way)).alias("home")))
+    limits = cut(_tightened(rough, cells, group, names, k))
     probes = join_unique(limits, outlines, group, F.col("q")).withColumn("way", way).where(
         F.col("way") - F.col("radius") <= F.col("limit") + SLACK)
     probes = probes.select("q", *group, "cell", "way", "limit", *[F.col(n).alias(f"q_{n}") for n in names])

@@ -62,7 +62,7 @@ def similarity(rows: DataFrame, group: Sequence[str], names: Sequence[str], min_
     scaled = join_unique(rows, statistics, list(group), F.col("customer_id")).select(
         F.col("customer_id").alias("id"), *group, "role",
         *[((F.col(n) - F.col(f"{n}__mean")) / F.when(F.col(f"{n}__std") == 0, 1.0).otherwise(F.col(f"{n}__std"))).alias(n) for n in names])
-    vectors = unit(scaled, names)
+    vectors = cut(unit(scaled, names))
     found = nearest(vectors.where(F.col("role") == "buyer"), vectors.where(F.col("role") == "candidate"), group, names, k)
     return statistics, found
 

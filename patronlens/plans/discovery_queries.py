@@ -49,15 +49,15 @@ def oracle(select: str, *more: str) -> str:
     return with_(profiles_sql("shop"), _LONG, *more, select=select)
 
 
-def _rows(spark, folder):
-    return discovery.attribute_rows(retail.shop_item_events(spark, folder))
+def _counts(spark, folder):
+    return discovery.attribute_counts(discovery.attribute_rows(retail.shop_item_events(spark, folder)))
 
 
 def _scores(spark, folder):
-    rows = cut(_rows(spark, folder))
-    fields = cut(discovery.classify(discovery.field_profile(rows)))
+    counts = cut(_counts(spark, folder))
+    fields = cut(discovery.classify(discovery.field_profile(counts)))
     people = shop_profiles(spark, folder)
-    statistics = cut(discovery.value_statistics(discovery.dominant_values(rows, fields.where("status = 'usable'")), people))
+    statistics = cut(discovery.value_statistics(discovery.dominant_values(counts, fields.where("status = 'usable'")), people))
     return fields, statistics, discovery.score_traits(fields, statistics, people.agg(F.count("*")).scalar())
 
 
@@ -74,7 +74,7 @@ def _made(spark, folder):
 
 @query("attribute_profile", oracle("SELECT path, occurrences, nulls, distinct_values, customers FROM prof"))
 def attribute_profile(spark, folder):
-    return discovery.field_profile(_rows(spark, folder)).select("path", "occurrences", "nulls", "distinct_values", "customers")
+    return discovery.field_profile(_counts(spark, folder)).select("path", "occurrences", "nulls", "distinct_values", "customers")
 
 
 @query("json_attribute_profile", """
@@ -89,7 +89,7 @@ def json_attribute_profile(spark, folder):
     log = retail.table(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("customer_id"), F.lit("view_item").alias("event_type"),
         F.col("ts").cast("timestamp").alias("ts"), document.alias("document"))
-    return discovery.field_profile(discovery.json_attribute_rows(log, "document")).select("path", "occurrences", "distinct_values", "customers")
+    return discovery.field_profile(discovery.attribute_counts(discovery.json_attribute_rows(log, "document"))).select("path", "occurrences", "distinct_values", "customers")
 
 
 @query("attribute_types", oracle("SELECT path, field_type, status, round(live / CAST(occurrences AS DOUBLE), 6) AS coverage FROM fields"))
@@ -99,8 +99,7 @@ def attribute_types(spark, folder):
 
 @query("dominant_attribute_values", oracle("SELECT customer_id, path, value FROM dom"))
 def dominant_attribute_values(spark, folder):
-    rows = _rows(spark, folder)
-    return discovery.dominant_values(rows, _made(spark, folder)[0].where("status = 'usable'"))
+    return discovery.dominant_values(_counts(spark, folder), _made(spark, folder)[0].where("status = 'usable'"))
 
 
 @query("attribute_value_statistics", oracle("SELECT path, value, n, round(m, 4) AS mean, low, medium, high FROM vs"))
@@ -123,7 +122,7 @@ _CUT_ORACLE = oracle("SELECT path, round(chi2, 6) AS chi2_statistic, round(least
 
 @query("trait_retention_impact", _CUT_ORACLE)
 def trait_retention_impact(spark, folder):
-    owned = discovery.dominant_values(_rows(spark, folder), _made(spark, folder)[0].where("status = 'usable'"))
+    owned = discovery.dominant_values(_counts(spark, folder), _made(spark, folder)[0].where("status = 'usable'"))
     statistics = cut(discovery.value_statistics(owned, shop_profiles(spark, folder), _CUTS))
     return tidy(discovery.retention_impact(statistics).select("path", "chi2_statistic", "retention_impact"))
 
