@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import language_id, quality_crf
+from patronlens.llm import decontamination, language_id, quality_crf
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,15 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(rows, prototypes, ["doc_id", "held_out"])
 
 
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 @query
 def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
@@ -38,3 +47,22 @@ def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "text")
     scored = quality_crf.score(rows, field, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+#: Words of a text column, as the operators take them, in DuckDB.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op2_decontamination"] = f"""
+WITH item AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+     win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + 9], ' ') AS phrase
+             FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+     doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+     spot AS (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+              FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc), (SELECT DISTINCT m FROM win) WHERE i + m - 1 <= len(w)),
+     found AS (SELECT r, i, spot.m, item FROM spot JOIN win ON spot.phrase = win.phrase AND spot.m = win.m),
+     hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + m)) AS p FROM found) GROUP BY r),
+     held AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(held.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+"""
