@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, language_id, line_dedup, quality_crf
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, quality_crf
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(documents)
 
 
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.classes(_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
+
+
 #: Words of a text column, as the operators take them, in DuckDB.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -72,3 +78,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
 """
+
+ORACLES["op10_jaccard_join"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+     own AS (SELECT text, w, min(doc_id) AS first, count(*) AS n FROM doc WHERE len(w) > 0 GROUP BY ALL),
+     node AS (SELECT first AS id, n, text, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM own),
+     gram AS (SELECT id, unnest(s) AS g FROM node),
+     pair AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+     link AS (SELECT a, b FROM pair JOIN node x ON x.id = a JOIN node y ON y.id = b WHERE 5 * c >= 4 * (len(x.s) + len(y.s) - c)),
+     both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+     reach(a, b) AS (SELECT id, id FROM node UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+     class AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a),
+     others AS (SELECT both_ways.a AS id, sum(node.n) AS n FROM both_ways JOIN node ON node.id = both_ways.b GROUP BY both_ways.a)
+SELECT doc.doc_id, coalesce(class.class_id, doc.doc_id) AS class_id, coalesce(node.n, 1)::BIGINT AS n_copies,
+       (CASE WHEN node.id IS NULL THEN 0 ELSE node.n - 1 + coalesce(others.n, 0) END)::BIGINT AS n_links
+FROM doc LEFT JOIN node ON doc.text = node.text LEFT JOIN class ON class.id = node.id LEFT JOIN others ON others.id = node.id
+"""
