@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, quality_crf
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_crf
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"), ["doc_id"])
+
+
 @query
 def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
