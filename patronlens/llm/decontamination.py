@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronlens.llm.common import stored, words_of
+from patronlens.llm.sieve import split_by
 
 WINDOW = 10
 SEGMENT_WORDS = 500_000
@@ -224,7 +225,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 def contamination(documents: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, slop: int = 0, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For every document: `keep`, n_words, n_hit (words inside matches), items (their ids), contaminated."""
     index = stored(build_index(documents, keep, text))
-    matches = search(index, windows_of(items, window, item_id, item_text).cache(), slop)
+    matches = search(index, stored(windows_of(items, window, item_id, item_text)), slop)
     rows = index.select("segment", "begins", F.posexplode(F.arrays_zip(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keep)])).alias("ordinal", "_kept")).select(
         "segment", "ordinal", (F.element_at("begins", F.col("ordinal") + 2) - F.element_at("begins", F.col("ordinal") + 1) - 1).cast("long").alias("_n"), "_kept"
     )
@@ -242,3 +243,14 @@ def contamination(documents: DataFrame, items: DataFrame, keep: list[str], windo
 
 def _zipped(position: int) -> str:
     return f"_{position}"
+
+
+def clean_documents(documents: DataFrame, items: DataFrame, window: int = WINDOW, document_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, without those that hold a window of a test item."""
+    keyed = documents.select(F.col(document_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("_text"))
+    bad = stored(contamination(keyed, items, ["id", "th"], window, text="_text").where("contaminated").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    names = [f"_c{i}" for i in range(len(documents.columns))]
+    rows = documents.select(*[F.col(c).alias(n) for c, n in zip(documents.columns, names, strict=True)], F.col(document_id).alias("_own"), F.xxhash64(text).alias("th"))
+    maybe, clear = split_by(rows, "th", bad.select(F.col("_th").alias("th")))
+    kept = maybe.join(bad, (F.col("th") == F.col("_th")) & F.col("_own").eqNullSafe(F.col("_id")), "left_anti").select(*names).union(clear.select(*names))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])

@@ -177,7 +177,7 @@ def verify(members: DataFrame, threshold: float, words: int) -> DataFrame:
 
 
 def classes(documents: DataFrame, document_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """(id, class_id, n_copies, n_links, node) for each row; node is xxhash64 of the text."""
+    """(id, class_id, n_copies, n_links, node, head) for each row; node is xxhash64 of the text, head that of the class's first text."""
     bands, rows = choose_bands(threshold, recall)
     signed = stored(signatures(documents, document_id, text, bands, rows, words))
     full = signed.where("keys is not null")
@@ -198,13 +198,32 @@ def classes(documents: DataFrame, document_id: str = "doc_id", text: str = "text
     found = stored(verify(members, threshold, words))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     class_of = components(found.where("node != root").select("node", "root"), "node", "root")
-    heads = class_of.join(copies, "node").groupBy("root").agg(F.min("first").alias("head"))
-    named = class_of.join(heads, "root").select("node", F.col("head.id").alias("head"))
+    heads = class_of.join(copies, "node").groupBy("root").agg(F.min(F.struct("first", "node")).alias("head"))
+    named = class_of.join(heads, "root").select("node", F.col("head.first.id").alias("head"), F.col("head.node").alias("head_node"))
     whole = copies.join(links, "node", "left").join(named, "node", "left").select(
-        F.col("node").alias("_node"), F.col("weight").alias("_w"), F.coalesce("links", F.lit(0)).alias("_l"), F.col("head").alias("_h"), F.col("first.id").alias("_f"), F.col("head").isNotNull().alias("_in"),
+        F.col("node").alias("_node"), F.col("weight").alias("_w"), F.coalesce("links", F.lit(0)).alias("_l"), F.col("head").alias("_h"), F.col("first.id").alias("_f"), F.col("head_node").alias("_in"),
     )
     joined = full.select("id", "node").join(whole, F.col("node") == F.col("_node")).select(
-        "id", F.when(F.col("_in"), F.col("_h")).otherwise(F.col("_f")).alias("class_id"), F.col("_w").cast("long").alias("n_copies"), (F.col("_w") - 1 + F.col("_l")).cast("long").alias("n_links"), "node",
+        "id", F.when(F.col("_in").isNotNull(), F.col("_h")).otherwise(F.col("_f")).alias("class_id"), F.col("_w").cast("long").alias("n_copies"), (F.col("_w") - 1 + F.col("_l")).cast("long").alias("n_links"), "node", F.coalesce("_in", "node").alias("head"),
     )
-    alone = signed.where("keys is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), "node")
+    alone = signed.where("keys is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), "node", F.col("node").alias("head"))
     return joined.union(alone)
+
+
+def representatives(documents: DataFrame, document_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one row for each class of near copies: that of the smallest id, of equal ids that of the smallest text hash.
+
+    Documents without a word are of no class and all stay.
+    """
+    found = classes(documents, document_id, text)
+    marks = stored(found.where("n_copies + n_links > 1").select("node", F.col("class_id").alias("_id"), "head").distinct())
+    names = [f"_c{i}" for i in range(len(documents.columns))]
+    rows = documents.select(*[F.col(c).alias(n) for c, n in zip(documents.columns, names, strict=True)], F.col(document_id).alias("_own"), F.xxhash64(text).alias("node"))
+    maybe, clear = split_by(rows, "node", marks.select("node"))
+    joined = maybe.join(marks.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    free = joined.where("_node is null").select(*names)
+    stay = joined.where(F.col("_node").isNotNull() & F.col("_own").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("head")))
+    # only rows that repeat id and text are left to fold
+    first = stay.groupBy("_own", "node").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    out = free.union(first.select(*names)).union(clear.select(*names))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
