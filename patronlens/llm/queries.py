@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_crf
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_crf, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,15 @@ def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = toxicity.fit(documents, quality_crf.training_labels(_table(spark, folder, "labels")))
+    rows = documents.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "text")
+    scored = toxicity.score(rows, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
