@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_crf, toxicity
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, packing, quality_crf, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,13 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@query
+def op7_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "documents").select("doc_id", (crc_remainder("doc_id", 7) == 2).alias("held_out"), "text")
+    model, counts = log_bilinear.fit(rows.withColumn("learned", ~F.col("held_out")))
+    return log_bilinear.score(rows, model, counts, ["doc_id", "held_out"])
+
+
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
