@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, packing, quality_crf, toxicity
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, nearest, packing, quality_crf, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"), ["doc_id"])
 
 
+@query
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(_table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query
 def op5_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
