@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, nearest, packing, quality_crf, toxicity
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, nearest, packing, quality_crf, token_files, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,12 @@ def op7_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     return log_bilinear.score(rows, model, counts, ["doc_id", "held_out"])
 
 
+@query
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_files.read_files(token_files.write_files(_table(spark, folder, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")

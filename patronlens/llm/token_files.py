@@ -198,7 +198,7 @@ def decode_block(payload: bytes) -> np.ndarray:
     def narrow(lanes_: np.ndarray | slice, part: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         value, width, place = code[lanes_] - part * begin, part * size, at[lanes_]
         short = width < _TOP
-        value = np.where(short, (value << np.uint64(16)) | stream[place], value)
+        value = np.where(short, (value << np.uint64(16)) | stream[np.minimum(place, len(stream) - 1)], value)
         code[lanes_], span[lanes_], at[lanes_] = value, np.where(short, width << np.uint64(16), width), place + short
 
     for step in range(steps):
