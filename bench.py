@@ -28,7 +28,7 @@ def _traits(spark, folder):
 def _clusters(spark, folder):
     vectors = cut(features.cluster_features(inputs.fresh_web_profiles(spark, folder)))
     table = cut(features.as_vectors(features.standardize(vectors, features.FEATURES), features.FEATURES))
-    model = clustering.fit_kmeans(table, 5, restarts=3)
+    model = clustering.fit_kmeans(table, 5)
     return clustering.cluster_sizes(model.transform(table))
 
 

@@ -68,7 +68,7 @@ def size_summary(assigned: DataFrame) -> DataFrame:
         F.max("size").alias("max_size"), F.avg("size").alias("mean_size"), F.stddev_pop("size").alias("std_size"))
 
 
-def search_k(vectors: DataFrame, k_range: Sequence[int], seed: int = 42, restarts: int = 3) -> list[tuple[int, float, float]]:
+def search_k(vectors: DataFrame, k_range: Sequence[int], seed: int = 42, restarts: int = 10) -> list[tuple[int, float, float]]:
     """(k, inertia, silhouette) per k over one materialised vector table; n - 1 caps k."""
     n = vectors.count()
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
@@ -229,7 +229,7 @@ class Segmentation:
 
 
 def create_segments(
-    profiles: DataFrame, affinity: DataFrame, k: int | None = None, k_range: Sequence[int] = range(3, 9), seed: int = 42,
+    profiles: DataFrame, affinity: DataFrame, k: int | None = None, k_range: Sequence[int] = range(3, 11), seed: int = 42,
     restarts: int = 10, names: Sequence[str] = FEATURES, predictions: DataFrame | None = None,
 ) -> Segmentation:
     """Standardise, cluster (searching k when none is given), label and describe."""

@@ -128,7 +128,7 @@ def time_folds(table: DataFrame, splits: int = 5) -> DataFrame:
     stamped = table.withColumn("_t", F.unix_micros("last_seen"))
     n = splits + 1
     # the first fold takes the remainder, as in an expanding-window split with equal test folds
-    marks = order_statistics(stamped, "_t", {f"b{i}": (i, n) for i in range(1, n)})
+    marks = order_statistics(stamped, "_t", {f"b{i}": (i, n) for i in range(1, n)}, position=lambda rows, i, parts: rows - (parts - i) * F.floor(rows / parts))
     tagged = stamped.withColumn("_b", marks.select(F.struct("*")).scalar())
     fold = F.lit(0)
     for i in range(1, n):
@@ -160,9 +160,9 @@ def cross_validate(table: DataFrame, config: TrainingConfig) -> DataFrame:
 def time_holdout(table: DataFrame, fraction: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Earlier rows to train on and the most recent ones to test on."""
     parts = 1000
-    at = parts - round(parts * fraction)
+    at = min(max(round(parts * (1 - fraction)), 0), parts)
     stamped = table.withColumn("_t", F.unix_micros("last_seen"))
-    border = order_statistics(stamped, "_t", {"b": (at, parts)}).scalar()
+    border = order_statistics(stamped, "_t", {"b": (at, parts)}, position=lambda rows, a, b: F.floor(rows * F.lit(1.0 - fraction))).scalar()
     tagged = cut(stamped.withColumn("_old", F.col("_t") < border).drop("_t"))
     return tagged.where("_old").drop("_old"), tagged.where(~F.col("_old")).drop("_old")
 

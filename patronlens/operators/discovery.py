@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.columns import numeric_text
+from patronlens.functions.lineage import cut
 from patronlens.functions.tails import chi2_p_value, f_p_value
 
 # Event types that carry product attributes.
@@ -41,7 +42,7 @@ def _leaf(path: Column) -> Column:
 
 
 def _not_system(path: Column) -> Column:
-    return ~_leaf(path).rlike("|".join(SYSTEM_FIELDS))
+    return ~_leaf(path).rlike("(?i)" + "|".join(SYSTEM_FIELDS))
 
 
 def attribute_rows(events: DataFrame, attributes: str = "attributes") -> DataFrame:
@@ -51,25 +52,27 @@ def attribute_rows(events: DataFrame, attributes: str = "attributes") -> DataFra
     return rows.where(_not_system(F.col("path")))
 
 
-def json_attribute_rows(events: DataFrame, document: str, depth: int = 3) -> DataFrame:
-    """The same rows from JSON text: one level of objects is opened per round, lists only leave their length."""
+def json_attribute_rows(events: DataFrame, document: str) -> DataFrame:
+    """The same rows from JSON text: objects are opened level by level until none is left; lists only leave their length."""
     keep = ["event_id", "customer_id", "event_type", "ts"]
     open_rows = events.where(F.col("event_type").isin(*PRODUCT_EVENTS)).select(
         *keep, F.lit("").alias("prefix"), F.try_parse_json(document).alias("v"))
     done = None
-    for level in range(depth):
+    while True:
         opened = open_rows.select(*keep, "prefix", F.col("v")).lateralJoin(
             events.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select("key", "value"))
         named = opened.where(F.col("key").isNotNull()).select(
             *keep, F.concat("prefix", "key").alias("path"), F.col("value").alias("v")).where(_not_system(F.col("path")))
         kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") if level < depth - 1 else F.lit(False)
-        leaves = named.where(~nested).select(*keep, "path", F.when(
+        level = cut(named.select(*keep, "path", kind.startswith("OBJECT").alias("nested"), F.when(kind.startswith("OBJECT"), F.to_json("v")).when(
             kind.startswith("ARRAY"), F.concat(F.lit("[list:"), F.json_array_length(F.to_json("v")).cast("string"), F.lit("]"))
-        ).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
+        ).otherwise(F.try_variant_get("v", "$", "string")).alias("value")))
+        leaves = level.where("not nested").select(*keep, "path", "value")
         done = leaves if done is None else done.unionByName(leaves)
-        open_rows = named.where(nested).select(*keep, F.concat("path", F.lit(".")).alias("prefix"), "v")
-    return done
+        deeper = level.where("nested")
+        if deeper.isEmpty():
+            return done
+        open_rows = deeper.select(*keep, F.concat("path", F.lit(".")).alias("prefix"), F.try_parse_json("value").alias("v"))
 
 
 def attribute_counts(rows: DataFrame) -> DataFrame:

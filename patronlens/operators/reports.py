@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +69,21 @@ def first_seen_cohorts(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy(F.date_format("first_seen", "yyyy-MM").alias("cohort"), "behavior_type").agg(F.count("*").alias("customers"))
 
 
-def order_statistics(frame: DataFrame, column: str, fractions: dict[str, tuple[int, int]], accuracy: int = 20_000) -> DataFrame:
+def order_statistics(
+    frame: DataFrame, column: str, fractions: dict[str, tuple[int, int]], accuracy: int = 20_000, position: Callable[[Column, int, int], Column] | None = None,
+) -> DataFrame:
     """Value at 0-based position floor(a*n/b) of the sorted column, exactly, as one row.
 
+    `position(n, a, b)` may give another position near that one, at most b away.
+
     A quantile sketch with a guaranteed rank error brackets every position first.
     A second pass folds all values outside the bracket into one count on either
     side, so only the small share of distinct values inside it is ever ordered.
     """
     names = list(fractions)
     slack = 2.0 / accuracy
+    if position:
+        slack += max(b for _, b in fractions.values()) / max(frame.where(F.col(column).isNotNull()).count(), 1)
     edges = [e for a, b in fractions.values() for e in (max(0.0, a / b - slack), min(1.0, a / b + slack))]
     value = F.col(column).cast("double")
     sketch = frame.agg(F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), F.lit(accuracy))).scalar()
@@ -91,7 +99,7 @@ def order_statistics(frame: DataFrame, column: str, fractions: dict[str, tuple[i
     placed = folded.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("i"))})
     wanted = F
     for i, (a, b) in enumerate(fractions.values()):
-        wanted = wanted.when(F.col("i") == i, F.floor(F.col("total") * a / b))
+        wanted = wanted.when(F.col("i") == i, position(F.col("total"), a, b) if position else F.floor(F.col("total") * a / b))
     hit = placed.withColumn("wanted", wanted).where(
         (F.col("side") == 1) & (F.col("upto") - F.col("n") <= F.col("wanted")) & (F.col("upto") > F.col("wanted")))
     return hit.agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])

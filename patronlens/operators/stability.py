@@ -60,7 +60,7 @@ def _labels(model, vectors: DataFrame) -> DataFrame:
 
 
 def feature_sensitivity(
-    profiles: DataFrame, k: int = 5, seed: int = 42, threshold: float = CRITICAL_ARI, restarts: int = 3,
+    profiles: DataFrame, k: int = 5, seed: int = 42, threshold: float = CRITICAL_ARI, restarts: int = 10,
     names: Sequence[str] = FEATURES,
 ) -> DataFrame:
     """One row per left-out feature: agreement with the full clustering and whether it is critical.
@@ -87,7 +87,7 @@ def feature_stability(sensitivity: DataFrame) -> DataFrame:
 
 
 def window_labels(
-    profiles: DataFrame, days: Sequence[int] = WINDOWS, k: int = 5, seed: int = 42, restarts: int = 3,
+    profiles: DataFrame, days: Sequence[int] = WINDOWS, k: int = 5, seed: int = 42, restarts: int = 10,
     names: Sequence[str] = FEATURES,
 ) -> DataFrame | None:
     """Labels per trailing window; windows with at most k customers are skipped."""
@@ -138,7 +138,7 @@ def bootstrap_weight(customer: Column, replicate: int) -> Column:
 
 
 def sampling_stability(
-    profiles: DataFrame, replicates: int = 10, k: int = 5, seed: int = 42, restarts: int = 1, names: Sequence[str] = FEATURES,
+    profiles: DataFrame, replicates: int = 10, k: int = 5, seed: int = 42, restarts: int = 10, names: Sequence[str] = FEATURES,
 ) -> DataFrame:
     """Agreement of every bootstrap clustering with the one of all customers."""
     plain = cut(cluster_features(profiles, names))
@@ -205,7 +205,7 @@ def segment_robustness(joined: DataFrame, include_sampling: bool = False) -> Dat
 
 
 def population_sensitivity(
-    profiles: DataFrame, k: int = 5, seed: int = 42, replicates: int = 10, include_sampling: bool = True, restarts: int = 3,
+    profiles: DataFrame, k: int = 5, seed: int = 42, replicates: int = 10, include_sampling: bool = True, restarts: int = 10,
 ) -> DataFrame:
     """One row: feature, time and sampling stability of the whole population with tier and advice."""
     profiles = cut(profiles)

@@ -142,9 +142,9 @@ def cross_category(affinity: DataFrame, profiles: DataFrame, source: tuple[int,
     return category_whitespace(rows, statistics, found, ["pair"]), found
 
 
-def segment_whitespace(members: DataFrame, top: DataFrame, categories: DataFrame) -> DataFrame:
-    """Lookalikes of every segment per category, from the top candidates only."""
-    joined = members.join(top.select("customer_id", *KEYS, "similarity"), "customer_id")
+def segment_whitespace(members: DataFrame, found: DataFrame, categories: DataFrame) -> DataFrame:
+    """Lookalikes of every segment per category; over segments of all customers they add up to the category's."""
+    joined = members.join(found.select("customer_id", *KEYS, "similarity"), "customer_id")
     grouped = joined.groupBy("segment_id", *KEYS).agg(F.count("*").alias("n_lookalikes"), F.avg("similarity").alias("avg_similarity"))
     return grouped.join(categories.select(*KEYS, "buyer_avg_clv"), KEYS).withColumn(
         "opportunity_value", F.col("buyer_avg_clv") * F.col("n_lookalikes"))

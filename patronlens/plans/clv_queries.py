@@ -60,7 +60,7 @@ def clv_regression_metrics(spark, folder):
 
 
 @query("clv_time_folds", with_(profiles_sql("shop"), select="""
-SELECT CAST(f AS BIGINT) AS fold, count(*) AS customers FROM (SELECT (SELECT count(*) FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i) m JOIN pos q ON q.rn = CAST(floor(n * i / CAST(6 AS DOUBLE)) AS BIGINT) WHERE q.t <= x.t) AS f
+SELECT CAST(f AS BIGINT) AS fold, count(*) AS customers FROM (SELECT (SELECT count(*) FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i) m JOIN pos q ON q.rn = n - (6 - i) * (n // 6) WHERE q.t <= x.t) AS f
 FROM pos x) GROUP BY 1""").replace("SELECT CAST(f AS BIGINT) AS fold", ", pos AS (SELECT epoch_us(last_seen) AS t, row_number() OVER (ORDER BY last_seen) - 1 AS rn, count(*) OVER () AS n FROM profiles)\nSELECT CAST(f AS BIGINT) AS fold", 1))
 def clv_time_folds(spark, folder):
     folds = clv.time_folds(shop_profiles(spark, folder).select("customer_id", "last_seen"))

@@ -79,12 +79,12 @@ def attribute_profile(spark, folder):
 
 @query("json_attribute_profile", """
 SELECT path, count(*) AS occurrences, count(DISTINCT value) AS distinct_values, count(DISTINCT user_id) AS customers FROM (
-  SELECT user_id, unnest(['k', 'meta.kind', 'meta.deep.v', 'tags']) AS path, unnest([CAST(k AS VARCHAR), event_type, CAST(k % 3 AS VARCHAR), '[list:2]']) AS value
+  SELECT user_id, unnest(['k', 'meta.kind', 'meta.deep.v', 'meta.deep.er.est.w', 'tags']) AS path, unnest([CAST(k AS VARCHAR), event_type, CAST(k % 3 AS VARCHAR), CAST(k % 7 AS VARCHAR), '[list:2]']) AS value
   FROM (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)) GROUP BY 1""".replace("count(DISTINCT user_id)", "CASE WHEN path = 'tags' THEN 0 ELSE count(DISTINCT user_id) END"))
 def json_attribute_profile(spark, folder):
     k = F.from_json("props", "k INT")["k"]
     document = F.to_json(F.struct(
-        k.alias("k"), F.struct(F.col("event_type").alias("kind"), F.struct((k % 3).alias("v")).alias("deep")).alias("meta"),
+        k.alias("k"), F.struct(F.col("event_type").alias("kind"), F.struct((k % 3).alias("v"), F.struct(F.struct((k % 7).alias("w")).alias("est")).alias("er"), F.lit("y").alias("Session_ID")).alias("deep")).alias("meta"),
         F.array(F.lit("a"), F.lit("b")).alias("tags"), F.lit("x").alias("visit_id")))
     log = retail.table(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("customer_id"), F.lit("view_item").alias("event_type"),

@@ -196,6 +196,6 @@ _register("critical_feature_report", """SELECT f AS feature, count(*) AS segment
 
 @query("prioritised_segments")
 def prioritised_segments(spark, folder):
-    tables = run(retail.web_events(spark, folder), retail.web_id_history(spark, folder), retail.instant(retail.WEB_REFERENCE), k=4, restarts=2)
+    tables = run(retail.web_events(spark, folder), retail.web_id_history(spark, folder), retail.instant(retail.WEB_REFERENCE), k=4)
     return tables["segments"].select("segment_id", "name", "size", "total_clv", "is_valid", "is_actionable", "is_usable", "priority_score",
                                      F.array_join("usability_reasons", "|").alias("usability_reasons"), "whitespace_value")

@@ -101,20 +101,20 @@ def _vectors(spark, folder):
 @query("kmeans_clusters")
 def kmeans_clusters(spark, folder):
     vectors = _vectors(spark, folder)
-    model = clustering.fit_kmeans(vectors, 5, restarts=3)
+    model = clustering.fit_kmeans(vectors, 5)
     return clustering.cluster_sizes(model.transform(vectors)).withColumn("inertia", F.lit(model.summary.trainingCost))
 
 
 @query("kmeans_k_search")
 def kmeans_k_search(spark, folder):
-    scores = clustering.search_k(_vectors(spark, folder), range(2, 6), restarts=1)
+    scores = clustering.search_k(_vectors(spark, folder), range(2, 11), restarts=2)
     rows = [(k, float(i), float(s), k == clustering.best_k(scores)) for k, i, s in scores]
     return spark.createDataFrame(rows, "k bigint, inertia double, silhouette double, is_best boolean")
 
 
 @query("created_segments")
 def created_segments(spark, folder):
-    made = clustering.create_segments(web_profiles(spark, folder), web_affinity(spark, folder), k=4, restarts=2)
+    made = clustering.create_segments(web_profiles(spark, folder), web_affinity(spark, folder), k=4)
     return made.segments.select("segment_id", "name", "description", "size", "total_clv", "avg_clv", "avg_order_value")
 
 

@@ -12,14 +12,20 @@ from patronlens.operators import clustering, identity, profiles, scoring, stabil
 
 
 def run(
-    events: DataFrame, history: DataFrame, reference: Column, k: int | None = None, k_range: Sequence[int] = range(3, 9), seed: int = 42,
-    restarts: int = 10, include_sampling: bool = False, strict_order: bool = False, predictions: DataFrame | None = None,
+    events: DataFrame, history: DataFrame, reference: Column, k: int | None = None, k_range: Sequence[int] = range(3, 11), seed: int = 42,
+    restarts: int = 10, include_sampling: bool = False, strict_order: bool = False, predictions: DataFrame | None = None, lenient_merges: bool = False,
 ) -> dict[str, DataFrame]:
     """Profiles, members, segments, robustness, whitespace and prioritised segments.
 
     Dimensions are evaluated before validation, so that a segment is not rejected
-    for lacking what was never computed; `strict_order` validates without them.
+    for lacking what was never computed; `strict_order` validates without them. A merge
+    history with issues is an error; `lenient_merges` leaves the ids concerned unmerged
+    and reports them in `merge_issues`.
     """
+    issues = cut(identity.merge_issues(history))
+    if not lenient_merges and not issues.isEmpty():
+        first = issues.orderBy("past_id", "issue").first()
+        raise identity.MergeHistoryError(f"{first['issue']}: {first['past_id']}")
     merge_map = cut(identity.resolve_merges(history))
     resolved = identity.remap_customers(events, merge_map)
     people = cut(profiles.build_profiles(resolved, reference, merge_map))
@@ -37,9 +43,9 @@ def run(
     statistics, neighbours = whitespace.similarity(rows, whitespace.KEYS, whitespace.CATEGORY_FEATURES)
     found = cut(whitespace.lookalikes(neighbours))
     categories = cut(whitespace.category_whitespace(rows, statistics, found))
-    per_category = whitespace.segment_whitespace(made.members, whitespace.ranked_candidates(found), categories)
+    per_category = whitespace.segment_whitespace(made.members, found, categories)
     ranked = scoring.priority(scoring.usability(judged).join(whitespace.segment_opportunity(per_category), "segment_id", "left"))
     return {
-        "merge_map": merge_map, "profiles": people, "affinity": affinity, "members": made.members, "segments": cut(ranked), "lookalikes": found,
+        "merge_map": merge_map, "merge_issues": issues, "profiles": people, "affinity": affinity, "members": made.members, "segments": cut(ranked), "lookalikes": found,
         "category_whitespace": categories, "segment_whitespace": per_category, "cluster_statistics": made.statistics,
     }

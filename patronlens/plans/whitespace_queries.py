@@ -150,13 +150,13 @@ def whitespace_summary(spark, folder):
 
 _SEGMENT_WS = """
 segws AS (SELECT segment_id, level, category, count(*) AS n_lookalikes, avg(similarity) AS avg_similarity, count(*) * any_value(buyer_avg_clv) AS opportunity_value
-  FROM members JOIN cand USING (customer_id) JOIN (SELECT level, category, buyer_avg_clv FROM ws) USING (level, category) WHERE position <= 100 GROUP BY 1, 2, 3)"""
+  FROM members JOIN cand USING (customer_id) JOIN (SELECT level, category, buyer_avg_clv FROM ws) USING (level, category) GROUP BY 1, 2, 3)"""
 
 
 def _segment_ws(spark, folder):
     found = _whitespace(spark, folder)
     categories = whitespace.category_whitespace(*found)
-    return whitespace.segment_whitespace(members(shop_profiles(spark, folder), 5), whitespace.ranked_candidates(found[2]), categories)
+    return whitespace.segment_whitespace(members(shop_profiles(spark, folder), 5), found[2], categories)
 
 
 @query("segment_whitespace", oracle("""SELECT segment_id, CAST(level AS BIGINT) AS level, category, n_lookalikes, round(avg_similarity, 6) AS avg_similarity, round(opportunity_value, 4) AS opportunity_value FROM segws""",

@@ -337,5 +337,5 @@ def source_rows(
     if sample_rate is not None and sample_rate < 1.0:
         rows = rows.sample(fraction=sample_rate, seed=seed)
     if limit is not None:
-        rows = rows.orderBy(config.timestamp_field).limit(limit)
+        rows = rows.orderBy(config.timestamp_field, F.xxhash64(*rows.columns), *[c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]).limit(limit)
     return rows

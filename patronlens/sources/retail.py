@@ -22,14 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Give an input with fewer splits than cores to all cores, by a unique key.
+#: Session setting for local runs on small single-split files: how many parts to deal a table to. Unset on a cluster.
+INPUT_PARTS = "spark.patronlens.inputParts"
+
 
-    Inputs of many files or row groups already have more splits than cores and
-    are left as they are, so this never shuffles a large table.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Deal a table to the parts that the session asks for; without that setting nothing is shuffled, at any size."""
+    parts = frame.sparkSession.conf.get(INPUT_PARTS, None)
+    return frame.repartition(int(parts), key) if parts else frame
 
 
 def instant(text: str):

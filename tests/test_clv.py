@@ -45,3 +45,12 @@ def test_holdout_is_the_most_recent_part(spark, people):
     past, recent = clv.time_holdout(table)
     assert past.agg(F.max("last_seen")).first()[0] < recent.agg(F.min("last_seen")).first()[0]
     assert past.count() + recent.count() == table.count()
+
+
+def test_time_folds_and_holdout_follow_positions(spark):
+    """1504 rows and five splits: test folds of 250 rows each, the remainder goes to the first training fold."""
+    table = spark.range(1504).selectExpr("cast(id as string) as customer_id", "timestamp_seconds(id * 60) as last_seen")
+    folds = {r["fold"]: r["count"] for r in clv.time_folds(table, 5).groupBy("fold").count().collect()}
+    assert folds == {0: 254, 1: 250, 2: 250, 3: 250, 4: 250, 5: 250}
+    past, recent = clv.time_holdout(table, 0.2)
+    assert (past.count(), recent.count()) == (1203, 301)
