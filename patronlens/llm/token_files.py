@@ -44,6 +44,8 @@ LANES = 8192
 SHORTEST_LANE = 64
 HASH_BITS = 18
 BATCH_BYTES = 1 << 20
+#: Next confidence of a guess by (missed or hit) * 8 + confidence.
+_SURER = np.array([0, 0, 0, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 6, 7, 7], np.int8)
 _TOP, _WINDOW = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 
 
@@ -54,7 +56,7 @@ class _Model:
         self.counts = np.ones(vocabulary, np.int64)
         self.step = max(1, (1 << 21) // max(lanes, 1) // 16)
         self.guess = [np.zeros(vocabulary, np.int32), np.zeros(1 << HASH_BITS, np.int32)]
-        self.sure = [np.zeros(vocabulary, np.int16), np.zeros(1 << HASH_BITS, np.int16)]
+        self.sure = [np.zeros(vocabulary, np.int8), np.zeros(1 << HASH_BITS, np.int8)]
         self.tables = [np.full((16, 3), 32, np.int64), np.full((8, 3), 32, np.int64), np.full((1, 3), 32, np.int64)]
         self.weights = np.array([86, 85, 85], np.int64)
         self.one = np.zeros(lanes, np.int64)
@@ -64,37 +66,33 @@ class _Model:
         """Guesses of both orders for the first n lanes and the frequencies of the three outcomes."""
         one = self.one[:n]
         self.spot = ((self.two[:n] * 0x9E3779B1 + one * 0x85EBCA77) >> 7) & ((1 << HASH_BITS) - 1)
-        self.first, self.second = self.guess[0][one], self.guess[1][self.spot]
-        self.sure1, self.sure2 = self.sure[0][one], self.sure[1][self.spot]
-        self.agree = self.first == self.second
-        self.keys = [self.sure1 * 2 + self.agree, self.sure2, None]
+        self.first, self.second = self.guess[0].take(one), self.guess[1].take(self.spot)
+        self.sure1, self.sure2 = self.sure[0].take(one), self.sure[1].take(self.spot)
+        # one key for the confidence of order 1, whether the guesses agree, and the confidence of order 2
+        self.key = (((self.sure1 << 1) | (self.first == self.second)).astype(np.int64) << 3) | self.sure2
         self.shares = [(t << 16) // t.sum(axis=1, keepdims=True) for t in self.tables]
-        mixed = [(w * s) >> 8 for w, s in zip(self.weights, self.shares, strict=True)]
-        by1, by2 = (mixed[0] + mixed[2])[:, 1:], mixed[1][:, 1:]
-        chance = by1[self.keys[0]] + by2[self.keys[1]]
-        self.second_share = np.maximum(chance[:, 1], 32)
-        self.first_share = np.maximum(chance[:, 0], 32)
-        self.second_share += np.where(self.agree, self.first_share, 0)
-        self.first_share[self.agree] = 0
+        one_, two_, all_ = ((w * s) >> 8 for w, s in zip(self.weights, self.shares, strict=True))
+        mixed = np.maximum((one_ + all_)[:, None, :] + two_[None, :, :], 32).reshape(8, 2, 8, 3)
+        mixed[:, 1, :, 2] += mixed[:, 1, :, 1]
+        mixed[:, 1, :, 1] = 0
+        self.first_share, self.second_share = mixed[..., 1].ravel().take(self.key), mixed[..., 2].ravel().take(self.key)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         n = len(ids)
-        width = [16, 8, 1]
+        seen = np.bincount(self.key * 3 + outcome, minlength=384).reshape(16, 8, 3)
         gains = []
-        for k in range(3):
-            key = outcome if k == 2 else self.keys[k].astype(np.int64) * 3 + outcome
-            seen = np.bincount(key, minlength=3 * width[k]).reshape(width[k], 3)
-            gains.append(int((seen * self.shares[k]).sum()))
-            self.tables[k] += seen
-            full = self.tables[k].sum(axis=1) > 1 << 20
+        for table, share, own in zip(self.tables, self.shares, (seen.sum(axis=1), seen.sum(axis=0), seen.sum(axis=(0, 1))[None, :]), strict=True):
+            gains.append(int((own * share).sum()))
+            table += own
+            full = table.sum(axis=1) > 1 << 20
             if full.any():
-                self.tables[k][full] = (self.tables[k][full] >> 1) + 1
+                table[full] = (table[full] >> 1) + 1
         total = sum(gains)
         self.weights = np.maximum((3 * self.weights + np.array([256 * g // total for g in gains])) >> 2, 8)
         self.weights[0] += 256 - int(self.weights.sum())
         for order, (at, guess, sure) in enumerate(((self.one[:n], self.first, self.sure1), (self.spot, self.second, self.sure2))):
             hit = guess == ids
-            self.sure[order][at] = np.where(hit, np.minimum(sure + 1, 7), np.maximum(sure - 2, 0))
+            self.sure[order][at] = _SURER.take((hit.view(np.int8) << 3) | sure)
             self.guess[order][at] = np.where(hit | (sure > 1), guess, ids)
         self.counts += np.bincount(ids, minlength=len(self.counts)) * self.step
         if self.counts.sum() > 1 << 22:

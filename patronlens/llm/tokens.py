@@ -1,8 +1,8 @@
-"""Token ids of texts by a public tokenizer file, with a memory of word pieces.
+"""Token ids of texts by a public tokenizer file, with a memory of words.
 
-Texts within Latin-1 are split here by the tokenizer's own split rule, and each distinct
-piece is encoded by the tokenizers library once; everything else goes to the library as a
-whole. Both ways give the library's ids for the whole text.
+White space always separates pieces of the split rule, so texts within Latin-1 are split at white space here
+and each distinct word is encoded by the tokenizers library once; everything else goes to
+the library as a whole. Both ways give the library's ids for the whole text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import numpy as np
 #: The split rule and white space of word_bpe_49k.json, within Latin-1 and in lower case.
 _LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085 "
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
-CACHED_PIECES = 600_000
+#: Characters that str.split takes as white space and the tokenizer does not.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+CACHED_WORDS = 1_000_000
 END = 1
 
 
@@ -27,20 +29,20 @@ def default_path() -> str:
 
 
 class _Memory(dict):
-    """Numbers of pieces; an unknown piece gets the next number and is put down as new."""
+    """Numbers of words; an unknown word gets the next number and is put down as new."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.new.append(piece)
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
         return number
 
 
 class Encoder:
-    """Ids of batches of texts; the piece memory is bounded and lives with the Python worker."""
+    """Ids of batches of texts; the word memory is bounded and lives with the Python worker."""
 
     def __init__(self, path: str, split_here: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,20 +59,21 @@ class Encoder:
         self.flat, self.begins, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.held = 0
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces one after another, and how many each has."""
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.int32)
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
         ends = np.flatnonzero(self.closing[ids])
-        if len(ends) != len(pieces):
-            found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        last = np.cumsum([len(_PIECES.findall(w)) for w in words])
+        if len(ends) != last[-1]:
+            found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
             return np.array(list(chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
-        return ids, np.diff(ends, prepend=-1)
+        return ids, np.diff(ends[last - 1], prepend=-1)
 
     def _learn(self) -> None:
-        pieces, self.number.new = self.number.new, []
-        for at in range(0, len(pieces), 1000):
-            ids, sizes = self._encoded(pieces[at : at + 1000])
-            first = len(self.number) - len(pieces) + at
+        words, self.number.new = self.number.new, []
+        for at in range(0, len(words), 1000):
+            ids, sizes = self._encoded(words[at : at + 1000])
+            first = len(self.number) - len(words) + at
             while first + len(sizes) > len(self.begins):
                 self.begins, self.sizes = np.concatenate([self.begins, self.begins]), np.concatenate([self.sizes, self.sizes])
             while self.held + len(ids) > len(self.flat):
@@ -83,22 +86,22 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """int32 ids of each text; a null text has none."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        here, pieces, whole = [], [], []
+        here, words, whole = [], [], []
         for at, text in enumerate(texts):
             if not text:
                 out[at] = np.zeros(0, np.int32)
-            elif self.split_here and "<|" not in text and (text.isascii() or _latin(text)):
+            elif self.split_here and "<|" not in text and (text.isascii() or _latin(text)) and not _NOT_SPACE.search(text):
                 here.append(at)
-                pieces.append(_PIECES.findall(text.lower()))
+                words.append(text.lower().split())
             else:
                 whole.append(at)
         for at, found in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
             out[at] = np.array(found.ids, np.int32)
         if here:
-            if len(self.number) > CACHED_PIECES:
+            if len(self.number) > CACHED_WORDS:
                 self._clear()
-            counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+            counts = np.fromiter(map(len, words), np.int64, len(words))
+            numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
             self._learn()
             sizes = self.sizes[numbers]
             ends = np.cumsum(sizes)
