@@ -65,7 +65,7 @@ class Shingler:
         cache = self.cache
         if len(cache) > CACHED_WORDS:
             cache.clear()
-        for token in set(tokens) - cache.keys():
+        for token in {t for t in tokens if t not in cache}:
             cache[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
         hashes = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
         n = max(1, len(tokens) - self.words + 1)
