@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from patronlens.llm.common import stored
 
 TREES = 8
-LEAF = 512
+LEAF = 1024
 SAMPLE = 20_000
 TRIALS = 128
 RECALL = 0.96
@@ -149,40 +149,50 @@ def plant(sample: np.ndarray, depth: int, longest: float, trees: int = TREES, se
     return forest
 
 
-def _best(scores: np.ndarray, query: np.ndarray, vectors: np.ndarray, ids: list[list[int]], most: int) -> list[tuple[float, int]]:
-    """The `most` best (score, id), scores recomputed for each pair alone so that equal vectors have equal scores."""
-    wide = min(len(scores), most + 8)
-    near = np.argpartition(-scores, wide - 1)[:wide] if len(scores) > wide else np.arange(len(scores))
-    exact = (vectors[near] * query).sum(axis=1)
-    return sorted(((float(s), i) for s, k in zip(exact, near.tolist(), strict=True) for i in ids[k]), key=lambda x: (-x[0], x[1]))[:most]
+def _best(scores: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: pa.ListArray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and scores of its `most` best entries at least, best first.
 
+    Scores are recomputed for each pair alone, so that equal vectors have equal scores.
+    """
+    wide = min(scores.shape[1], most + 8)
+    near = np.argpartition(-scores, wide - 1, axis=1)[:, :wide] if scores.shape[1] > wide else np.tile(np.arange(wide), (len(queries), 1))
+    ends, flat = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]), ids.flatten().to_numpy()
+    out = []
+    for query, own in zip(queries, near, strict=True):
+        exact = (vectors[own] * query).sum(axis=1)
+        sizes = ends[own + 1] - ends[own]
+        names = flat[np.repeat(ends[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        score = np.repeat(exact, sizes)
+        order = np.lexsort((names, -score))[:most]
+        out.append((names[order], score[order]))
+    return out
 
-def _answers(keys: list, found: list[list[tuple[float, int]]]) -> pa.RecordBatch:
-    hit = pa.array([[{"score": s, "id": i} for s, i in own] for own in found], pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), hit], ["query", "hits"])
 
+def _answers(keys: list, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row a query; scores are negated, so that the natural order of a hit is best first, smaller id first."""
+    ids = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+    far = -np.concatenate([np.zeros(0), *(f[1] for f in found)])
+    ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
+    hits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(far), pa.array(ids)], ["far", "id"]))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), hits], ["query", "hits"])
 
-_HITS = "query long, hits array<struct<score: double, id: long>>"
+
+_HITS = "query long, hits array<struct<far: double, id: long>>"
 
 
 def _merged(parts: DataFrame, most: int) -> DataFrame:
     """The `most` best of all partial answers of a query; a query has one part for each leaf it asked."""
-    hits = F.array_distinct(F.flatten(F.collect_list("hits")))
-    ordered = F.array_sort(hits, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    return parts.groupBy("query").agg(F.slice(ordered, 1, most).alias("hits"))
+    return parts.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, most).alias("hits"))
 
 
 def brute_force(entries: DataFrame, keys: list[int], queries: np.ndarray, most: int) -> DataFrame:
     """Exact answers to a stated, small set of queries."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in keys]
         for batch in batches:
-            vectors, ids = _matrix(batch.column("v")), batch.column("ids").to_pylist()
-            for at, scores in enumerate(queries @ vectors.T if len(ids) else []):
-                best[at] = sorted({*best[at], *_best(scores, queries[at], vectors, ids, most)}, key=lambda x: (-x[0], x[1]))[:most]
-        if any(best):
-            yield _answers(keys, best)
+            if batch.num_rows:
+                vectors = _matrix(batch.column("v"))
+                yield _answers(keys, _best(queries @ vectors.T, queries, vectors, batch.column("ids"), most))
 
     return _merged(entries.mapInArrow(scan, _HITS), most)
 
@@ -247,12 +257,12 @@ def search(rows: DataFrame, is_query: Column, top: int = 20, row_id: str = "vec_
         if not own.num_rows or not asking.num_rows:
             return pa.Table.from_batches([_answers([], [])])
         own, asking = own.combine_chunks(), asking.combine_chunks()
-        vectors, ids = _matrix(own.column("v").combine_chunks()), own.column("ids").to_pylist()
+        vectors, ids = _matrix(own.column("v").combine_chunks()), own.column("ids").combine_chunks()
         keys, points = asking.column("rep").to_pylist(), _matrix(asking.column("v").combine_chunks())
         found = []
         for begin in range(0, len(keys), 256):
-            scores = points[begin : begin + 256] @ vectors.T
-            found += [_best(s, q, vectors, ids, top + 1) for s, q in zip(scores, points[begin : begin + 256], strict=True)]
+            some = points[begin : begin + 256]
+            found += _best(some @ vectors.T, some, vectors, ids, top + 1)
         return pa.Table.from_batches([_answers(keys, found)])
 
     grouping = ["tree", "leaf", "part"]
@@ -260,4 +270,4 @@ def search(rows: DataFrame, is_query: Column, top: int = 20, row_id: str = "vec_
     best = _merged(answers, top + 1)
     mine = asked.select(F.col("id").alias("query_id"), "rep").join(best, F.col("rep") == F.col("query"))
     others = mine.select("query_id", F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, top).alias("hits"))
-    return others.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))
+    return others.select("query_id", F.posexplode("hits").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
