@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from patronlens.llm.common import slices, stored
 
-OUTPUTS = 512
-GROUPS = 128
+OUTPUTS = 256
+GROUPS = 96
 CONTEXT = 5
-WIDTH = 32
+WIDTH = 24
 KNOWN_WORDS = 200_000
 TRAIN_DOCUMENTS = 3000
 TRAIN_TOKENS = 4096
