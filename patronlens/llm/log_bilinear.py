@@ -9,9 +9,12 @@ normalised over all events by batched matrix products, so a text has a proper pr
 
 Word counts are exact and cover all training rows: tasks send partial counts, and nothing
 but the `KNOWN_WORDS` commonest words (a bounded table) is broadcast; all other words of a
-text are looked up by a join on the word. The neural part is fitted on a bounded sample of
-training rows: `TRAIN_DOCUMENTS` with the smallest hash, of each at most `TRAIN_TOKENS`
-tokens from a place given by its hash. Scoring covers every token of every row.
+text are looked up by a join on the word. The neural part is fitted on every token of every
+training row: texts are cut into pieces of `PIECE` events, each with the events before it as
+context, and dealt by hash into parts of about `PART` events. In each epoch every part makes
+one pass from the shared parameters, and their averages, weighted by events and summed in
+the tasks, start the next epoch; only parameter arrays reach the driver. Scoring covers
+every token of every row.
 
 Defined results: a null text is empty, which is the end token alone; without training rows
 all counts are 0 and all events are equally likely. Repeated rows are scored one by one;
@@ -22,13 +25,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,9 @@ GROUPS = 96
 CONTEXT = 5
 WIDTH = 24
 KNOWN_WORDS = 200_000
-TRAIN_DOCUMENTS = 3000
-TRAIN_TOKENS = 4096
+#: Events of a training piece, and of all pieces that one pass of an epoch sees.
+PIECE = 1 << 15
+PART = 1 << 21
 NOISE = 64
 EPOCHS = 4
 BATCH_BYTES = 1 << 20
@@ -115,42 +119,113 @@ def contexts(events: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(events: np.ndarray, sizes: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place weights, source and sink vectors and biases by noise-contrastive estimation with Adagrad."""
-    rng = np.random.default_rng(seed)
+def begin_training(share: np.ndarray, rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """First parameters (place weights, source and sink vectors, biases) and their Adagrad sums."""
     place = np.ones((CONTEXT, WIDTH), np.float32) / CONTEXT
     source = rng.normal(0, 0.1, (OUTPUTS + 1, WIDTH)).astype(np.float32)
     sink = rng.normal(0, 0.1, (OUTPUTS, WIDTH)).astype(np.float32)
-    share = (np.bincount(events, minlength=OUTPUTS) + 1.0) / (len(events) + OUTPUTS)
-    bias = np.log(share).astype(np.float32)
+    parameters = [place, source, sink, np.log(share).astype(np.float32)]
+    return parameters, [np.full_like(p, 1e-3) for p in parameters]
+
+
+def one_pass(parameters: list[np.ndarray], squares: list[np.ndarray], before: np.ndarray, events: np.ndarray, share: np.ndarray, epoch: int, rng: np.random.Generator) -> None:
+    """One pass of noise-contrastive estimation with Adagrad over events and their contexts, in place."""
+    place, source, sink, bias = parameters
     noise_log = np.log(NOISE * share).astype(np.float32)
+    order = rng.permutation(len(events))
+    for begin in range(0, len(order), 2048):
+        rows = order[begin : begin + 2048]
+        ctx, goal = before[rows], events[rows]
+        noise = rng.choice(OUTPUTS, NOISE, p=share)
+        vectors = source[ctx]
+        hidden = (vectors * place).sum(axis=1)
+        good = 1 / (1 + np.exp(-((hidden * sink[goal]).sum(axis=1) + bias[goal] - noise_log[goal])))
+        bad = 1 / (1 + np.exp(-(hidden @ sink[noise].T + bias[noise] - noise_log[noise])))
+        up, down = (good - 1) / len(rows), bad / len(rows)
+        slope_hidden = up[:, None] * sink[goal] + down @ sink[noise]
+        slopes = [(vectors * slope_hidden[:, None, :]).sum(axis=0), np.zeros_like(source), np.zeros_like(sink), np.zeros_like(bias)]
+        _add_rows(slopes[1], ctx.ravel(), (slope_hidden[:, None, :] * place).reshape(-1, WIDTH))
+        _add_rows(slopes[2], goal, up[:, None] * hidden)
+        slopes[3] += np.bincount(goal, up, OUTPUTS)
+        np.add.at(slopes[2], noise, down.T @ hidden)
+        np.add.at(slopes[3], noise, down.sum(axis=0))
+        for p, q, g in zip(parameters, squares, slopes, strict=True):
+            q += g * g
+            p -= (0.15 / (1 + epoch)) * g / np.sqrt(q)
+
+
+def _untrained() -> list[np.ndarray]:
+    return [np.zeros((CONTEXT, WIDTH), np.float32), np.zeros((OUTPUTS + 1, WIDTH), np.float32), np.zeros((OUTPUTS, WIDTH), np.float32), np.zeros(OUTPUTS, np.float32)]
+
+
+def train(events: np.ndarray, sizes: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> list[np.ndarray]:
+    """Place weights, source and sink vectors and biases from the events of one process."""
     if not len(events):
-        return place * 0, source * 0, sink * 0, np.zeros(OUTPUTS, np.float32)
-    parameters = [place, source, sink, bias]
-    squares = [np.full_like(p, 1e-3) for p in parameters]
+        return _untrained()
+    rng = np.random.default_rng(seed)
+    share = (np.bincount(events, minlength=OUTPUTS) + 1.0) / (len(events) + OUTPUTS)
+    parameters, squares = begin_training(share, rng)
     before = contexts(events, sizes)
     for epoch in range(epochs):
-        order = rng.permutation(len(events))
-        for begin in range(0, len(order), 2048):
-            rows = order[begin : begin + 2048]
-            ctx, goal = before[rows], events[rows]
-            noise = rng.choice(OUTPUTS, NOISE, p=share)
-            vectors = source[ctx]
-            hidden = (vectors * place).sum(axis=1)
-            good = 1 / (1 + np.exp(-((hidden * sink[goal]).sum(axis=1) + bias[goal] - noise_log[goal])))
-            bad = 1 / (1 + np.exp(-(hidden @ sink[noise].T + bias[noise] - noise_log[noise])))
-            up, down = (good - 1) / len(rows), bad / len(rows)
-            slope_hidden = up[:, None] * sink[goal] + down @ sink[noise]
-            slopes = [(vectors * slope_hidden[:, None, :]).sum(axis=0), np.zeros_like(source), np.zeros_like(sink), np.zeros_like(bias)]
-            _add_rows(slopes[1], ctx.ravel(), (slope_hidden[:, None, :] * place).reshape(-1, WIDTH))
-            _add_rows(slopes[2], goal, up[:, None] * hidden)
-            slopes[3] += np.bincount(goal, up, OUTPUTS)
-            np.add.at(slopes[2], noise, down.T @ hidden)
-            np.add.at(slopes[3], noise, down.sum(axis=0))
-            for p, q, g in zip(parameters, squares, slopes, strict=True):
-                q += g * g
-                p -= (0.15 / (1 + epoch)) * g / np.sqrt(q)
-    return place, source, sink, bias
+        one_pass(parameters, squares, before, events, share, epoch, rng)
+    return parameters
+
+
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([a.ravel() for a in arrays]).astype(np.float64)
+
+
+def _unflat(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    ends = np.cumsum([a.size for a in like])
+    return [part.reshape(a.shape).astype(np.float32) for part, a in zip(np.split(flat, ends[:-1]), like, strict=True)]
+
+
+_SUMS = "n long, sums binary"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all rows of a task: events, and the sum of the arrays."""
+    n, total = 0, None
+    for batch in batches:
+        for one, sums in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            n, total = n + one, np.frombuffer(sums) if total is None else total + np.frombuffer(sums)
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _learner(shared: Broadcast, share: np.ndarray, epoch: int, seed: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The pass over one part in one epoch: its events, and the parameters and Adagrad sums after it times the events."""
+
+    def learn(key: tuple, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("at", "ascending"), ("ids", "ascending")])  # no order of arrival
+        found = [np.frombuffer(i, np.int16).astype(np.int64) for i in own.column("ids").to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        events = np.concatenate(found)
+        lead = np.repeat(own.column("lead").to_numpy(), sizes)
+        goals = np.arange(len(events)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= lead  # the lead is context only
+        p, q = ([a.copy() for a in arrays] for arrays in shared.value)
+        one_pass(p, q, contexts(events, sizes)[goals], events[goals], share, epoch, np.random.default_rng([seed, epoch, key[0].as_py()]))
+        n = int(goals.sum())
+        return pa.Table.from_pydict({"n": pa.array([n], pa.int64()), "sums": pa.array([(_flat(p + q) * n).tobytes()], pa.binary())})
+
+    return learn
+
+
+def train_all(pieces: DataFrame, event_counts: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> list[np.ndarray]:
+    """Parameters from all pieces (part, at, lead, ids): each epoch averages one pass over every part."""
+    if not event_counts.sum():
+        return _untrained()
+    share = (event_counts + 1.0) / (event_counts.sum() + OUTPUTS)
+    parameters, squares = begin_training(share, np.random.default_rng(seed))
+    for epoch in range(epochs):
+        shared = pieces.sparkSession.sparkContext.broadcast((parameters, squares))
+        sums = pieces.groupBy("part").applyInArrow(_learner(shared, share, epoch, seed), _SUMS).mapInArrow(_summed, _SUMS)
+        rows = sums.repartition(8).mapInArrow(_summed, _SUMS).collect()  # at most eight rows
+        mean = sum(np.frombuffer(r["sums"]) for r in rows) / sum(r["n"] for r in rows)
+        both = _unflat(mean, parameters + squares)
+        parameters, squares = both[: len(parameters)], both[len(parameters) :]
+        shared.unpersist()
+    return parameters
 
 
 def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -211,19 +286,27 @@ def fit(rows: DataFrame, text: str = "text", learned: str = "learned") -> tuple[
         sums[r["g"]] = r["n"], r["v"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for one, h in zip(batch.column("_text").to_pylist(), batch.column("_h").to_pylist(), strict=True):
-                ids = np.array([event.get(w, -1) if w in event else group_of(w) for w in tokens_of(one)], np.int16)
-                begin = h % max(1, len(ids) - TRAIN_TOKENS + 1)
-                found.append(ids[begin : begin + TRAIN_TOKENS].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(found, pa.binary())], ["_h", "ids"])
-
-    sample = rows.where(F.col(learned)).select(F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
-    bound = sample.select("_h").orderBy("_h").limit(TRAIN_DOCUMENTS).agg(F.max("_h")).first()[0]
-    held = [] if bound is None else sample.where(F.col("_h") <= bound).dropDuplicates(["_h"]).mapInArrow(encode, "_h long, ids binary").orderBy("_h").limit(TRAIN_DOCUMENTS).collect()
-    texts = [np.frombuffer(r["ids"], np.int16).astype(np.int64) for r in held]
-    fitted = train(np.concatenate([np.zeros(0, np.int64), *texts]), np.fromiter(map(len, texts), np.int64, len(texts)))
+        for part in slices(batches, "_text", BATCH_BYTES):
+            names, at, leads, found = [], [], [], []
+            for one, h in zip(part.column("_text").to_pylist(), part.column("_h").to_pylist(), strict=True):
+                ids = np.array([event[w] if w in event else group_of(w) for w in tokens_of(one)], np.int16)
+                for begin in range(0, len(ids), PIECE):
+                    lead = min(begin, CONTEXT)
+                    names.append(h), at.append(begin), leads.append(lead)
+                    found.append(ids[begin - lead : begin + PIECE].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at, pa.int64()), pa.array(leads, pa.int32()), pa.array(found, pa.binary())], ["_h", "at", "lead", "ids"])
+
+    parts = max(1, -(-total["n"] // PART))
+    # by id and text, so that copies of a text do not meet in one part
+    named = rows.where(F.col(learned)).select(F.col(text).alias("_text"), F.xxhash64(*rows.columns).alias("_h"))
+    pieces = named.mapInArrow(encode, "_h long, at long, lead int, ids binary")
+    pieces = stored(pieces.select(F.pmod(F.xxhash64("_h", "at"), F.lit(parts)).alias("part"), F.xxhash64("_h", "at").alias("at"), "lead", "ids"))
+    event_counts = np.zeros(OUTPUTS)
+    event_counts[:GROUPS] = sums[:, 0]
+    in_table = dict(zip(words, known, strict=True))
+    event_counts[GROUPS + 1 : GROUPS + 1 + len(heads)] = [in_table[w] for w in heads]
+    event_counts[GROUPS] = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    fitted = train_all(pieces, event_counts)
     return Model(words, events, np.array(known, np.int64), total["n"], total["v"], sums[:, 0], sums[:, 1], *fitted), counts
 
 

@@ -120,3 +120,17 @@ def test_odd_rows(spark):
     unlearned = frame.withColumn("learned", F.lit(False))
     model, counts = log_bilinear.fit(unlearned)
     assert {r.n_known for r in log_bilinear.score(unlearned, model, counts, ["doc_id"]).collect()} == {0}
+
+
+def test_every_stretch_of_a_long_text_is_learned(spark, monkeypatch):
+    """Three thirds of one text with a cycle of words each; pieces and parts are many, their borders keep the context."""
+    monkeypatch.setattr(log_bilinear, "PIECE", 1000, raising=False)
+    monkeypatch.setattr(log_bilinear, "PART", 20_000, raising=False)
+    cycles = [["aa", "bb", "cc", "dd"], ["ee", "ff", "gg", "hh"], ["ii", "jj", "kk", "ll"]]
+    text = " ".join(" ".join(cycle * 10_000) for cycle in cycles)
+    frame = spark.createDataFrame([(1, text, True)], "doc_id long, text string, learned boolean")
+    model, _ = log_bilinear.fit(frame)
+    number = dict(zip(model.words, model.events, strict=True))
+    for cycle in cycles:
+        events = np.array([number[w.encode()] for w in cycle * 5])
+        assert log_bilinear.event_log10(model, events, np.array([20]))[5:].mean() > -0.3
