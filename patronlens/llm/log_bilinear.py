@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from patronlens.llm.common import slices, stored
 
-OUTPUTS = 256
+OUTPUTS = 512
 GROUPS = 96
 CONTEXT = 5
-WIDTH = 24
+WIDTH = 32
 KNOWN_WORDS = 200_000
 #: Events of a training piece, and of all pieces that one pass of an epoch sees.
 PIECE = 1 << 15

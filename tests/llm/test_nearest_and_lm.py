@@ -134,3 +134,12 @@ def test_every_stretch_of_a_long_text_is_learned(spark, monkeypatch):
     for cycle in cycles:
         events = np.array([number[w.encode()] for w in cycle * 5])
         assert log_bilinear.event_log10(model, events, np.array([20]))[5:].mean() > -0.3
+
+
+def test_four_hundred_words_are_events_of_their_own(spark):
+    words = [f"w{i}" for i in range(400)]
+    frame = spark.createDataFrame([(1, " ".join(words * 5), True)], "doc_id long, text string, learned boolean")
+    model, _ = log_bilinear.fit(frame)
+    number = dict(zip(model.words, model.events, strict=True))
+    assert len({number[w.encode()] for w in words}) == 400 and min(number[w.encode()] for w in words) > log_bilinear.GROUPS
+    assert model.source.shape[1] >= 32
