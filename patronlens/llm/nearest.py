@@ -150,15 +150,19 @@ def plant(sample: np.ndarray, depth: int, longest: float, trees: int = TREES, se
 
 
 def _best(scores: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: pa.ListArray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its `most` best entries at least, best first.
+    """For each query the ids and scores of its `most` best entries, best first, equal scores by id.
 
-    Scores are recomputed for each pair alone, so that equal vectors have equal scores.
+    Scores are recomputed for each pair alone, so that equal vectors have equal scores. The
+    matrix product only sets a border: every entry at or above its `most`-th score less the
+    rounding that both sums can have is recomputed, however many tie there.
     """
-    wide = min(scores.shape[1], most + 8)
-    near = np.argpartition(-scores, wide - 1, axis=1)[:, :wide] if scores.shape[1] > wide else np.tile(np.arange(wide), (len(queries), 1))
+    wide = min(scores.shape[1], most)
+    border = np.partition(scores, scores.shape[1] - wide, axis=1)[:, scores.shape[1] - wide]
+    slack = 4 * vectors.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max(initial=0.0)
     ends, flat = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]), ids.flatten().to_numpy()
     out = []
-    for query, own in zip(queries, near, strict=True):
+    for query, row, least in zip(queries, scores, border - slack, strict=True):
+        own = np.flatnonzero(row >= least)
         exact = (vectors[own] * query).sum(axis=1)
         sizes = ends[own + 1] - ends[own]
         names = flat[np.repeat(ends[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]

@@ -58,6 +58,14 @@ def test_copies_bad_vectors_and_ties(spark):
     assert nearest.search(frame.limit(0), F.col("id") == 0).collect() == []
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_ids(spark):
+    """Query 0 scores 1 with 200 different vectors; ids and arrival run against each other."""
+    rows = [(0, [1.0] + [0.0] * 8)] + [(i, [1.0, *[float(i >> k & 1) for k in range(8)]]) for i in range(200, 0, -1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = nearest.search(frame, F.col("id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
 def _tokens(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return [*re.findall(r"[^\x20\x09-\x0D]+", lowered), None]
