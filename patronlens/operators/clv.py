@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
 )
@@ -188,7 +189,8 @@ class Predictor:
     def predict(self, profiles: DataFrame, affinity: DataFrame, top: int = 5) -> DataFrame:
         """Non-negative prediction in cents, confidence and the features that weigh most."""
         rows = as_vectors(build_features(profiles, affinity, self.names), self.names)
-        scored = self.model.transform(rows)
+        forest = isinstance(self.model, RandomForestRegressionModel)
+        scored = self.model.transform(rows, {self.model.leafCol: "_leaves"}) if forest else self.model.transform(rows)
         return scored.select(
             "customer_id", F.round(F.greatest(F.lit(0.0), F.col("prediction")), 2).alias("predicted_clv"),
             F.round(self._confidence(), 3).alias("confidence"), F.lit(self.version).alias("model_version"), self.top_features(top).alias("top_features"))
@@ -197,8 +199,9 @@ class Predictor:
         """One minus the variation across the trees of a forest; 0.8 for other models."""
         if not isinstance(self.model, RandomForestRegressionModel):
             return F.lit(0.8)
-        # every tree is a column of its own: the predictions of a row are gathered without a shuffle
-        guesses = F.array(*[_tree_column(t) for t in self.model.trees])
+        # Spark ML names the leaf of every tree; a small array for each tree holds the predictions
+        by_tree = F.lit([list(own) for own in leaf_predictions(self.model)])
+        guesses = F.zip_with(by_tree, vector_to_array("_leaves"), lambda own, leaf: F.get(own, leaf.cast("int")))
         n = F.size(guesses)
         mean = F.aggregate(guesses, F.lit(0.0), lambda a, v: a + v) / n
         spread = F.sqrt(F.aggregate(guesses, F.lit(0.0), lambda a, v: a + v * v) / n - mean * mean)
@@ -222,10 +225,14 @@ class Predictor:
         return Predictor(loader.load(f"{path}/model"), tuple(side["names"]), tuple((n, w) for n, w in side["weights"]), side["kind"], side["version"])
 
 
+def leaf_predictions(model: RandomForestRegressionModel) -> list[list[float]]:
+    """Predictions of the leaves of each tree by leaf index, from one text of the whole forest."""
+    trees = model.toDebugString.split("\n  Tree ")[1:]
+    return [[float(line.split("Predict: ")[1]) for line in tree.splitlines() if "Predict: " in line] for tree in trees]
+
+
 def _tree_column(tree) -> Column:
     """A fitted regression tree as a nested condition over the feature columns of the vector."""
-    from pyspark.ml.functions import vector_to_array
-
     values = vector_to_array("features")
 
     def walk(node) -> Column:

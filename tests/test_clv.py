@@ -35,6 +35,15 @@ def test_tree_columns_average_to_the_forest(spark, people):
     assert gap == pytest.approx(0.0, abs=1e-6)
 
 
+def test_leaf_predictions_are_those_of_the_trees(spark, people):
+    config = clv.TrainingConfig("random_forest", params={"numTrees": 4, "maxDepth": 10})
+    predictor, _ = clv.train(*people, config)
+    rows = clv.as_vectors(clv.build_features(*people, predictor.names), predictor.names)
+    leaves = predictor.model.transform(rows, {predictor.model.leafCol: "leaves"}).select("leaves", *[clv._tree_column(t).alias(f"t{i}") for i, t in enumerate(predictor.model.trees)]).limit(200).collect()
+    held = clv.leaf_predictions(predictor.model)
+    assert leaves and all(held[i][int(r["leaves"][i])] == r[f"t{i}"] for r in leaves for i in range(4))
+
+
 def test_target_is_not_among_its_own_features():
     assert "total_revenue" not in clv.TrainingConfig().names and len(clv.names_of()) == 48
     assert "total_revenue" in clv.TrainingConfig(keep_target_as_feature=True).names
