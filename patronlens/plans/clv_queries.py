@@ -79,18 +79,17 @@ def clv_linear_contributions(spark, folder):
     return tidy(found.withColumn("contribution", F.round("contribution", 4)))
 
 
-_SMALL = {"gradient_boosting": {"maxIter": 8, "maxDepth": 4}, "random_forest": {"numTrees": 8, "maxDepth": 5}, "ridge": {}}
-_GROUPS = ("engagement", "intervals", "temporal", "category")
+_MODELS = ("gradient_boosting", "random_forest", "ridge")
 
 
 def _config(model: str) -> clv.TrainingConfig:
-    return clv.TrainingConfig(model, "total_revenue", 3, params=_SMALL[model], groups=_GROUPS)
+    return clv.TrainingConfig(model)
 
 
 @query("clv_models")
 def clv_models(spark, folder):
     out = None
-    for model in _SMALL:
+    for model in _MODELS:
         _, found = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), _config(model))
         row = found.withColumn("model", F.lit(model))
         out = row if out is None else out.unionByName(row)
@@ -142,8 +141,7 @@ def clv_top_features(spark, folder):
 
 @query("clv_ablation_importance")
 def clv_ablation_importance(spark, folder):
-    predictor, _ = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), clv.TrainingConfig(
-        "random_forest", params=_SMALL["random_forest"], groups=("engagement",)))
+    predictor, _ = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), _config("random_forest"))
     rows = clv.build_features(shop_profiles(spark, folder), shop_affinity(spark, folder), predictor.names)
     return clv.global_importance(clv.ablation_contributions(predictor.model, rows, predictor.names)).select(
         "feature", r6(F.col("importance")).alias("importance"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronlens.operators import clv
-from patronlens.plans import inputs
+from patronlens.plans import clv_queries, inputs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -44,6 +44,12 @@ def test_leaf_predictions_are_those_of_the_trees(spark, people):
     assert leaves and all(held[i][int(r["leaves"][i])] == r[f"t{i}"] for r in leaves for i in range(4))
 
 
+@pytest.mark.parametrize("model", ["gradient_boosting", "random_forest", "ridge"])
+def test_queries_train_the_whole_model(model):
+    assert clv_queries._config(model) == clv.TrainingConfig(model)
+    assert not {"_SMALL", "_GROUPS"} & set(vars(clv_queries))
+
+
 def test_target_is_not_among_its_own_features():
     assert "total_revenue" not in clv.TrainingConfig().names and len(clv.names_of()) == 48
     assert "total_revenue" in clv.TrainingConfig(keep_target_as_feature=True).names
