@@ -107,7 +107,7 @@ def kmeans_clusters(spark, folder):
 
 @query("kmeans_k_search")
 def kmeans_k_search(spark, folder):
-    scores = clustering.search_k(_vectors(spark, folder), range(2, 11), restarts=2)
+    scores = clustering.search_k(_vectors(spark, folder), range(2, 11))
     rows = [(k, float(i), float(s), k == clustering.best_k(scores)) for k, i, s in scores]
     return spark.createDataFrame(rows, "k bigint, inertia double, silhouette double, is_best boolean")
 
@@ -171,34 +171,34 @@ def aligned_labels(spark, folder):
 
 @query("feature_sensitivity")
 def feature_sensitivity(spark, folder):
-    return stability.feature_sensitivity(web_profiles(spark, folder), k=4, restarts=1)
+    return stability.feature_sensitivity(web_profiles(spark, folder), k=4)
 
 
 @query("feature_stability")
 def feature_stability(spark, folder):
-    found = stability.feature_sensitivity(web_profiles(spark, folder), k=4, restarts=1, names=features.feature_names(("value",)))
+    found = stability.feature_sensitivity(web_profiles(spark, folder), k=4)
     return stability.feature_stability(found)
 
 
 @query("window_consistency")
 def window_consistency(spark, folder):
-    return stability.window_consistency(stability.window_labels(shop_profiles(spark, folder), restarts=1))
+    return stability.window_consistency(stability.window_labels(shop_profiles(spark, folder)))
 
 
 @query("window_stability")
 def window_stability(spark, folder):
-    labels = stability.window_labels(shop_profiles(spark, folder), restarts=1)
+    labels = stability.window_labels(shop_profiles(spark, folder))
     return stability.window_stability(stability.window_consistency(labels))
 
 
 @query("sampling_stability")
 def sampling_stability(spark, folder):
-    return stability.sampling_stability(web_profiles(spark, folder), replicates=4, k=4)
+    return stability.sampling_stability(web_profiles(spark, folder), k=4)
 
 
 @query("population_sensitivity")
 def population_sensitivity(spark, folder):
-    return stability.population_sensitivity(web_profiles(spark, folder), k=4, replicates=3, restarts=1)
+    return stability.population_sensitivity(web_profiles(spark, folder), k=4)
 
 
 ROBUST_SQL = """

@@ -1,6 +1,10 @@
+import inspect
+from unittest import mock
+
 import pytest
 
-from patronlens.operators import stability
+from patronlens.operators import clustering, stability
+from patronlens.plans import segment_queries
 
 
 def scores(spark, pairs):
@@ -35,3 +39,22 @@ def test_bootstrap_weights_average_one_and_are_reproducible(spark):
     w = lambda f: f.agg(F.avg(stability.bootstrap_weight(F.col("c"), 3)), F.var_pop(stability.bootstrap_weight(F.col("c"), 3))).first()
     first, second = w(ids), w(ids.repartition(17))
     assert first[0] == pytest.approx(1.0, abs=0.03) and first[1] == pytest.approx(1.0, abs=0.05) and first[0] == second[0]
+
+
+@pytest.mark.parametrize("name", ["feature_sensitivity", "feature_stability", "window_consistency", "window_stability", "sampling_stability", "population_sensitivity", "kmeans_k_search"])
+def test_queries_use_all_restarts_replicates_and_features(name, monkeypatch):
+    """The query calls the operators with nothing that makes the job smaller; the operators' own defaults are ten and all."""
+    calls, spark = [], mock.MagicMock()
+    for module, operators in ((stability, ("feature_sensitivity", "feature_stability", "window_labels", "window_consistency", "window_stability", "sampling_stability", "population_sensitivity")), (clustering, ("search_k", "best_k"))):
+        for operator in operators:
+            own = inspect.signature(getattr(module, operator))
+            monkeypatch.setattr(module, operator, lambda *a, own=own, **b: calls.append((own, own.bind(*a, **b))) or [])
+    for reader in ("web_profiles", "shop_profiles", "_vectors"):
+        monkeypatch.setattr(segment_queries, reader, lambda *a: None)
+    getattr(segment_queries, name)(spark, "")
+    assert calls
+    for own, bound in calls:
+        bound.apply_defaults()
+        got = bound.arguments
+        assert got.get("restarts", 10) == 10 and got.get("replicates", 10) == 10
+        assert "names" not in got or got["names"] == own.parameters["names"].default
