@@ -199,8 +199,8 @@ class Predictor:
         """One minus the variation across the trees of a forest; 0.8 for other models."""
         if not isinstance(self.model, RandomForestRegressionModel):
             return F.lit(0.8)
-        # Spark ML names the leaf of every tree; a small array for each tree holds the predictions
-        by_tree = F.lit([list(own) for own in leaf_predictions(self.model)])
+        # Spark ML names the leaf of every tree; a small array for each tree holds the predictions, all of them one literal
+        by_tree = F.from_json(F.lit(json.dumps(leaf_predictions(self.model))), "array<array<double>>")
         guesses = F.zip_with(by_tree, vector_to_array("_leaves"), lambda own, leaf: F.get(own, leaf.cast("int")))
         n = F.size(guesses)
         mean = F.aggregate(guesses, F.lit(0.0), lambda a, v: a + v) / n
