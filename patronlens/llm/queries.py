@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, nearest, packing, quality_crf, token_files, toxicity
+from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, merkle, nearest, packing, quality_crf, token_files, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,17 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
 
 
+@query
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    hit = F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 3) == 0)
+    lowered = F.when(hit, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    tampered = F.when(hit, merkle.leaf([lowered if c == "text" else F.col(c) for c in merkle.FIELDS])).alias("tampered")
+    proofs = merkle.manifest(_table(spark, folder, "documents"), keep=[F.col("doc_id"), tampered]).proofs()
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = proofs.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 #: Words of a text column, as the operators take them, in DuckDB.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -126,3 +138,41 @@ SELECT doc.doc_id, coalesce(class.class_id, doc.doc_id) AS class_id, coalesce(no
        (CASE WHEN node.id IS NULL THEN 0 ELSE node.n - 1 + coalesce(others.n, 0) END)::BIGINT AS n_links
 FROM doc LEFT JOIN node ON doc.text = node.text LEFT JOIN class ON class.id = node.id LEFT JOIN others ON others.id = node.id
 """
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text in DuckDB, bit by bit."""
+    step = "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END"
+    byte = f"lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), {byte}), 4294967295::BIGINT)"
+
+
+def _sql_leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+ORACLES["op12_merkle"] = f"""
+WITH RECURSIVE
+     own AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                    coalesce({_crc32('doc_id::VARCHAR')} % 3 = 0, false) AS hit FROM documents),
+     base AS (SELECT doc_id, g, {_sql_leaf('text')} AS leaf, CASE WHEN hit THEN {_sql_leaf('low')} ELSE {_sql_leaf('text')} END AS start FROM own),
+     leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM base),
+     tree AS (SELECT g, 0 AS lvl, idx, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM leaves
+              UNION ALL SELECT g, lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (n + 7) // 8 FROM tree WHERE n > 1 GROUP BY g, lvl, idx // 8, n),
+     top AS (SELECT 0 AS lvl, g AS idx, node, count(*) OVER () AS n FROM tree WHERE n = 1
+             UNION ALL SELECT lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, idx // 8, n),
+     run AS (SELECT g, lvl, idx // 8 AS q, list(node ORDER BY idx) AS nodes FROM tree WHERE n > 1 GROUP BY ALL),
+     toprun AS (SELECT lvl, idx // 8 AS q, list(node ORDER BY idx) AS nodes FROM top WHERE n > 1 GROUP BY ALL),
+     walk AS (SELECT doc_id, g, leaf, idx AS i, 0 AS lvl, idx, start AS cur, '' AS proof FROM leaves
+              UNION ALL SELECT doc_id, w.g, leaf, i, w.lvl + 1, idx // 8, sha256(array_to_string(nodes[1:idx % 8] || [cur] || nodes[idx % 8 + 2:], '')),
+                               proof || array_to_string(nodes[1:idx % 8] || nodes[idx % 8 + 2:], '')
+              FROM walk w JOIN run r ON r.g = w.g AND r.lvl = w.lvl AND r.q = w.idx // 8),
+     above AS (SELECT doc_id, g, leaf, i, 0 AS lvl, g AS idx, cur, proof FROM walk w WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.g = w.g AND r.lvl = w.lvl)
+               UNION ALL SELECT doc_id, g, leaf, i, w.lvl + 1, idx // 8, sha256(array_to_string(nodes[1:idx % 8] || [cur] || nodes[idx % 8 + 2:], '')),
+                                proof || array_to_string(nodes[1:idx % 8] || nodes[idx % 8 + 2:], '')
+               FROM above w JOIN toprun r ON r.lvl = w.lvl AND r.q = w.idx // 8)
+SELECT doc_id, leaf, sub.node AS subroot, whole.node AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = whole.node AS verified
+FROM above w JOIN (SELECT g, node FROM tree WHERE n = 1) sub USING (g), (SELECT node FROM top WHERE n = 1) whole
+WHERE NOT EXISTS (SELECT 1 FROM toprun r WHERE r.lvl = w.lvl)
+"""
