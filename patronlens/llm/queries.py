@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontamination, jaccard_join, language_id, line_dedup, log_bilinear, merkle, nearest, packing, quality_crf, token_files, toxicity
+from patronlens.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, log_bilinear, merkle, nearest, packing, quality_crf, token_files, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,22 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    text, kind = F.coalesce("text", F.lit(" ")), F.col("_kind")
+    damaged = rows.withColumn("_kind", F.crc32(key.cast("binary")) % 20).where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+    )
+    found = conversation_repair.repair(damaged, rows)
+    named = conversation_repair.digests(found.turns).withColumnRenamed("conv_id", "_conv")
+    joined = found.conversations.join(named, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return joined.select(*found.conversations.columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     hit = F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 3) == 0)
@@ -147,6 +163,54 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), {byte}), 4294967295::BIGINT)"
 
 
+_GIVEN = "coalesce(ids.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE
+     ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+     raw AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(_GIVEN)} % 20 AS d
+             FROM conversations t JOIN ids ON t.conv_id IS NOT DISTINCT FROM ids.conv_id),
+     cut AS (SELECT c, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+             FROM raw, (SELECT unnest([0, 1]) AS k) WHERE d <> 0 AND (k = 0 OR d = 3)),
+     pos AS (SELECT *, role[1] AS ini, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+                    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS open FROM cut),
+     told AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again FROM pos),
+     rows AS (SELECT *, lag(ini) OVER (PARTITION BY c ORDER BY i) || ini AS pair, blank OR again AS gone, CASE WHEN open THEN 5 ELSE 0 END AS t FROM told),
+     sums AS (SELECT c, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                     count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open AND NOT gone) AS truncated,
+                     count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c),
+     back AS (SELECT c, n + 1 AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM sums
+              UNION ALL
+              SELECT c, i, least(w0, 5 + w2, 10 + w3), least(w1, 5 + w2, 10 + w3), least(w2, 5 + w3), least(w3, 5 + w2)
+              FROM (SELECT c, r.i,
+                           least(2 + v0, CASE WHEN NOT gone THEN t + least(1 + v2, CASE ini WHEN 's' THEN v1 WHEN 'u' THEN v2 END) END) AS w0,
+                           least(2 + v1, CASE WHEN NOT gone THEN t + least(1 + v2, CASE ini WHEN 'u' THEN v2 END) END) AS w1,
+                           least(2 + v2, CASE WHEN NOT gone THEN t + least(1 + v3, CASE ini WHEN 'a' THEN v3 END) END) AS w2,
+                           least(2 + v3, CASE WHEN NOT gone THEN t + least(1 + v2, CASE ini WHEN 'u' THEN v2 END) END) AS w3
+                    FROM back JOIN rows r USING (c) WHERE r.i = back.i - 1)),
+     cell AS (SELECT c, i, [v0, v1, v2, v3] AS v FROM back),
+     walk AS (SELECT c, 1 AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS said, 0 AS k FROM sums
+              UNION ALL
+              SELECT c, CASE WHEN e IN ('I') THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kq ELSE fq END, audit || e,
+                     CASE e WHEN 'D' THEN said WHEN 'I' THEN said || [fr || ':'] WHEN 'K' THEN said || [role || ':' || text] ELSE said || [fr || ':' || text] END, k + 1
+              FROM (SELECT w.*, role, text, kq, CASE WHEN q = 2 THEN 3 ELSE 2 END AS fq, CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END AS fr,
+                           CASE WHEN i > n THEN CASE WHEN q IN (1, 2) THEN 'I' END
+                                WHEN now = 2 + nxt[q + 1] THEN 'D' WHEN now = 5 + cur[CASE WHEN q = 2 THEN 4 ELSE 3 END] THEN 'I'
+                                WHEN NOT gone AND now = t + nxt[kq + 1] THEN 'K' ELSE 'R' END AS e
+                    FROM (SELECT w.*, s.n, r.role, r.text, r.gone, r.t, a.v AS cur, a.v[q + 1] AS now, b.v AS nxt,
+                                 CASE WHEN q = 0 AND ini = 's' THEN 1 WHEN q <> 2 AND ini = 'u' THEN 2 WHEN q = 2 AND ini = 'a' THEN 3 END AS kq
+                          FROM walk w JOIN sums s USING (c) LEFT JOIN rows r ON r.c = w.c AND r.i = w.i
+                               LEFT JOIN cell a ON a.c = w.c AND a.i = w.i LEFT JOIN cell b ON b.c = w.c AND b.i = w.i + 1) w)
+              WHERE e IS NOT NULL),
+     ended AS (SELECT c, arg_max(audit, k) AS audit, arg_max(said, k) AS said FROM walk GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN sums USING (c) LEFT JOIN ended USING (c) LEFT JOIN (SELECT c, v0 FROM back WHERE i = 1) USING (c)
+"""
+
+
 def _sql_leaf(text: str) -> str:
     parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
     return f"sha256({' || '.join(parts)})"
