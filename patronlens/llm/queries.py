@@ -5,10 +5,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, log_bilinear, merkle, nearest, packing, quality_crf, token_files, toxicity
+from patronlens.llm import conversation_repair, decontamination, jaccard_join, language_id, license_scan, line_dedup, log_bilinear, merkle, nearest, packing, quality_crf, token_files, toxicity
 from patronlens.llm.common import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,21 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, folder, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["exact"])
+
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(spans["label"])), ",")
+
+    best = F.coalesce(F.array_max(F.col("spans.similarity")), F.lit(0.0)).alias("score")
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.col("base.start")).alias("first_word"),
+        F.array_max(F.col("base.start")).alias("last_word"), labels(F.col("base")).alias("base_labels"), labels(F.col("spans")).alias("labels"), best,
+    )
+
+
 #: Words of a text column, as the operators take them, in DuckDB.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
