@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from patronlens.functions.columns import money_avg, money_sum
 from patronlens.functions.lineage import cut
 from patronlens.functions.picks import pick_first
 from patronlens.operators.features import FEATURES, as_vectors, cluster_features, squared_distance, standardize
+from patronlens.operators.multi_kmeans import Model, View, best_of, fit_many, rows_of, silhouettes
 from patronlens.operators.traits import DAY_NAMES
 
 
@@ -21,21 +21,40 @@ class TooFewCustomers(ValueError):
     """Fewer customers than clusters."""
 
 
+@dataclass(frozen=True)
+class ClusterModel:
+    """Centres of the best restart and its cost, the summed squared distance."""
+
+    centres: tuple[tuple[float, ...], ...]
+    cost: float
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        """Adds `cluster`, the number of the nearest centre; the smaller number wins a tie."""
+        points = F.array(*[F.array(*[F.lit(v) for v in c]) for c in self.centres])
+        apart = F.transform(points, lambda c: F.aggregate(F.zip_with(F.col("_x"), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        found = vectors.withColumn("_x", vector_to_array("features")).withColumn("_apart", apart)
+        return found.withColumn("cluster", (F.array_position("_apart", F.array_min("_apart")) - 1).cast("int")).drop("_x", "_apart")
+
+
+def _rows(vectors: DataFrame, weight: str | None = None) -> DataFrame:
+    return cut(rows_of(vectors, "customer_id", vector_to_array("features"), [F.col(weight)] if weight else []))
+
+
+def _plain_view(rows: DataFrame, weighted: bool = False) -> View:
+    width = len(rows.select("_x").first()[0])
+    return View((0.0,) * width, (1.0,) * width, 0 if weighted else None)
+
+
 def fit_kmeans(
     vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 300, restarts: int = 10, weight: str | None = None,
-) -> KMeansModel:
-    """Best of several seeded fits by training cost."""
+) -> ClusterModel:
+    """Best of several seeded fits by training cost; all restarts share every scan."""
     if vectors.limit(k).count() < k:
         raise TooFewCustomers(f"need at least {k} customers")
-    best, cost = None, None
-    for i in range(restarts):
-        learner = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
-        if weight:
-            learner = learner.setWeightCol(weight)
-        model = learner.fit(vectors)
-        if cost is None or model.summary.trainingCost < cost:
-            best, cost = model, model.summary.trainingCost
-    return best
+    rows = _rows(vectors, weight)
+    view = _plain_view(rows, weight is not None)
+    best = best_of(fit_many(rows, [Model(view, k, seed + i) for i in range(restarts)], max_iter))
+    return ClusterModel(tuple(tuple(c) for c in best.centres.tolist() if c[0] == c[0]), best.cost)
 
 
 def nearest_centroid(frame: DataFrame, names: Sequence[str], centroids: Sequence[Sequence[float]]) -> DataFrame:
@@ -69,14 +88,16 @@ def size_summary(assigned: DataFrame) -> DataFrame:
 
 
 def search_k(vectors: DataFrame, k_range: Sequence[int], seed: int = 42, restarts: int = 10) -> list[tuple[int, float, float]]:
-    """(k, inertia, silhouette) per k over one materialised vector table; n - 1 caps k."""
-    n = vectors.count()
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    out = []
-    for k in sorted({max(2, min(k, n - 1)) for k in k_range}):
-        model = fit_kmeans(vectors, k, seed, restarts=restarts)
-        out.append((k, model.summary.trainingCost, judge.evaluate(model.transform(vectors))))
-    return out
+    """(k, inertia, silhouette) per k; n - 1 caps k. All values of k and all restarts share every scan."""
+    rows = _rows(vectors)
+    n = rows.count()
+    wanted = sorted({max(2, min(k, n - 1)) for k in k_range})
+    if n < wanted[0]:
+        raise TooFewCustomers(f"need at least {wanted[0]} customers")
+    view = _plain_view(rows)
+    fits = fit_many(rows, [Model(view, k, seed + i) for k in wanted for i in range(restarts)])
+    best = [best_of(fits[i * restarts : (i + 1) * restarts]) for i in range(len(wanted))]
+    return [(f.model.k, f.cost, s) for f, s in zip(best, silhouettes(rows, best), strict=True)]
 
 
 def best_k(scores: Sequence[tuple[int, float, float]]) -> int:
@@ -225,7 +246,7 @@ class Segmentation:
     members: DataFrame
     segments: DataFrame
     statistics: DataFrame
-    model: KMeansModel
+    model: ClusterModel
 
 
 def create_segments(

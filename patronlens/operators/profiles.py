@@ -341,6 +341,12 @@ def seen_until(profiles: DataFrame, cutoff: Column) -> DataFrame:
     return profiles.where(F.col("last_seen") <= cutoff)
 
 
+def in_window(latest: Column, days: Column) -> Column:
+    """Whether a profile is active in the `days` before the instant `latest`."""
+    since = F.unix_micros(latest) - days.cast("bigint") * F.lit(MICROS_PER_DAY)
+    return (F.col("first_seen") <= latest) & (F.unix_micros("last_seen") >= since)
+
+
 def trailing_windows(profiles: DataFrame, days: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
     """Profiles active in each trailing window, tagged with `window_days`.
 
@@ -348,5 +354,4 @@ def trailing_windows(profiles: DataFrame, days: tuple[int, ...] = (30, 60, 90))
     """
     latest = profiles.agg(F.max("last_seen").alias("m")).scalar()
     tagged = profiles.withColumn("_latest", latest).withColumn("window_days", F.explode(F.array(*[F.lit(d) for d in days])))
-    since = F.unix_micros("_latest") - F.col("window_days").cast("bigint") * F.lit(MICROS_PER_DAY)
-    return tagged.where((F.col("first_seen") <= F.col("_latest")) & (F.unix_micros("last_seen") >= since)).drop("_latest")
+    return tagged.where(in_window(F.col("_latest"), F.col("window_days"))).drop("_latest")

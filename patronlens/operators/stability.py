@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.columns import clamp, ratio
 from patronlens.functions.lineage import cut
-from patronlens.operators.clustering import fit_kmeans
-from patronlens.operators.features import FEATURES, apply_scaler, as_vectors, cluster_features, fit_scaler, standardize
-from patronlens.operators.profiles import trailing_windows
+from patronlens.operators.clustering import TooFewCustomers
+from patronlens.operators.features import FEATURES, cluster_features
+from patronlens.operators.multi_kmeans import TOLERANCE, Fit, Model, best_of, fit_many, labels_of, moments, rows_of, scaled_view
+from patronlens.operators.profiles import in_window
 
 CRITICAL_ARI = 0.7
 WINDOWS = (30, 60, 90)
@@ -55,29 +58,67 @@ def agreement(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(*by, t.cast("bigint").alias("customers"), ari.alias("ari"), nmi.alias("nmi"), jaccard.alias("jaccard"))
 
 
-def _labels(model, vectors: DataFrame) -> DataFrame:
-    return model.transform(vectors).select("customer_id", F.col("cluster").alias("label"))
+def _clusterings(
+    profiles: DataFrame, names: Sequence[str], k: int, seed: int, restarts: int, without: Sequence[str] = (), days: Sequence[int] = (), replicates: int = 0,
+    everyone: bool = True, start: Sequence[Sequence[float]] | None = None, tolerance: float = TOLERANCE,
+) -> tuple[DataFrame, dict[tuple, Fit]]:
+    """The rows, and the best fit of every clustering asked for; all of them move through the same scans.
+
+    Keys are ("all",), ("without", feature), ("window", days) and ("replicate", number). Every
+    clustering standardises the customers it sees. Windows with at most k customers are left out.
+    `start` gives the first centres in standardised space; then one fit is all there is.
+    """
+    restarts = 1 if start else restarts
+    plain = cluster_features(profiles, names, keep=("first_seen", "last_seen"))
+    latest = profiles.agg(F.max("last_seen").alias("m")).scalar()
+    plain = plain.withColumn("_latest", latest)
+    weights = [in_window(F.col("_latest"), F.lit(d)).cast("int") for d in days] + [bootstrap_weight(F.col("customer_id"), i) for i in range(replicates)]
+    rows = cut(rows_of(plain, "customer_id", F.array(*names), weights))
+    (n, mean, spread), *seen = moments(rows, len(names), [None, *range(len(weights))])
+    plans = {}
+    if everyone:
+        if n < k:
+            raise TooFewCustomers(f"need at least {k} customers")
+        plans[("all",)] = scaled_view(mean, spread), k
+    for name in without:
+        plans["without", name] = scaled_view(mean, spread, without=list(names).index(name)), k
+    for i, d in enumerate(days):
+        if seen[i][0] >= k + 1:
+            plans["window", d] = scaled_view(seen[i][1], seen[i][2], i), k
+    for i in range(replicates):
+        at = len(days) + i
+        plans["replicate", i] = scaled_view(seen[at][1], seen[at][2], at), k
+    if not plans:
+        return rows, {}
+    begin = tuple(map(tuple, start)) if start else None
+    fits = fit_many(rows, [Model(view, own, seed + i, begin) for view, own in plans.values() for i in range(restarts)], tolerance=tolerance)
+    return rows, {key: best_of(fits[i * restarts : (i + 1) * restarts]) for i, key in enumerate(plans)}
+
+
+def _against_all(rows: DataFrame, fits: dict[tuple, Fit], kind: str, name: str, type_: str) -> DataFrame:
+    """Agreement of every clustering of a kind with the one of all customers, on the customers it has labelled."""
+    keys = [key for key in fits if key[0] == kind]
+    labels = labels_of(rows, "customer_id", [fits["all",], *[fits[key] for key in keys]])
+    others = F.posexplode(F.slice("labels", 2, len(keys))).alias("_at", "label_b")
+    names = F.array(*[F.lit(key[1]).cast(type_) for key in keys])
+    pairs = labels.select("customer_id", F.col("labels")[0].alias("label_a"), others).where("label_b is not null")
+    return agreement(pairs.select("customer_id", F.element_at(names, F.col("_at") + 1).alias(name), "label_a", "label_b"), (name,))
 
 
 def feature_sensitivity(
     profiles: DataFrame, k: int = 5, seed: int = 42, threshold: float = CRITICAL_ARI, restarts: int = 10,
-    names: Sequence[str] = FEATURES,
+    names: Sequence[str] = FEATURES, start: Sequence[Sequence[float]] | None = None, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """One row per left-out feature: agreement with the full clustering and whether it is critical.
 
-    The driver loops over the features; every fit runs on one materialised table.
+    `start` gives the first centres of every clustering, in place of seeded restarts.
     """
-    scaled = cut(standardize(cluster_features(profiles, names), names))
-    base = cut(_labels(fit_kmeans(as_vectors(scaled, names), k, seed, restarts=restarts), as_vectors(scaled, names)))
-    rows = None
-    for dropped in names:
-        kept = [n for n in names if n != dropped]
-        vectors = as_vectors(scaled, kept)
-        labels = _labels(fit_kmeans(vectors, k, seed, restarts=restarts), vectors)
-        row = agreement(common_labels(base, labels)).select(
-            F.lit(dropped).alias("dropped_feature"), "customers", "ari", (F.col("ari") < threshold).alias("is_critical"))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    return _sensitivity(*_clusterings(profiles, names, k, seed, restarts, without=names, start=start, tolerance=tolerance), threshold)
+
+
+def _sensitivity(rows: DataFrame, fits: dict[tuple, Fit], threshold: float) -> DataFrame:
+    found = _against_all(rows, fits, "without", "dropped_feature", "string")
+    return found.select("dropped_feature", "customers", "ari", (F.col("ari") < threshold).alias("is_critical"))
 
 
 def feature_stability(sensitivity: DataFrame) -> DataFrame:
@@ -88,21 +129,19 @@ def feature_stability(sensitivity: DataFrame) -> DataFrame:
 
 def window_labels(
     profiles: DataFrame, days: Sequence[int] = WINDOWS, k: int = 5, seed: int = 42, restarts: int = 10,
-    names: Sequence[str] = FEATURES,
+    names: Sequence[str] = FEATURES, start: Sequence[Sequence[float]] | None = None, tolerance: float = TOLERANCE,
 ) -> DataFrame | None:
-    """Labels per trailing window; windows with at most k customers are skipped."""
-    tagged = cut(cluster_features(trailing_windows(profiles, tuple(days)), names, keep=("window_days",)))
-    sizes = {r["window_days"]: r["count"] for r in tagged.groupBy("window_days").count().collect()}
-    out = None
-    for d in days:
-        n = sizes.get(d, 0)
-        if n < k + 1:
-            continue
-        vectors = as_vectors(standardize(tagged.where(F.col("window_days") == d), names), names)
-        model = fit_kmeans(vectors, min(k, n - 1), seed, restarts=restarts)
-        part = _labels(model, vectors).withColumn("window_days", F.lit(d).cast("bigint"))
-        out = part if out is None else out.unionByName(part)
-    return None if out is None else cut(out)
+    """Labels per trailing window; windows with at most k customers are skipped. `start` as in `feature_sensitivity`."""
+    return _window_labels(*_clusterings(profiles, names, k, seed, restarts, days=days, everyone=False, start=start, tolerance=tolerance))
+
+
+def _window_labels(rows: DataFrame, fits: dict[tuple, Fit]) -> DataFrame | None:
+    keys = [key for key in fits if key[0] == "window"]
+    if not keys:
+        return None
+    days = F.array(*[F.lit(key[1]).cast("bigint") for key in keys])
+    labels = labels_of(rows, "customer_id", [fits[key] for key in keys]).select("customer_id", F.posexplode("labels").alias("_at", "label"))
+    return cut(labels.where("label is not null").select("customer_id", "label", F.element_at(days, F.col("_at") + 1).alias("window_days")))
 
 
 def window_consistency(labels: DataFrame) -> DataFrame:
@@ -120,9 +159,8 @@ def window_stability(pairs: DataFrame, threshold: float = CRITICAL_ARI) -> DataF
         "stable_across_windows", F.col("time_consistency") >= threshold)
 
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws.
-POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+#: Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws, as far as a draw of 52 bits can tell them apart.
+POISSON_ONE = tuple(accumulate(exp(-1) / factorial(n) for n in range(18)))
 
 
 def bootstrap_weight(customer: Column, replicate: int) -> Column:
@@ -141,17 +179,11 @@ def sampling_stability(
     profiles: DataFrame, replicates: int = 10, k: int = 5, seed: int = 42, restarts: int = 10, names: Sequence[str] = FEATURES,
 ) -> DataFrame:
     """Agreement of every bootstrap clustering with the one of all customers."""
-    plain = cut(cluster_features(profiles, names))
-    vectors = as_vectors(standardize(plain, names), names)
-    base = cut(_labels(fit_kmeans(vectors, k, seed, restarts=restarts), vectors))
-    rows = None
-    for i in range(replicates):
-        drawn = plain.withColumn("weight", bootstrap_weight(F.col("customer_id"), i).cast("double")).where(F.col("weight") > 0)
-        sample = as_vectors(apply_scaler(drawn, names, fit_scaler(drawn, names, "weight")), names)
-        model = fit_kmeans(sample, k, seed, restarts=restarts, weight="weight")
-        row = agreement(common_labels(base, _labels(model, sample))).select(F.lit(i).cast("bigint").alias("replicate"), "customers", "ari")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    return _sampling(*_clusterings(profiles, names, k, seed, restarts, replicates=replicates))
+
+
+def _sampling(rows: DataFrame, fits: dict[tuple, Fit]) -> DataFrame:
+    return _against_all(rows, fits, "replicate", "replicate", "bigint").select("replicate", "customers", "ari")
 
 
 def robustness_tier(overall: Column) -> Column:
@@ -208,17 +240,16 @@ def population_sensitivity(
     profiles: DataFrame, k: int = 5, seed: int = 42, replicates: int = 10, include_sampling: bool = True, restarts: int = 10,
 ) -> DataFrame:
     """One row: feature, time and sampling stability of the whole population with tier and advice."""
-    profiles = cut(profiles)
-    feature = feature_stability(feature_sensitivity(profiles, k, seed, restarts=restarts))
-    labels = window_labels(profiles, k=k, seed=seed, restarts=restarts)
-    out = feature.select("feature_stability", "stable", "tested")
+    rows, fits = _clusterings(profiles, FEATURES, k, seed, restarts, FEATURES, WINDOWS, replicates if include_sampling else 0)
+    out = feature_stability(_sensitivity(rows, fits, CRITICAL_ARI)).select("feature_stability", "stable", "tested")
+    labels = _window_labels(rows, fits)
     if labels is None:
         out = out.withColumn("time_consistency", F.lit(0.0))
     else:
         out = out.withColumn("time_consistency", window_stability(window_consistency(labels)).select("time_consistency").scalar())
     sampling = F.lit(None).cast("double")
     if include_sampling:
-        sampling = sampling_stability(profiles, replicates, k, seed).agg(F.coalesce(F.avg("ari"), F.lit(0.0))).scalar()
+        sampling = _sampling(rows, fits).agg(F.coalesce(F.avg("ari"), F.lit(0.0))).scalar()
     out = out.withColumn("sampling_stability", sampling)
     score = overall_robustness(F.col("feature_stability"), F.col("time_consistency"), F.col("sampling_stability"))
     out = out.withColumn("overall_robustness", score)

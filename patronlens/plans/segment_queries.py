@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patronlens.checks.base_sql import profiles as profiles_sql, with_
 from patronlens.functions.columns import r6
 from patronlens.functions.lineage import cut
-from patronlens.operators import clustering, features, stability
+from patronlens.operators import clustering, features, multi_kmeans, stability
 from patronlens.plans.inputs import shop_affinity, shop_profiles, web_affinity, web_profiles
 from patronlens.plans.registry import query
 from patronlens.plans.report_queries import tidy
@@ -102,7 +102,7 @@ def _vectors(spark, folder):
 def kmeans_clusters(spark, folder):
     vectors = _vectors(spark, folder)
     model = clustering.fit_kmeans(vectors, 5)
-    return clustering.cluster_sizes(model.transform(vectors)).withColumn("inertia", F.lit(model.summary.trainingCost))
+    return clustering.cluster_sizes(model.transform(vectors)).withColumn("inertia", F.lit(model.cost))
 
 
 @query("kmeans_k_search")
@@ -201,6 +201,67 @@ def population_sensitivity(spark, folder):
     return stability.population_sensitivity(web_profiles(spark, folder), k=4)
 
 
+# The same clusterings from given centres in place of drawn ones: then SQL can repeat every step up to the fixed point.
+_X = ", ".join(f"CASE WHEN grp = '{n}' THEN 0.0 ELSE {n} END" for n in features.FEATURES)
+_START_SQL = ", ".join("[" + ", ".join(f"CASE WHEN CAST(grp AS VARCHAR) = '{n}' THEN 0.0 ELSE {float(v)} END" for n, v in zip(features.FEATURES, c)) + "]" for c in _CENTROIDS)
+_STEPS_SQL = f"""
+step AS (SELECT grp, 0 AS it, [{_START_SQL}]::DOUBLE[][] AS c FROM (SELECT DISTINCT grp FROM pts)
+  UNION ALL
+  SELECT grp, it + 1, list(centre ORDER BY cluster) FROM (
+    SELECT grp, it, cluster, [{", ".join(f"avg(x[{i + 1}])" for i in range(len(features.FEATURES)))}] AS centre FROM (
+      SELECT grp, it, x, list_position(d, list_min(d)) AS cluster FROM (
+        SELECT s.grp, it, x, list_transform(c, lambda q: list_sum(list_transform(list_zip(q, x), lambda z: pow(z[1] - z[2], 2)))) AS d
+        FROM step s JOIN pts p ON p.grp = s.grp WHERE it < 80)) GROUP BY grp, it, cluster) GROUP BY grp, it),
+near AS (SELECT p.grp, customer_id, list_transform(c, lambda q: list_sum(list_transform(list_zip(q, x), lambda z: pow(z[1] - z[2], 2)))) AS d
+  FROM pts p JOIN step s ON s.grp = p.grp AND s.it = 80),
+labels AS (SELECT grp, customer_id, list_position(d, list_min(d)) - 1 AS label, list_min(d) AS d FROM near)
+"""
+_ARI_SQL = """
+cell AS (SELECT grp, label_a, label_b, CAST(count(*) AS DOUBLE) AS n FROM pair GROUP BY ALL),
+sums AS (SELECT grp, sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM cell GROUP BY 1),
+sa AS (SELECT grp, sum(a * (a - 1) / 2) AS sa FROM (SELECT grp, sum(n) AS a FROM cell GROUP BY grp, label_a) GROUP BY 1),
+sb AS (SELECT grp, sum(b * (b - 1) / 2) AS sb FROM (SELECT grp, sum(n) AS b FROM cell GROUP BY grp, label_b) GROUP BY 1),
+ari AS (SELECT grp, CAST(t AS BIGINT) AS customers, CASE WHEN abs((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)) < 1e-12 THEN 1.0
+  ELSE (s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)) END AS ari FROM sums JOIN sa USING (grp) JOIN sb USING (grp))
+"""
+_LEFT_OUT_SQL = f"pts AS (SELECT grp, customer_id, [{_X}] AS x FROM scaled, (SELECT unnest({['', *features.FEATURES]}) AS grp))"
+_FROM_GIVEN = {"k": len(_CENTROIDS), "start": _CENTROIDS, "tolerance": 1e-9}
+
+
+@query("kmeans_from_given_centres", with_(profiles_sql("web"), _FEATURE_SQL, _SCALED_SQL, _LEFT_OUT_SQL, _STEPS_SQL, select="""
+SELECT grp AS left_out, CAST(label AS BIGINT) AS cluster, count(*) AS size, round(sum(d), 4) AS cost FROM labels GROUP BY 1, 2"""))
+def kmeans_from_given_centres(spark, folder):
+    """Sizes and costs of fourteen clusterings, all features and each left out, fitted together."""
+    names = list(features.FEATURES)
+    rows = cut(multi_kmeans.rows_of(features.cluster_features(web_profiles(spark, folder)), "customer_id", F.array(*names)))
+    [(_, mean, spread)] = multi_kmeans.moments(rows, len(names), [None])
+    views = [multi_kmeans.scaled_view(mean, spread, without=names.index(n) if n else None) for n in ["", *names]]
+    fits = multi_kmeans.fit_many(rows, [multi_kmeans.Model(v, len(_CENTROIDS), 0, _CENTROIDS) for v in views], tolerance=1e-9)
+    found = multi_kmeans.cluster_costs(rows, fits)
+    left_out = F.element_at(F.array(*[F.lit(n) for n in ["", *names]]), F.col("model") + 1)
+    return found.select(left_out.alias("left_out"), F.col("cluster").cast("bigint").alias("cluster"), F.col("size").cast("bigint").alias("size"), F.round("cost", 4).alias("cost"))
+
+
+@query("feature_sensitivity_from_given_centres", with_(profiles_sql("web"), _FEATURE_SQL, _SCALED_SQL, _LEFT_OUT_SQL, _STEPS_SQL, f"""
+pair AS (SELECT b.grp, a.label AS label_a, b.label AS label_b FROM labels a JOIN labels b USING (customer_id) WHERE a.grp = '' AND b.grp <> '')""", _ARI_SQL, select=f"""
+SELECT grp AS dropped_feature, customers, round(ari, 6) AS ari, ari < {stability.CRITICAL_ARI} AS is_critical FROM ari"""))
+def feature_sensitivity_from_given_centres(spark, folder):
+    return tidy(stability.feature_sensitivity(web_profiles(spark, folder), **_FROM_GIVEN))
+
+
+_WINDOW_SQL = "feat AS (SELECT d AS grp, feat.* FROM feat JOIN profiles USING (customer_id), (SELECT unnest([30, 60, 90]) AS d), (SELECT max(last_seen) AS latest FROM profiles) WHERE first_seen <= latest AND last_seen >= latest - to_days(CAST(d AS INTEGER)))"
+_WINDOW_SCALED_SQL = "pts AS (SELECT grp, customer_id, [" + ", ".join(
+    f"({n} - avg({n}) OVER w) / CASE WHEN stddev_pop({n}) OVER w = 0 THEN 1 ELSE stddev_pop({n}) OVER w END" for n in features.FEATURES) + "] AS x FROM windowed WINDOW w AS (PARTITION BY grp))"
+
+
+@query("window_consistency_from_given_centres", with_(profiles_sql("web"), _FEATURE_SQL, _WINDOW_SQL.replace("feat AS", "windowed AS", 1), _WINDOW_SCALED_SQL, _STEPS_SQL, """
+pair AS (SELECT a.grp * 1000 + b.grp AS grp, a.label AS label_a, b.label AS label_b FROM labels a JOIN labels b USING (customer_id) WHERE a.grp < b.grp)""", _ARI_SQL, select="""
+SELECT CAST(grp // 1000 AS BIGINT) AS window_a, CAST(grp % 1000 AS BIGINT) AS window_b, customers, round(ari, 6) AS ari FROM ari WHERE customers >= 2"""))
+def window_consistency_from_given_centres(spark, folder):
+    labels = stability.window_labels(web_profiles(spark, folder), **_FROM_GIVEN)
+    return tidy(stability.window_consistency(labels).select("window_a", "window_b", "customers", "ari"))
+
+
 ROBUST_SQL = """
 rob0 AS (SELECT segment_id, count(*) AS size,
   (CASE WHEN avg(rev) = 0 THEN 1 ELSE stddev_pop(rev) / (avg(rev) + 1e-10) END + CASE WHEN avg(clv_estimate) = 0 THEN 1 ELSE stddev_pop(clv_estimate) / (avg(clv_estimate) + 1e-10) END
