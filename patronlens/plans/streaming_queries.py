@@ -13,6 +13,7 @@ from patronlens.plans.inputs import web_merge_map, web_resolved
 from patronlens.plans.registry import query
 from patronlens.sources import retail
 from patronlens.streaming import events as streaming
+from patronlens.streaming import ledger as ledgers
 
 _TOTALS = """SELECT customer_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
   round(CAST(coalesce(sum(amount) FILTER (WHERE event_type = 'purchase'), 0) AS DOUBLE), 6) AS revenue, count(*) FILTER (WHERE event_type = 'add_to_cart') AS carts,
@@ -72,3 +73,25 @@ def streamed_partials_rollup(spark, folder):
 
     rows.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return _shown(spark.read.parquet(f"{base}/partials"))
+
+
+@query("late_merges_ledger", with_(WEB, select=_TOTALS))
+def late_merges_ledger(spark, folder):
+    """Half of the events, then half of the merges, the other events, and the last merges: each a run of the same stream.
+
+    The oracle knows nothing of this order: it counts all events under all merges.
+    """
+    base = _shared_folder(spark)
+    events, merges = retail.web_events(spark, folder), retail.web_id_history(spark, folder)
+    rows = ledgers.with_merges(events, merges)
+    schema = rows.schema
+    kind, early = F.col("past_id").isNotNull(), F.pmod(F.xxhash64(F.coalesce("past_id", F.lit(""))), F.lit(2)) == 0
+    middle = events.agg(F.timestamp_seconds(F.avg(F.unix_seconds("ts")))).scalar()
+    steps = [~kind & (F.col("ts") < middle), kind & early, ~kind & (F.col("ts") >= middle), kind & ~early]
+    book = ledgers.Ledger(spark, f"{base}/ledger")
+    for number, step in enumerate(steps):
+        rows.where(step).write.parquet(f"{base}/source/step={number}")
+        source = spark.readStream.schema(schema).parquet(f"{base}/source/*")
+        ledgers.run(source, book, f"{base}/state").awaitTermination()
+    shown = book.totals().select("customer_id", "n_events", "purchases", r6(F.col("revenue").cast("double")).alias("revenue"), "carts", "sessions")
+    return shown

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronlens.functions.joins import join_unique
 from patronlens.operators.profiles import PAGE_VIEWS, amount
 
 ADDED = ("n_events", "purchases", "revenue", "refunds", "sessions", "page_views", "item_views", "carts")
@@ -17,10 +18,11 @@ ADDED = ("n_events", "purchases", "revenue", "refunds", "sessions", "page_views"
 
 def remap_stream(events: DataFrame, merge_map: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Stream-static left join with the merge map; a repeated event id inside the watermark counts once."""
-    link = merge_map.select(F.col("past_id").alias("_past"), F.col("canonical_id").alias("_canonical"))
     unique = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    joined = unique.join(link, unique["customer_id"] == F.col("_past"), "left")
-    return joined.withColumn("customer_id", F.coalesce("_canonical", "customer_id")).drop("_past", "_canonical")
+    # a stream has no adaptive skew handling, so a customer with many events is split by the event
+    link = merge_map.select(F.col("past_id").alias("customer_id"), F.col("canonical_id").alias("_canonical"))
+    joined = join_unique(unique, link, ["customer_id"], F.col("event_id"), "left")
+    return joined.withColumn("customer_id", F.coalesce("_canonical", "customer_id")).drop("_canonical")
 
 
 def daily_partials(events: DataFrame, lateness: str = "1 day") -> DataFrame:
