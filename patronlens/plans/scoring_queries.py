@@ -11,7 +11,8 @@ from patronlens.plans.registry import query
 from patronlens.plans.report_queries import tidy
 from patronlens.sources import retail
 from patronlens.plans.segmentation_run import run
-from patronlens.plans.segment_queries import ROBUST_SQL, SEGMENT_SQL, described, members_sql
+from patronlens.plans.segment_queries import ROBUST_SQL, SEGMENT_SQL, SENSITIVITY_SQL, described, members_sql, sensitivity
+from patronlens.plans.whitespace_queries import SEGMENT_WHITESPACE_SQL, segment_values
 
 GROUPS = 12
 
@@ -154,16 +155,34 @@ _register("campaign_components", """SELECT segment_id, array_to_string(list_filt
           lambda f, _: f.select("segment_id", scoring.campaign_components(f).alias("components")))
 _register("usability_gates", "SELECT segment_id, is_usable, array_to_string(gates, '|') AS usability_reasons FROM scored",
           lambda f, _: scoring.usability(f).select("segment_id", "is_usable", "usability_reasons"))
-_register("segment_priority", "SELECT segment_id, round(priority_score, 6) AS priority_score FROM scored",
-          lambda f, _: scoring.priority(f.withColumn("whitespace_value", F.lit(0.0))).select("segment_id", "priority_score"))
-_register("top_usable_segments", "SELECT segment_id, round(priority_score, 6) AS priority_score FROM scored WHERE is_usable ORDER BY scored.priority_score DESC, segment_id LIMIT 5",
-          lambda f, _: scoring.top_segments(scoring.priority(scoring.usability(f).withColumn("whitespace_value", F.lit(0.0)))).select("segment_id", "priority_score"), "shop", 30)
-_register("integrated_totals", """SELECT count(*) AS segments, count(*) FILTER (WHERE is_usable) AS usable, count(*) FILTER (WHERE NOT is_usable) AS rejected,
-  CAST(coalesce(sum(size) FILTER (WHERE is_usable), 0) AS BIGINT) AS customers_in_usable, round(coalesce(sum(round(total_clv, 2)) FILTER (WHERE is_usable), 0.0), 2) AS usable_clv, CAST(0 AS DOUBLE) AS whitespace_value,
-  max(everyone) AS total_customers, round(count(*) FILTER (WHERE is_usable) / CAST(count(*) AS DOUBLE), 6) AS usability_rate,
-  round(coalesce(sum(size) FILTER (WHERE is_usable), 0) / CAST(max(everyone) AS DOUBLE), 6) AS customer_coverage FROM scored""",
-          lambda f, n: scoring.integrated_totals(scoring.usability(f).withColumn("whitespace_value", F.lit(0.0)), n.scalar())
-          .withColumn("usable_clv", F.round("usable_clv", 2)))
+_POINTS = "CASE WHEN w >= 100000 THEN 20 WHEN w >= 50000 THEN 15 WHEN w >= 10000 THEN 10 WHEN w > 0 THEN 5 ELSE 0 END"
+# without whitespace a score stays below 100, so the limit is applied once, here
+_VALUED_SQL = f"""
+valued AS (SELECT * REPLACE (least(100.0, priority_score + {_POINTS}) AS priority_score) FROM (
+  SELECT scored.*, coalesce(whitespace_value, 0.0) AS w FROM scored LEFT JOIN segopp USING (segment_id)))"""
+
+
+def _register_valued(name, sql, build, groups):
+    """Queries that need the whitespace of each segment: on the shop, whose categories have buyers and lookalikes."""
+    text = with_(profiles_sql("shop"), members_sql(groups), ROBUST_SQL, SEGMENT_SQL, SCORED_SQL, *SEGMENT_WHITESPACE_SQL, _VALUED_SQL, select=sql)
+
+    def run_query(spark, folder):
+        found, everyone = checked(spark, folder, "shop", groups)
+        valued = found.join(segment_values(spark, folder, groups), "segment_id", "left").withColumn("whitespace_value", F.coalesce("whitespace_value", F.lit(0.0)))
+        return _listed(build(valued, everyone))
+
+    query(name, text)(run_query)
+
+
+_register_valued("segment_priority", "SELECT segment_id, round(priority_score, 6) AS priority_score, round(w, 2) AS whitespace_value FROM valued",
+                 lambda f, _: scoring.priority(f).select("segment_id", "priority_score", F.round("whitespace_value", 2).alias("whitespace_value")), 12)
+_register_valued("top_usable_segments", "SELECT segment_id, round(priority_score, 6) AS priority_score FROM valued WHERE is_usable ORDER BY valued.priority_score DESC, segment_id LIMIT 5",
+                 lambda f, _: scoring.top_segments(scoring.priority(scoring.usability(f))).select("segment_id", "priority_score"), 30)
+_register_valued("integrated_totals", """SELECT count(*) AS segments, count(*) FILTER (WHERE is_usable) AS usable, count(*) FILTER (WHERE NOT is_usable) AS rejected,
+  CAST(coalesce(sum(size) FILTER (WHERE is_usable), 0) AS BIGINT) AS customers_in_usable, round(coalesce(sum(round(total_clv, 2)) FILTER (WHERE is_usable), 0.0), 2) AS usable_clv,
+  round(coalesce(sum(w) FILTER (WHERE is_usable), 0.0), 2) AS whitespace_value, max(everyone) AS total_customers, round(count(*) FILTER (WHERE is_usable) / CAST(count(*) AS DOUBLE), 6) AS usability_rate,
+  round(coalesce(sum(size) FILTER (WHERE is_usable), 0) / CAST(max(everyone) AS DOUBLE), 6) AS customer_coverage FROM valued""",
+                 lambda f, n: scoring.integrated_totals(scoring.usability(f), n.scalar()).withColumns({c: F.round(c, 2) for c in ("usable_clv", "whitespace_value")}), 30)
 _register("segment_report_rows", """SELECT segment_id, size, robustness_tier, is_actionable, expected_roi FROM (SELECT segment_id, size, tier AS robustness_tier, is_actionable, round(expected_roi, 6) AS expected_roi FROM scored)""",
           lambda f, _: scoring.report_rows(f.select("segment_id", "size"), f.where("robustness_tier IS NOT NULL").select("segment_id", "robustness_tier"),
                                            f.select("segment_id", "is_actionable"), f.select("segment_id", "expected_roi")))
@@ -187,11 +206,16 @@ _register("robustness_report", """SELECT count(*) AS segments, count(*) FILTER (
   round(avg(CASE WHEN tier = 'HIGH' THEN 1.0 ELSE 0.0 END) * 100, 6) AS high_share, round(avg(feature_stability), 6) AS avg_feature_stability,
   round(avg(time_window_consistency), 6) AS avg_time_consistency FROM scored WHERE tier IS NOT NULL""",
           lambda f, _: reports.robustness_report(f.where("robustness_tier IS NOT NULL")))
-_register("critical_feature_report", """SELECT f AS feature, count(*) AS segments, round(avg(feature_stability), 6) AS avg_stability FROM (
-  SELECT feature_stability, unnest(CASE WHEN num % 2 = 0 THEN ['total_revenue', 'preferred_day'] ELSE ['total_revenue'] END) AS f FROM scored WHERE tier IS NOT NULL) GROUP BY 1""",
-          lambda f, _: reports.critical_features(f.where("robustness_tier IS NOT NULL").select("feature_stability", F.when(
-              F.regexp_extract("segment_id", r"_(\d+)$", 1).cast("int") % 2 == 0, F.array(F.lit("total_revenue"), F.lit("preferred_day")))
-              .otherwise(F.array(F.lit("total_revenue"))).alias("critical_features"))))
+
+@query("critical_feature_report", with_(profiles_sql("web"), members_sql(GROUPS), ROBUST_SQL, SEGMENT_SQL, SCORED_SQL, *SENSITIVITY_SQL, select=f"""
+SELECT grp AS feature, count(*) AS segments, round(avg(feature_stability), 6) AS avg_stability
+FROM scored, (SELECT grp FROM ari WHERE ari < {stability.CRITICAL_ARI}) WHERE tier IS NOT NULL GROUP BY 1"""))
+def critical_feature_report(spark, folder):
+    """Features without which the population falls into other clusters, and the segments assessed under them."""
+    found, _ = checked(spark, folder)
+    critical = sensitivity(spark, folder).where("is_critical").agg(F.array_sort(F.collect_list("dropped_feature"))).scalar()
+    assessed = found.where("robustness_tier IS NOT NULL").select("feature_stability", critical.alias("critical_features"))
+    return _listed(reports.critical_features(assessed))
 
 
 @query("prioritised_segments")

@@ -242,11 +242,19 @@ def kmeans_from_given_centres(spark, folder):
     return found.select(left_out.alias("left_out"), F.col("cluster").cast("bigint").alias("cluster"), F.col("size").cast("bigint").alias("size"), F.round("cost", 4).alias("cost"))
 
 
-@query("feature_sensitivity_from_given_centres", with_(profiles_sql("web"), _FEATURE_SQL, _SCALED_SQL, _LEFT_OUT_SQL, _STEPS_SQL, f"""
-pair AS (SELECT b.grp, a.label AS label_a, b.label AS label_b FROM labels a JOIN labels b USING (customer_id) WHERE a.grp = '' AND b.grp <> '')""", _ARI_SQL, select=f"""
+#: Agreement `ari` of the clustering without each feature with the full one.
+SENSITIVITY_SQL = (_FEATURE_SQL, _SCALED_SQL, _LEFT_OUT_SQL, _STEPS_SQL, """
+pair AS (SELECT b.grp, a.label AS label_a, b.label AS label_b FROM labels a JOIN labels b USING (customer_id) WHERE a.grp = '' AND b.grp <> '')""", _ARI_SQL)
+
+
+def sensitivity(spark, folder):
+    return stability.feature_sensitivity(web_profiles(spark, folder), **_FROM_GIVEN)
+
+
+@query("feature_sensitivity_from_given_centres", with_(profiles_sql("web"), *SENSITIVITY_SQL, select=f"""
 SELECT grp AS dropped_feature, customers, round(ari, 6) AS ari, ari < {stability.CRITICAL_ARI} AS is_critical FROM ari"""))
 def feature_sensitivity_from_given_centres(spark, folder):
-    return tidy(stability.feature_sensitivity(web_profiles(spark, folder), **_FROM_GIVEN))
+    return tidy(sensitivity(spark, folder))
 
 
 _WINDOW_SQL = "feat AS (SELECT d AS grp, feat.* FROM feat JOIN profiles USING (customer_id), (SELECT unnest([30, 60, 90]) AS d), (SELECT max(last_seen) AS latest FROM profiles) WHERE first_seen <= latest AND last_seen >= latest - to_days(CAST(d AS INTEGER)))"

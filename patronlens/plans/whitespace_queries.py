@@ -153,10 +153,20 @@ segws AS (SELECT segment_id, level, category, count(*) AS n_lookalikes, avg(simi
   FROM members JOIN cand USING (customer_id) JOIN (SELECT level, category, buyer_avg_clv FROM ws) USING (level, category) GROUP BY 1, 2, 3)"""
 
 
-def _segment_ws(spark, folder):
+def _segment_ws(spark, folder, groups=5):
     found = _whitespace(spark, folder)
     categories = whitespace.category_whitespace(*found)
-    return whitespace.segment_whitespace(members(shop_profiles(spark, folder), 5), found[2], categories)
+    return whitespace.segment_whitespace(members(shop_profiles(spark, folder), groups), found[2], categories)
+
+
+#: Shop categories and lookalikes, then the whitespace of each segment of the `members` defined before them.
+SEGMENT_WHITESPACE_SQL = (_ROWS, _KNN, _RANKED, _SEGMENT_WS, """
+segopp AS (SELECT segment_id, sum(opportunity_value) AS whitespace_value FROM segws GROUP BY 1)""")
+
+
+def segment_values(spark, folder, groups):
+    """(segment_id, whitespace_value) of the shop's segments."""
+    return whitespace.segment_opportunity(_segment_ws(spark, folder, groups)).select("segment_id", "whitespace_value")
 
 
 @query("segment_whitespace", oracle("""SELECT segment_id, CAST(level AS BIGINT) AS level, category, n_lookalikes, round(avg_similarity, 6) AS avg_similarity, round(opportunity_value, 4) AS opportunity_value FROM segws""",
