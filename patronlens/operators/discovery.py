@@ -237,9 +237,20 @@ def discovery_summary(fields: DataFrame, scores: DataFrame) -> DataFrame:
         "f", found.select(F.struct("*")).scalar()).select("f.*", "traits_scored", "significant_traits")
 
 
-def explain(scores: DataFrame) -> DataFrame:
-    """Actionability class, caveat codes, confidence and action codes of every trait."""
+def leading_values(statistics: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(path, best_value, low_value, risky_value): first and last of the leading values by revenue, last by retention."""
+    ends = None
+    for by, first, last in (("revenue", "best_value", "low_value"), ("retention", None, "risky_value")):
+        top = top_values(statistics, by, limits=limits).groupBy("path").agg(
+            *([F.min_by("value", "position").alias(first)] if first else []), F.max_by("value", "position").alias(last))
+        ends = top if ends is None else ends.join(top, "path", "full")
+    return ends
+
+
+def explain(scores: DataFrame, statistics: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Actionability class, caveat codes, confidence and action codes of every trait, with the values the actions are about."""
     c = F.col
+    scores = scores.join(leading_values(statistics, limits), "path", "left")
     names = F.concat_ws("\n", F.lower("trait_name"), F.lower("path"))
     outcome, preference = names.rlike("|".join(OUTCOME_WORDS)), names.rlike("|".join(PREFERENCE_WORDS))
     strong = (c("revenue_impact") >= 0.5) & (c("revenue_p_value") < 0.05)
@@ -249,7 +260,9 @@ def explain(scores: DataFrame) -> DataFrame:
     points = F.when(c("customer_coverage") >= 0.5, 2).when(c("customer_coverage") >= 0.2, 1).otherwise(0) + F.when(
         lowest < 0.01, 2).when(lowest < 0.05, 1).otherwise(0)
     actions = F.array_compact(F.array(
-        F.when(strong, "create_high_value_segment"), F.when(strong, "investigate_low_values"), F.when(sticky, "target_retention"),
+        F.when(strong & c("best_value").isNotNull(), F.concat(F.lit("create_high_value_segment:"), c("best_value"))),
+        F.when(strong & (c("low_value") != c("best_value")), F.concat(F.lit("investigate_low_values:"), c("low_value"))),
+        F.when(sticky & c("risky_value").isNotNull(), F.concat(F.lit("target_retention:"), c("risky_value"))),
         F.when(varied, "personalize_content")))
     return scores.withColumns({
         "actionability": F.when(outcome, "not_actionable").when(preference, "actionable").otherwise("potentially_actionable"),

@@ -45,6 +45,17 @@ scored AS (SELECT *, 0.4 * revenue_impact + 0.3 * retention_impact + 0.3 * perso
 """
 
 
+# The oracle's way to the same tails: F by Simpson's rule over the beta density (t = 1 - u^2 takes its pole away), chi-squared by its Poisson terms.
+_TAILS = """
+tst AS (SELECT path, count(*) - 1.0 AS d1, sum(n) - count(*) AS d2 FROM ok GROUP BY 1 HAVING count(*) >= 2),
+ft AS (SELECT path, CAST(d1 AS DOUBLE) AS d1, d2 / 2.0 AS a, d1 / 2.0 AS b, sqrt(d1 * f / (d2 + d1 * f)) AS u0, (1 - sqrt(d1 * f / (d2 + d1 * f))) / 20000 AS h FROM tst JOIN anova USING (path) WHERE f > 0),
+fp AS (SELECT path, sum(h / 3 * w * CASE WHEN u <= 0 OR u >= 1 THEN 0 ELSE exp(ln(2) + lgamma(a + b) - lgamma(a) - lgamma(b) + (d1 - 1) * ln(u) + (a - 1) * ln(1 - u * u)) END) AS revenue_p_value
+  FROM (SELECT *, u0 + i * h AS u, CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM ft, (SELECT unnest(range(0, 20001)) AS i)) GROUP BY 1),
+cp AS (SELECT path, sum(exp(i * ln(chi2 / 2) - chi2 / 2 - lgamma(i + 1))) AS retention_p_value FROM (SELECT *, unnest(range(0, CAST(dof / 2 AS BIGINT))) AS i FROM chi WHERE chi2 > 0) GROUP BY 1),
+sig AS (SELECT *, revenue_p_value < 0.05 OR retention_p_value < 0.05 AS is_significant FROM (
+  SELECT s.*, coalesce(fp.revenue_p_value, 1.0) AS revenue_p_value, coalesce(cp.retention_p_value, 1.0) AS retention_p_value FROM scored s LEFT JOIN fp USING (path) LEFT JOIN cp USING (path)))"""
+
+
 def oracle(select: str, *more: str) -> str:
     return with_(profiles_sql("shop"), _LONG, *more, select=select)
 
@@ -114,7 +125,7 @@ def trait_revenue_impact(spark, folder):
 
 # Other churn cuts than the default ones, so that all three buckets are filled.
 _CUTS = (0.5, 0.6)
-_CUT_ORACLE = oracle("SELECT path, round(chi2, 6) AS chi2_statistic, round(least(1.0, chi2 / dof / 10), 6) AS retention_impact FROM chi").replace(
+_CUT_ORACLE = oracle("SELECT path, round(chi2, 6) AS chi2_statistic, round(least(1.0, chi2 / dof / 10), 6) AS retention_impact, round(coalesce(retention_p_value, 1.0), 6) AS retention_p_value FROM chi LEFT JOIN cp USING (path)", _TAILS).replace(
     "churn_risk_score < 0.3) AS low", "churn_risk_score < 0.5) AS low").replace(
     "churn_risk_score >= 0.3 AND churn_risk_score < 0.7) AS medium", "churn_risk_score >= 0.5 AND churn_risk_score < 0.6) AS medium").replace(
     "churn_risk_score >= 0.7) AS high", "churn_risk_score >= 0.6) AS high")
@@ -124,12 +135,12 @@ _CUT_ORACLE = oracle("SELECT path, round(chi2, 6) AS chi2_statistic, round(least
 def trait_retention_impact(spark, folder):
     owned = discovery.dominant_values(_counts(spark, folder), _made(spark, folder)[0].where("status = 'usable'"))
     statistics = cut(discovery.value_statistics(owned, shop_profiles(spark, folder), _CUTS))
-    return tidy(discovery.retention_impact(statistics).select("path", "chi2_statistic", "retention_impact"))
+    return tidy(discovery.retention_impact(statistics).select("path", "chi2_statistic", "retention_impact", "retention_p_value"))
 
 
-@query("trait_p_values")
+@query("trait_p_values", oracle("SELECT path, round(revenue_p_value, 6) AS revenue_p_value, round(retention_p_value, 6) AS retention_p_value, is_significant FROM sig", _TAILS))
 def trait_p_values(spark, folder):
-    return _made(spark, folder)[2].select("path", "revenue_p_value", "retention_p_value", "is_significant")
+    return tidy(_made(spark, folder)[2].select("path", "revenue_p_value", "retention_p_value", "is_significant"))
 
 
 @query("trait_personalization", oracle("SELECT path, round(entropy, 6) AS entropy, round(concentration, 6) AS concentration, round(personalization_value, 6) AS personalization_value FROM pers"))
@@ -161,14 +172,16 @@ def top_personalization_traits(spark, folder):
     return tidy(discovery.top_traits(_made(spark, folder)[2], "personalization").select("path", "personalization_value"))
 
 
-@query("top_revenue_traits")
+@query("top_revenue_traits", oracle("""SELECT * FROM (SELECT 'revenue' AS "by", path, round(revenue_impact, 6) AS revenue_impact FROM sig WHERE revenue_p_value < 0.1 ORDER BY sig.revenue_impact DESC, path LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'retention', path, round(retention_impact, 6) FROM sig WHERE retention_p_value < 0.1 ORDER BY sig.retention_impact DESC, path LIMIT 5)""", _TAILS))
 def top_revenue_traits(spark, folder):
-    scores = _made(spark, folder)[2]
+    scores = tidy(_made(spark, folder)[2].select("path", "revenue_p_value", "retention_p_value", "revenue_impact", "retention_impact"))
     return discovery.top_traits(scores).select(F.lit("revenue").alias("by"), "path", "revenue_impact").unionByName(
         discovery.top_traits(scores, "retention").select(F.lit("retention").alias("by"), "path", F.col("retention_impact").alias("revenue_impact")))
 
 
-@query("discovery_summary")
+@query("discovery_summary", oracle("""SELECT (SELECT count(*) FROM fields) AS fields_discovered, (SELECT count(*) FROM fields WHERE status <> 'usable') AS fields_filtered_out,
+  count(*) AS traits_scored, count(*) FILTER (WHERE is_significant) AS significant_traits FROM sig""", _TAILS))
 def discovery_summary(spark, folder):
     fields, _, scores = _made(spark, folder)
     return discovery.discovery_summary(fields, scores)
@@ -177,13 +190,31 @@ def discovery_summary(spark, folder):
 @query("trait_actionability", oracle("""SELECT path, CASE WHEN regexp_matches(path, 'payment|shipping|order_id|purchase_id|transaction|checkout|invoice|receipt|confirmation') THEN 'not_actionable'
   WHEN regexp_matches(path, 'category|brand|color|size|device|channel|location|language|country|state|region|style|material|price_range|margin') THEN 'actionable' ELSE 'potentially_actionable' END AS actionability FROM scored"""))
 def trait_actionability(spark, folder):
-    return discovery.explain(_made(spark, folder)[2]).select("path", "actionability")
-
-
-@query("trait_explanations")
+    _, statistics, scores = _made(spark, folder)
+    return discovery.explain(scores, statistics).select("path", "actionability")
+
+
+_EXPLAINED = """
+ends AS (SELECT path, arg_min(value, p) AS best, arg_max(value, p) AS low FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY m DESC, value) AS p, count(*) OVER (PARTITION BY path) AS k FROM ok) WHERE p <= 5 AND k >= 2 GROUP BY 1),
+risky AS (SELECT path, arg_max(value, p) AS risk FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY 1 - high / CAST(n AS DOUBLE) DESC, value) AS p, count(*) OVER (PARTITION BY path) AS k FROM ok) WHERE p <= 5 AND k >= 2 GROUP BY 1),
+expl AS (SELECT s.*, best, low, risk, regexp_matches(path, 'payment|shipping|order_id|purchase_id|transaction|checkout|invoice|receipt|confirmation') AS outcome,
+  regexp_matches(path, 'category|brand|color|size|device|channel|location|language|country|state|region|style|material|price_range|margin') AS preference,
+  CASE WHEN customer_coverage >= 0.5 THEN 2 WHEN customer_coverage >= 0.2 THEN 1 ELSE 0 END + CASE WHEN least(revenue_p_value, retention_p_value) < 0.01 THEN 2 WHEN least(revenue_p_value, retention_p_value) < 0.05 THEN 1 ELSE 0 END AS points
+  FROM sig s LEFT JOIN ends USING (path) LEFT JOIN risky USING (path)),
+acts AS (SELECT *, list_filter([CASE WHEN revenue_impact >= 0.5 AND revenue_p_value < 0.05 THEN 'create_high_value_segment:' || best END,
+  CASE WHEN revenue_impact >= 0.5 AND revenue_p_value < 0.05 AND low <> best THEN 'investigate_low_values:' || low END,
+  CASE WHEN retention_impact >= 0.5 AND retention_p_value < 0.05 THEN 'target_retention:' || risk END, CASE WHEN personalization_value >= 0.6 THEN 'personalize_content' END], lambda x: x IS NOT NULL) AS act FROM expl)"""
+
+
+@query("trait_explanations", oracle("""SELECT path, CASE WHEN outcome THEN 'not_actionable' WHEN preference THEN 'actionable' ELSE 'potentially_actionable' END AS actionability,
+  CASE WHEN points >= 3 THEN 'high' WHEN points >= 1 THEN 'medium' ELSE 'low' END AS confidence,
+  array_to_string(list_filter([CASE WHEN revenue_p_value >= 0.05 AND revenue_impact > 0.3 THEN 'revenue_not_significant' END, CASE WHEN retention_p_value >= 0.05 AND retention_impact > 0.3 THEN 'retention_not_significant' END,
+    CASE WHEN customer_coverage < 0.2 THEN 'low_coverage' END, CASE WHEN concentration > 0.9 THEN 'high_concentration' END, CASE WHEN outcome THEN 'likely_outcome' END], lambda x: x IS NOT NULL), '|') AS caveats,
+  CASE WHEN outcome THEN 'descriptive_only' WHEN len(act) > 0 THEN array_to_string(act, '|') ELSE 'monitor' END AS actions FROM acts""", _TAILS, _EXPLAINED))
 def trait_explanations(spark, folder):
-    return discovery.explain(_made(spark, folder)[2]).select("path", "actionability", "confidence", F.array_join("caveats", "|").alias("caveats"),
-                                                            F.array_join("actions", "|").alias("actions"))
+    _, statistics, scores = _made(spark, folder)
+    return discovery.explain(scores, statistics).select("path", "actionability", "confidence", F.array_join("caveats", "|").alias("caveats"),
+                                                        F.array_join("actions", "|").alias("actions"))
 
 
 @query("trait_heatmap", oracle("""SELECT path, round(revenue_impact, 6) AS revenue, round(retention_impact, 6) AS retention, round(personalization_value, 6) AS personalization,
