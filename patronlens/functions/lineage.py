@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(frame: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, for tables that later steps read."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid4().hex}"

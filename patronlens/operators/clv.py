@@ -6,18 +6,23 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.columns import ratio
-from patronlens.functions.lineage import cut
+from patronlens.functions.lineage import cut, shared_folder
 from patronlens.operators.features import as_vectors
+from patronlens.operators.multi_kmeans import folded, moments, rows_of
 from patronlens.operators.reports import order_statistics
 
 FEATURES = {
@@ -35,6 +40,10 @@ FEATURES = {
 }
 
 
+#: Features that give a target away: the target itself and what is computed from it.
+GIVEN_AWAY = {"total_revenue": ("total_revenue", "avg_order_value", "revenue_per_session")}
+
+
 def names_of(groups: Sequence[str] = tuple(FEATURES), without: Sequence[str] = ()) -> tuple[str, ...]:
     return tuple(n for g in groups for n in FEATURES[g] if n not in without)
 
@@ -84,7 +93,7 @@ def build_features(profiles: DataFrame, affinity: DataFrame, names: Sequence[str
 
 @dataclass(frozen=True)
 class TrainingConfig:
-    """The target is left out of the features unless it lies in the future of them."""
+    """The target and what derives from it are left out of the features unless it lies in the future of them."""
 
     model: str = "gradient_boosting"
     target: str = "total_revenue"
@@ -96,7 +105,7 @@ class TrainingConfig:
 
     @property
     def names(self) -> tuple[str, ...]:
-        return names_of(self.groups, () if self.keep_target_as_feature else (self.target,))
+        return names_of(self.groups, () if self.keep_target_as_feature else GIVEN_AWAY.get(self.target, (self.target,)))
 
 
 def estimator(config: TrainingConfig, n_rows: int) -> Estimator:
@@ -137,25 +146,75 @@ def time_folds(table: DataFrame, splits: int = 5) -> DataFrame:
     return tagged.withColumn("fold", fold).drop("_t", "_b")
 
 
-def metrics(predicted: DataFrame, actual: str = "target", guess: str = "prediction") -> DataFrame:
-    """MAE, RMSE, R2 and MAPE (over non-zero targets, in percent) in one aggregation."""
+def metrics(predicted: DataFrame, actual: str = "target", guess: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """MAE, RMSE, R2 and MAPE (over non-zero targets, in percent) in one aggregation, for each group if there is one."""
     y, p = F.col(actual), F.col(guess)
-    return predicted.agg(
+    return predicted.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg(F.pow(y - p, 2))).alias("rmse"),
         F.when(F.var_pop(y) == 0, F.lit(0.0)).otherwise(1 - F.avg(F.pow(y - p, 2)) / F.var_pop(y)).alias("r2"),
         F.coalesce(F.avg(F.when(y != 0, F.abs((y - p) / y))) * 100, F.lit(0.0)).alias("mape"))
 
 
+def ridge_folds(folds: DataFrame, splits: int, alpha: float = 1.0) -> list[tuple[np.ndarray, float]]:
+    """(coefficients, intercept) of the ridge fit to all rows before each test fold, from one scan.
+
+    Every fold is folded to its Gram matrix and moments about the overall means; the matrices of
+    the folds before a test fold add up, and each fit is a small solve on the driver. The intercept
+    is not penalised.
+    """
+    rows = rows_of(folds, "customer_id", vector_to_array("features"), [F.col("fold"), F.col("target")])
+    width = len(rows.select("_x").first()[0])
+    [(_, centre, _)] = moments(rows, width, [None])
+    size = width + 2  # ones, features, target
+
+    def gram(blocks):
+        total = np.zeros((splits + 1, size, size))
+        for _, x, w in blocks:
+            full = np.column_stack([np.ones(len(x)), x - centre, w[:, 1]])
+            for fold in np.unique(w[:, 0]).astype(int):
+                own = full[w[:, 0] == fold]
+                total[fold] += own.T @ own
+        return [(fold, j, *row) for fold, matrix in enumerate(total) for j, row in enumerate(matrix)]
+
+    found = folded(rows, gram, size)
+    matrices = np.array([[found.get((f, j), [0.0] * size) for j in range(size)] for f in range(splits + 1)])
+    out = []
+    for test in range(1, splits + 1):
+        m = matrices[:test].sum(0)
+        n, sums = max(m[0, 0], 1.0), m[0, 1:]
+        inner = m[1:, 1:] - np.outer(sums, sums) / n
+        beta = np.linalg.solve(inner[:-1, :-1] + alpha * np.eye(width), inner[:-1, -1])
+        out.append((beta, float(sums[-1] / n - beta @ (sums[:-1] / n + centre))))
+    return out
+
+
+def _fold_metrics(predicted: DataFrame) -> DataFrame:
+    """The metrics of every fold in one aggregation."""
+    return metrics(predicted, by=("fold",)).withColumn("fold", F.col("fold").cast("bigint"))
+
+
 def cross_validate(table: DataFrame, config: TrainingConfig) -> DataFrame:
-    """Metrics per fold of an expanding-window split; each model sees only earlier rows."""
+    """Metrics per fold of an expanding-window split; each model sees only earlier rows.
+
+    Ridge fits of all folds come from one scan, and one more scores them. Trees have no such
+    sums; their fits start together from one materialised table and share the cluster.
+    """
     folds = cut(time_folds(table, config.splits))
-    out = None
-    for i in range(1, config.splits + 1):
+    if config.model == "ridge" and not set(config.params) - {"alpha"}:
+        fits = ridge_folds(folds, config.splits, config.params.get("alpha", 1.0))
+        betas = F.array(*[F.array(*[F.lit(float(v)) for v in (b, *beta)]) for beta, b in fits])
+        x = F.concat(F.array(F.lit(1.0)), vector_to_array("features"))
+        guess = F.aggregate(F.zip_with(x, betas[F.col("fold") - 1], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return _fold_metrics(folds.where("fold > 0").select("fold", "target", guess.alias("prediction")))
+
+    def score(i: int) -> DataFrame:
         past = folds.where(F.col("fold") < i)
         model = estimator(config, past.count()).fit(past)
-        row = metrics(model.transform(folds.where(F.col("fold") == i))).withColumn("fold", F.lit(i).cast("bigint"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        return model.transform(folds.where(F.col("fold") == i)).select("fold", "target", "prediction")
+
+    with ThreadPool(min(config.splits, 3)) as pool:
+        parts = pool.map(inheritable_thread_target(score), range(1, config.splits + 1))
+    return _fold_metrics(reduce(DataFrame.unionByName, parts))
 
 
 def time_holdout(table: DataFrame, fraction: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -191,21 +250,24 @@ class Predictor:
         rows = as_vectors(build_features(profiles, affinity, self.names), self.names)
         forest = isinstance(self.model, RandomForestRegressionModel)
         scored = self.model.transform(rows, {self.model.leafCol: "_leaves"}) if forest else self.model.transform(rows)
-        return scored.select(
-            "customer_id", F.round(F.greatest(F.lit(0.0), F.col("prediction")), 2).alias("predicted_clv"),
-            F.round(self._confidence(), 3).alias("confidence"), F.lit(self.version).alias("model_version"), self.top_features(top).alias("top_features"))
-
-    def _confidence(self) -> Column:
-        """One minus the variation across the trees of a forest; 0.8 for other models."""
-        if not isinstance(self.model, RandomForestRegressionModel):
-            return F.lit(0.8)
-        # Spark ML names the leaf of every tree; a small array for each tree holds the predictions, all of them one literal
-        by_tree = F.from_json(F.lit(json.dumps(leaf_predictions(self.model))), "array<array<double>>")
-        guesses = F.zip_with(by_tree, vector_to_array("_leaves"), lambda own, leaf: F.get(own, leaf.cast("int")))
-        n = F.size(guesses)
-        mean = F.aggregate(guesses, F.lit(0.0), lambda a, v: a + v) / n
-        spread = F.sqrt(F.aggregate(guesses, F.lit(0.0), lambda a, v: a + v * v) / n - mean * mean)
-        return F.when(mean == 0, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(spread, F.lit(0.0)) / F.abs(mean))))
+        found = scored.select(
+            "customer_id", F.round(F.greatest(F.lit(0.0), F.col("prediction")), 2).alias("predicted_clv"), self.top_features(top).alias("top_features"),
+            *([F.col("_leaves")] if forest else []))
+        sure = self._confidence(found) if forest else found.withColumn("confidence", F.lit(0.8))
+        return sure.select("customer_id", "predicted_clv", F.round("confidence", 3).alias("confidence"), F.lit(self.version).alias("model_version"), "top_features")
+
+    def _confidence(self, scored: DataFrame) -> DataFrame:
+        """One minus the variation across the trees of a forest.
+
+        Each row's leaves meet the table of leaf predictions and fold to moments again. That
+        table has at most trees x 2**depth rows, whatever the data, so it is broadcast.
+        """
+        leaves = scored.select("*", F.posexplode(vector_to_array("_leaves")).alias("tree", "_leaf")).withColumn("leaf", F.col("_leaf").cast("int"))
+        met = leaves.join(F.broadcast(leaf_table(self.model)), ["tree", "leaf"])
+        moments = met.groupBy("customer_id").agg(
+            F.first("predicted_clv").alias("predicted_clv"), F.first("top_features").alias("top_features"), F.avg("guess").alias("mean"), F.stddev_pop("guess").alias("spread"))
+        certain = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("spread") / F.abs("mean")))
+        return moments.withColumn("confidence", F.when(F.col("mean") == 0, 0.5).otherwise(certain))
 
     def top_features(self, n: int = 5) -> Column:
         """Names with the largest absolute value times importance."""
@@ -225,23 +287,17 @@ class Predictor:
         return Predictor(loader.load(f"{path}/model"), tuple(side["names"]), tuple((n, w) for n, w in side["weights"]), side["kind"], side["version"])
 
 
-def leaf_predictions(model: RandomForestRegressionModel) -> list[list[float]]:
-    """Predictions of the leaves of each tree by leaf index, from one text of the whole forest."""
-    trees = model.toDebugString.split("\n  Tree ")[1:]
-    return [[float(line.split("Predict: ")[1]) for line in tree.splitlines() if "Predict: " in line] for tree in trees]
-
+def leaf_table(model: RandomForestRegressionModel) -> DataFrame:
+    """(tree, leaf, guess): the prediction of every leaf, from the node data that Spark ML writes of a model.
 
-def _tree_column(tree) -> Column:
-    """A fitted regression tree as a nested condition over the feature columns of the vector."""
-    values = vector_to_array("features")
-
-    def walk(node) -> Column:
-        if node.subtreeDepth() == 0:
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        return F.when(values[split.featureIndex()] <= F.lit(float(split.threshold())), walk(node.leftChild())).otherwise(walk(node.rightChild()))
-
-    return walk(tree._call_java("rootNode"))
+    Nodes are numbered from the root down and from left to right, and so are the leaves.
+    """
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/forest"
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*").where("leftChild < 0")
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1
+    return nodes.select("tree", place.alias("leaf"), F.col("prediction").alias("guess"))
 
 
 def train(profiles: DataFrame, affinity: DataFrame, config: TrainingConfig = TrainingConfig(), version: str = "v1") -> tuple[Predictor, DataFrame]:
@@ -259,14 +315,6 @@ def train_with_holdout(profiles: DataFrame, affinity: DataFrame, config: Trainin
     return Predictor(model, config.names, tuple(importances(model, config.names)), config.model), metrics(model.transform(recent))
 
 
-def attach_to_profiles(profiles: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Prediction columns written back to the profiles."""
-    renamed = predictions.select(
-        "customer_id", F.col("predicted_clv").alias("clv_predicted"), F.col("confidence").alias("clv_prediction_confidence"),
-        F.col("model_version").alias("clv_model_version"), F.col("top_features").alias("clv_top_features"))
-    return profiles.join(renamed, "customer_id", "left")
-
-
 def linear_contributions(features: DataFrame, names: Sequence[str], coefficients: Sequence[float]) -> DataFrame:
     """Exact contributions of a linear model: coefficient times distance from the mean."""
     means = features.agg(*[F.avg(n).alias(n) for n in names]).select(F.struct("*")).scalar()
@@ -278,16 +326,21 @@ def linear_contributions(features: DataFrame, names: Sequence[str], coefficients
 
 
 def ablation_contributions(model: Model, features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Contributions for any model: prediction minus the one with the feature at its mean."""
-    features = cut(features)
-    means = features.agg(*[F.avg(n).alias(n) for n in names]).first().asDict()
-    out = None
-    full = model.transform(as_vectors(features, names)).select("customer_id", *names, F.col("prediction").alias("full"))
-    for name in names:
-        flat = model.transform(as_vectors(full.withColumn(name, F.lit(float(means[name]))), names))
-        part = flat.select("customer_id", F.lit(name).alias("feature"), (F.col("full") - F.col("prediction")).alias("contribution"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Contributions for any model: prediction minus the one with the feature at its mean.
+
+    One pass for all features: a row unfolds to its copies with one feature levelled, and they
+    are predicted where they arise.
+    """
+    names = list(names)
+    means = features.agg(F.array(*[F.avg(n) for n in names])).scalar()
+    rows = features.select("customer_id", F.array(*names).alias("_x"), means.alias("_means"))
+    full = model.transform(rows.withColumn("features", array_to_vector("_x"))).select("customer_id", "_x", "_means", F.col("prediction").alias("full"))
+    levelled = F.transform(
+        F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda j: F.transform("_x", lambda v, i: F.when(i == j, F.get(F.col("_means"), j)).otherwise(v)))
+    copies = full.select("customer_id", "full", F.posexplode(levelled).alias("_j", "_flat"))
+    flat = model.transform(copies.withColumn("features", array_to_vector("_flat")))
+    feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_j") + 1)
+    return flat.select("customer_id", feature.alias("feature"), (F.col("full") - F.col("prediction")).alias("contribution"))
 
 
 def global_importance(contributions: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def _weight(view: View, w: np.ndarray, n: int) -> np.ndarray:
     return np.ones(n) if view.weight is None else w[:, view.weight]
 
 
-def _folded(rows: DataFrame, fold: Callable[[Iterator], list[tuple]], width: int, best: bool = False) -> dict[tuple[int, int], list]:
+def folded(rows: DataFrame, fold: Callable[[Iterator], list[tuple]], width: int, best: bool = False) -> dict[tuple[int, int], list]:
     """Run `fold` on every task's rows; add up (or, if `best`, take the smallest of) its (model, cluster, value...) rows."""
     names = [f"v{i}" for i in range(width)]
     arrow = pa.schema([("model", pa.int32()), ("cluster", pa.int32()), *((n, pa.float64()) for n in names)])
@@ -117,8 +117,8 @@ def moments(rows: DataFrame, width: int, weights: Sequence[int | None]) -> list[
         table = np.array([found.get((i, 0), [0.0] * (width + 1)) for i in range(len(weights))])
         return table[:, 0], table[:, 1:] / np.maximum(table[:, :1], 1e-300)
 
-    n, mean = by_weight(_folded(rows, sums(None), width + 1))
-    _, variance = by_weight(_folded(rows, sums(mean), width + 1))
+    n, mean = by_weight(folded(rows, sums(None), width + 1))
+    _, variance = by_weight(folded(rows, sums(mean), width + 1))
     return [(float(n[i]), mean[i], np.sqrt(variance[i])) for i in range(len(weights))]
 
 
@@ -183,7 +183,7 @@ def _plus_plus(rows: DataFrame, models: Sequence[Model], width: int) -> list[np.
                         best[i] = min(best.get(i, (np.inf,)), (race[at], *z[at]))
             return [(i, 0, *row) for i, row in best.items()]
 
-        for (i, _), row in _folded(rows, fold, width + 1, best=True).items():
+        for (i, _), row in folded(rows, fold, width + 1, best=True).items():
             centres[i][step] = row[1:]
     return centres
 
@@ -215,7 +215,7 @@ def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = 300, tole
                     sums[:, 2:] += held.T @ z
             return [(i, c, *sums[a + c]) for (_, own, _, ends), sums in zip(stacked, total, strict=True) for i, a, b in zip(own, ends, ends[1:], strict=False) for c in range(b - a) if sums[a + c, 0] > 0]
 
-        found = _folded(rows, fold, width + 2)
+        found = folded(rows, fold, width + 2)
         cost = dict.fromkeys(moving, 0.0)
         moved = dict.fromkeys(moving, 0.0)
         for i in moving:
@@ -299,7 +299,7 @@ def silhouettes(rows: DataFrame, fits: Sequence[Fit]) -> list[float]:
                 sums[:, 2:] += held.T @ z
         return [(i, c, *row) for i, sums in enumerate(total) for c, row in enumerate(sums)]
 
-    found = _folded(rows, fold, width + 2)
+    found = folded(rows, fold, width + 2)
     known = [np.array([found.get((i, c), [0.0] * (width + 2)) for c in range(f.model.k)]) for i, f in enumerate(fits)]
 
     def score(blocks: Iterator) -> list[tuple]:
@@ -319,5 +319,5 @@ def silhouettes(rows: DataFrame, fits: Sequence[Fit]) -> list[float]:
                 total[i] += (weight * np.nan_to_num(value)).sum(), weight.sum()
         return [(i, 0, *row) for i, row in enumerate(total)]
 
-    sums = _folded(rows, score, 2)
+    sums = folded(rows, score, 2)
     return [sums[i, 0][0] / sums[i, 0][1] if (i, 0) in sums and sums[i, 0][1] else 0.0 for i in range(len(fits))]

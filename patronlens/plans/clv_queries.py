@@ -96,10 +96,36 @@ def clv_models(spark, folder):
     return out
 
 
-@query("clv_cross_validation")
+# Ridge in SQL: centred columns as lists, their dot products as a matrix, Gauss-Jordan steps over it, one fold beside the other.
+_RIDGE_NAMES = _config("ridge").names
+_D = len(_RIDGE_NAMES)
+_RIDGE_SQL = f"""
+feats AS (SELECT p.customer_id, CAST(p.total_revenue AS DOUBLE) AS y, epoch_us(p.last_seen) AS seen_us, [{", ".join(f"CAST({_SQL.get(n, 'p.' + n)} AS DOUBLE)" for n in _RIDGE_NAMES)}] AS x
+  FROM profiles p LEFT JOIN l1top t ON t.customer_id = p.customer_id),
+ord AS (SELECT *, row_number() OVER (ORDER BY seen_us) - 1 AS rn, count(*) OVER () AS n FROM feats),
+marks AS (SELECT seen_us AS mark FROM ord, (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE rn = n - (6 - i) * (n // 6)),
+placed AS (SELECT customer_id, y, x, (SELECT count(*) FROM marks WHERE mark <= ord.seen_us) AS fold FROM ord),
+spread AS (SELECT k, j, customer_id, CASE WHEN j = {_D + 1} THEN y ELSE x[j] END AS v FROM placed, (SELECT unnest([1, 2, 3, 4, 5]) AS k), (SELECT unnest(range(1, {_D + 2})) AS j) WHERE fold < k),
+mean AS (SELECT k, list(m ORDER BY j) AS centre FROM (SELECT k, j, avg(v) AS m FROM spread GROUP BY 1, 2) GROUP BY 1),
+col AS (SELECT k, j, list(v - centre[j] ORDER BY customer_id) AS a FROM spread JOIN mean USING (k) GROUP BY 1, 2),
+gram AS (SELECT k, p.j AS i, list(list_dot_product(p.a, q.a) + CASE WHEN p.j = q.j THEN 1.0 ELSE 0.0 END ORDER BY q.j) AS r FROM col p JOIN col q USING (k) WHERE p.j <= {_D} GROUP BY 1, 2),
+elim AS (SELECT k, 0 AS s, list(r ORDER BY i) AS m FROM gram GROUP BY k
+  UNION ALL SELECT k, s + 1, list_transform(m, lambda r, i: CASE WHEN i = s + 1 THEN list_transform(r, lambda v: v / m[s + 1][s + 1])
+    ELSE list_transform(list_zip(r, m[s + 1]), lambda z: z[1] - r[s + 1] * z[2] / m[s + 1][s + 1]) END) FROM elim WHERE s < {_D}),
+beta AS (SELECT k, list_transform(m, lambda r: r[{_D + 1}]) AS b FROM elim WHERE s = {_D}),
+guess AS (SELECT fold, y, centre[{_D + 1}] + list_dot_product(b, list_transform(list_zip(x, centre[1:{_D}]), lambda z: z[1] - z[2])) AS p
+  FROM placed JOIN beta ON k = fold JOIN mean USING (k))
+"""
+
+
+@query("clv_cross_validation", with_(profiles_sql("shop"), _FEATURES_SQL, _RIDGE_SQL, select="""
+SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, round(avg(abs(y - p)) / 1000, 4) AS mae, round(sqrt(avg((y - p) * (y - p))) / 1000, 4) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 4) AS r2,
+  round(avg(abs((y - p) / y)) FILTER (WHERE y <> 0), 4) AS mape FROM guess GROUP BY 1"""))
 def clv_cross_validation(spark, folder):
     config = _config("ridge")
-    return clv.cross_validate(clv.training_table(shop_profiles(spark, folder), shop_affinity(spark, folder), config), config)
+    found = clv.cross_validate(clv.training_table(shop_profiles(spark, folder), shop_affinity(spark, folder), config), config)
+    scale = {"mae": 1000, "rmse": 1000, "r2": 1, "mape": 100}
+    return found.select("fold", "n", *[F.round(F.col(c) / d, 4).alias(c) for c, d in scale.items()])
 
 
 @query("clv_holdout")

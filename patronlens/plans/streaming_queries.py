@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from patronlens.checks.base_sql import WEB, with_
 from patronlens.functions.columns import r6
-from patronlens.functions.lineage import ensure_checkpoint_dir
+from patronlens.functions.lineage import shared_folder
 from patronlens.plans.inputs import web_merge_map, web_resolved
 from patronlens.plans.registry import query
 from patronlens.sources import retail
@@ -35,17 +33,6 @@ def daily_partials(spark, folder):
     return rows.select("customer_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_events", "purchases")
 
 
-def _shared_folder(spark) -> str:
-    """A new folder below the shared checkpoint folder of the session."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    if base.startswith("file:"):
-        return tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file:"))
-    from uuid import uuid4
-
-    return f"{base}/stream-{uuid4().hex}"
-
-
 def _stream(spark, folder):
     """The event table as a stream of its parquet file, in canonical form."""
     schema = retail.table(spark, folder, "events").schema
@@ -55,7 +42,7 @@ def _stream(spark, folder):
 
 @query("streamed_remap", with_(WEB, select="SELECT customer_id, count(*) AS n_events FROM web_ev GROUP BY 1"))
 def streamed_remap(spark, folder):
-    base = _shared_folder(spark)
+    base = shared_folder(spark)
     job = (streaming.remap_stream(_stream(spark, folder), web_merge_map(spark, folder), "40 days").writeStream.format("parquet")
            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     job.awaitTermination()
@@ -64,7 +51,7 @@ def streamed_remap(spark, folder):
 
 @query("streamed_partials_rollup", with_(WEB, select=_TOTALS))
 def streamed_partials_rollup(spark, folder):
-    base = _shared_folder(spark)
+    base = shared_folder(spark)
     rows = streaming.remap_stream(_stream(spark, folder), web_merge_map(spark, folder), "40 days")
 
     def fold(batch, number):
@@ -81,7 +68,7 @@ def late_merges_ledger(spark, folder):
 
     The oracle knows nothing of this order: it counts all events under all merges.
     """
-    base = _shared_folder(spark)
+    base = shared_folder(spark)
     events, merges = retail.web_events(spark, folder), retail.web_id_history(spark, folder)
     rows = ledgers.with_merges(events, merges)
     schema = rows.schema

@@ -1,6 +1,8 @@
 import tempfile
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from patronlens.operators import clv
@@ -26,22 +28,73 @@ def test_forest_predicts_and_survives_a_reload(spark, people):
     assert all(r["predicted_clv"] >= 0 and 0 <= r["confidence"] <= 1 and len(r["top_features"]) == 5 for r in first)
 
 
-def test_tree_columns_average_to_the_forest(spark, people):
-    config = clv.TrainingConfig("random_forest", params={"numTrees": 4, "maxDepth": 3}, groups=("engagement",))
-    table = clv.training_table(*people, config)
-    model = clv.estimator(config, 1).fit(table)
-    mean = sum((clv._tree_column(t) for t in model.trees[1:]), clv._tree_column(model.trees[0])) / 4
-    gap = model.transform(table).select(F.max(F.abs(F.col("prediction") - mean))).first()[0]
-    assert gap == pytest.approx(0.0, abs=1e-6)
+def _tree_column(tree):
+    """A fitted regression tree as a nested condition over the feature columns of the vector."""
+    values = vector_to_array("features")
+
+    def walk(node):
+        if node.subtreeDepth() == 0:
+            return F.lit(float(node.prediction()))
+        split = node.split()
+        return F.when(values[split.featureIndex()] <= F.lit(float(split.threshold())), walk(node.leftChild())).otherwise(walk(node.rightChild()))
 
+    return walk(tree._call_java("rootNode"))
 
-def test_leaf_predictions_are_those_of_the_trees(spark, people):
+
+def test_leaf_table_holds_the_predictions_of_the_trees(spark, people):
     config = clv.TrainingConfig("random_forest", params={"numTrees": 4, "maxDepth": 10})
     predictor, _ = clv.train(*people, config)
     rows = clv.as_vectors(clv.build_features(*people, predictor.names), predictor.names)
-    leaves = predictor.model.transform(rows, {predictor.model.leafCol: "leaves"}).select("leaves", *[clv._tree_column(t).alias(f"t{i}") for i, t in enumerate(predictor.model.trees)]).limit(200).collect()
-    held = clv.leaf_predictions(predictor.model)
-    assert leaves and all(held[i][int(r["leaves"][i])] == r[f"t{i}"] for r in leaves for i in range(4))
+    trees = predictor.model.trees
+    leaves = predictor.model.transform(rows, {predictor.model.leafCol: "leaves"}).select("customer_id", "leaves", *[_tree_column(t).alias(f"t{i}") for i, t in enumerate(trees)]).limit(200).collect()
+    held = {(r.tree, r.leaf): r.guess for r in clv.leaf_table(predictor.model).collect()}
+    assert leaves and all(held[i, int(r["leaves"][i])] == r[f"t{i}"] for r in leaves for i in range(4))
+    sure = {r.customer_id: r.confidence for r in predictor.predict(*people).collect()}
+    for r in leaves:
+        guesses = np.array([r[f"t{i}"] for i in range(4)])
+        want = 0.5 if guesses.mean() == 0 else min(1.0, max(0.0, 1 - guesses.std() / abs(guesses.mean())))
+        assert sure[r.customer_id] == pytest.approx(want, abs=1e-3)
+
+
+def test_ridge_folds_equal_a_fit_of_each_fold(spark, people):
+    config = clv.TrainingConfig("ridge", groups=("engagement", "temporal", "behavior"))
+    table = clv.training_table(*people, config)
+    folds = clv.time_folds(table, 5)
+    rows = folds.select("target", "fold", vector_to_array("features").alias("x")).collect()
+    for test, (beta, intercept) in enumerate(clv.ridge_folds(folds, 5, 2.0), 1):
+        x, y = (np.array([v for v, r in zip(values, rows, strict=True) if r.fold < test]) for values in ([r.x for r in rows], [r.target for r in rows]))
+        xc, yc = x - x.mean(0), y - y.mean()
+        want = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(x.shape[1]), xc.T @ yc)
+        assert np.allclose(x @ beta + intercept, xc @ want + y.mean(), rtol=1e-6)
+    found = {r.fold: r for r in clv.cross_validate(table, config).collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and sum(r.n for r in found.values()) == sum(r.fold > 0 for r in rows)
+
+
+def test_tree_folds_see_earlier_rows_only(spark, people):
+    config = clv.TrainingConfig("random_forest", splits=2, params={"numTrees": 2, "maxDepth": 2}, groups=("engagement",))
+    table = clv.training_table(*people, config)
+    rows = {r.fold: r for r in clv.cross_validate(table, config).collect()}
+    folds = clv.cut(clv.time_folds(table, 2))
+    for i in (1, 2):
+        past = folds.where(F.col("fold") < i)
+        model = clv.estimator(config, past.count()).fit(past)
+        want = clv.metrics(model.transform(folds.where(F.col("fold") == i))).first()
+        assert rows[i].n == want.n and rows[i].mae == pytest.approx(want.mae)
+
+
+def test_ablation_equals_one_pass_for_each_feature(spark, people):
+    config = clv.TrainingConfig("random_forest", params={"numTrees": 3, "maxDepth": 4}, groups=("engagement", "temporal"))
+    predictor, _ = clv.train(*people, config)
+    rows = clv.cut(clv.build_features(*people, predictor.names))
+    got = {(r.customer_id, r.feature): r.contribution for r in clv.ablation_contributions(predictor.model, rows, predictor.names).collect()}
+    assert len(got) == rows.count() * len(predictor.names)
+    full = {r.customer_id: r.prediction for r in predictor.model.transform(clv.as_vectors(rows, predictor.names)).collect()}
+    for name in predictor.names[:3]:
+        mean = rows.agg(F.avg(name)).first()[0]
+        for r in predictor.model.transform(clv.as_vectors(rows.withColumn(name, F.lit(mean)), predictor.names)).collect():
+            assert got[r.customer_id, name] == pytest.approx(full[r.customer_id] - r.prediction)
+    plan = clv.ablation_contributions(predictor.model, rows, predictor.names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
 
 
 @pytest.mark.parametrize("model", ["gradient_boosting", "random_forest", "ridge"])
@@ -51,7 +104,7 @@ def test_queries_train_the_whole_model(model):
 
 
 def test_target_is_not_among_its_own_features():
-    assert "total_revenue" not in clv.TrainingConfig().names and len(clv.names_of()) == 48
+    assert not {"total_revenue", "avg_order_value", "revenue_per_session"} & set(clv.TrainingConfig().names) and len(clv.names_of()) == 48
     assert "total_revenue" in clv.TrainingConfig(keep_target_as_feature=True).names
 
 

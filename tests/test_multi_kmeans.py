@@ -96,8 +96,8 @@ def test_silhouettes_against_all_pairs(spark, points):
 
 
 def test_number_of_scans_does_not_grow_with_models(spark, points, monkeypatch):
-    calls, plain = [], mk._folded
-    monkeypatch.setattr(mk, "_folded", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    calls, plain = [], mk.folded
+    monkeypatch.setattr(mk, "folded", lambda *a, **b: calls.append(1) or plain(*a, **b))
     view = mk.View((0.0,) * 3, (1.0,) * 3)
     for seeds in (1, 30):
         calls.clear()
