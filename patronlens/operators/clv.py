@@ -25,6 +25,7 @@ from patronlens.operators.features import as_vectors
 from patronlens.operators.multi_kmeans import folded, moments, rows_of
 from patronlens.operators.reports import order_statistics
 
+# Features of each group.
 FEATURES = {
     "rfm": ("days_since_last_purchase", "total_purchases", "purchase_frequency_per_month", "total_revenue", "avg_order_value",
             "total_refunds", "refund_rate", "churn_risk_score"),

@@ -15,6 +15,7 @@ from patronlens.functions.joins import join_unique
 from patronlens.functions.lineage import cut
 from patronlens.operators.neighbours import nearest, unit
 
+# Features by which customers are compared.
 CATEGORY_FEATURES = (
     "category_view_count", "category_engagement_score", "total_sessions", "total_page_views", "cart_abandonment_rate", "mobile_session_ratio",
 )

@@ -9,6 +9,7 @@ from patronlens.functions.columns import apply_rule, mobile_substring, numeric_t
 from patronlens.operators import identity
 from patronlens.plans.inputs import web_profiles, web_resolved
 from patronlens.plans.profile_queries import stamp
+from patronlens.functions.lineage import shared_folder
 from patronlens.plans.registry import query
 from patronlens.sources import mapping, retail, sampling, sinks, tables
 
@@ -28,7 +29,7 @@ def _case_sql(column: str, pairs: dict[str, str], default: str) -> str:
 SELECT t AS table_name, kind AS canonical_type,
   {_case_sql('kind', mapping.CANONICAL_TYPES, 'view_item')} AS event_type,
   {_case_sql('t', mapping.FOLDER_TABLE_TYPES, 'view_item')} AS folder_type, count(*) AS n_rows
-FROM (SELECT t, {_case_sql('lower(t)', {n: k for k, ns in mapping.TABLE_SYNONYMS.items() for n in ns}, 'custom')} AS kind
+FROM (SELECT t, {_case_sql('lower(t)', mapping.TABLE_TYPES, 'custom')} AS kind
       FROM (SELECT {_array_sql(_NAMES)}[event_id % {len(_NAMES)} + 1] AS t FROM events)) GROUP BY ALL""")
 def source_table_event_types(spark, folder):
     names = F.array(*[F.lit(n) for n in _NAMES])
@@ -169,13 +170,23 @@ def order_category_lists(spark, folder):
     return rows.select(F.col("order_id").cast("string").alias("order_id"), F.array_join(names, ",").alias("categories"))
 
 
-@query("folder_event_counts", """
-SELECT 'events' AS source_table, count(*) AS n_events, count(DISTINCT user_id) AS customers FROM events""")
+_EXPORTED = {"purchase": "purchase", "session_start": "signup", "view_item": "view"}
+
+
+@query("folder_event_counts", " UNION ALL ".join(
+    f"SELECT '{name}' AS source_table, count(*) AS n_events, count(DISTINCT user_id) AS customers FROM events WHERE event_type = '{kind}'" for name, kind in _EXPORTED.items())
+    + " UNION ALL SELECT '(unreadable) clicks', count(*) FILTER (WHERE false), 0 FROM events")
 def folder_event_counts(spark, folder):
-    config = mapping.SourceConfig("log", "user_id", "ts", None, type_field="event_type",
-                                  type_values={"purchase": "purchase", "signup": "session_start"})
-    loaded, _ = tables.load_events(spark, folder, config, include=("events",))
-    return tables.events_per_table(loaded)
+    """A folder with one table for each kind of event, written from the log, whose columns differ, and one without customers."""
+    log, base = retail.table(spark, folder, "events"), shared_folder(spark)
+    who, when = F.col("user_id").cast("string").alias("internal_customer_id"), F.col("ts").cast("timestamp").alias("timestamp")
+    extra = {"purchase": [F.col("value").alias("price")], "session_start": [], "view_item": [F.get_json_object("props", "$.k").alias("product_id")]}
+    for name, kind in _EXPORTED.items():
+        log.where(F.col("event_type") == kind).select(who, when, *extra[name]).write.parquet(f"{base}/{name}.parquet")
+    log.where("event_type = 'click'").select(when).write.parquet(f"{base}/clicks.parquet")
+    loaded, errors = tables.load_events(spark, base, mapping.SourceConfig("folder", "internal_customer_id", "timestamp", None))
+    unread = spark.createDataFrame([(f"(unreadable) {name}", 0, 0) for name in errors], "source_table string, n_events bigint, customers bigint")
+    return tables.events_per_table(loaded).unionByName(unread)
 
 
 @query("preset_event_types", """

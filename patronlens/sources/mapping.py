@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronlens.functions.columns import apply_rule, first_present, non_empty, parse_instant, whole_number
+from patronlens.functions.columns import apply_rule, first_present, mobile_substring, non_empty, parse_instant, whole_number
 
+# The event types.
 EVENT_TYPES = (
     "session_start", "view_category", "view_item", "add_to_cart", "checkout", "purchase", "purchase_item",
     "refund", "refund_item", "delivery_events",
@@ -32,19 +33,20 @@ FOLDER_TABLE_TYPES = {
     "session_end": "session_start", "page_visit": "view_item", "search": "view_category",
 }
 
-# Common table names -> canonical source type; any other table is custom.
-TABLE_SYNONYMS = {
-    "purchase": ("purchase", "purchases", "order", "orders", "transaction", "transactions"),
-    "purchase_item": ("purchase_item", "order_item", "line_item"),
-    "view_item": ("view_item", "product_view", "item_view", "pdp_view"),
-    "view_category": ("view_category", "category_view", "plp_view"),
-    "add_to_cart": ("cart_update", "add_to_cart", "cart_add", "cart"),
-    "checkout": ("checkout", "begin_checkout"),
-    "session_start": ("session_start", "session_begin", "visit_start"),
-    "session_end": ("session_end", "visit_end"),
-    "page_view": ("page_visit", "page_view", "pageview"),
-    "search": ("search", "site_search"),
-    "refund": ("refund", "return"),
+# Common table name -> canonical source type; any other table is custom.
+TABLE_TYPES = {
+    "purchase": "purchase", "purchases": "purchase", "order": "purchase", "orders": "purchase",
+    "transaction": "purchase", "transactions": "purchase",
+    "purchase_item": "purchase_item", "order_item": "purchase_item", "line_item": "purchase_item",
+    "view_item": "view_item", "product_view": "view_item", "item_view": "view_item", "pdp_view": "view_item",
+    "view_category": "view_category", "category_view": "view_category", "plp_view": "view_category",
+    "cart_update": "add_to_cart", "add_to_cart": "add_to_cart", "cart_add": "add_to_cart", "cart": "add_to_cart",
+    "checkout": "checkout", "begin_checkout": "checkout",
+    "session_start": "session_start", "session_begin": "session_start", "visit_start": "session_start",
+    "session_end": "session_end", "visit_end": "session_end",
+    "page_visit": "page_view", "page_view": "page_view", "pageview": "page_view",
+    "search": "search", "site_search": "search",
+    "refund": "refund", "return": "refund",
 }
 
 # Tables of a folder that hold customers, not events.
@@ -66,6 +68,7 @@ ALIASES = {
     "order_id": ("purchase_id", "order_id", "transaction_id", "order_number"),
     "session_id": ("session_id", "session", "visit_id"),
 }
+# Source names of the category and of the revenue, in order of preference.
 CATEGORY_FIELDS = ("product_category", "category", "category_level_1", "category_name", "item_category", "product_type")
 REVENUE_FIELDS = ("total_price", "order_total", "total_amount", "revenue", "transaction_total", "purchase_amount", "amount")
 # Known keys that never go to the overflow map.
@@ -93,6 +96,7 @@ class SourceConfig:
     mobile_values: tuple[str, ...] = ("mobile", "tablet", "ios", "android")
 
 
+# Field and table names of known sources.
 def bloomreach() -> SourceConfig:
     return SourceConfig(
         "bloomreach",
@@ -139,8 +143,7 @@ def _lookup(pairs: Mapping[str, str], key: Column) -> Column:
 
 def canonical_type(table: Column) -> Column:
     """Canonical source type of a table name by its common synonyms."""
-    pairs = {name: kind for kind, names in TABLE_SYNONYMS.items() for name in names}
-    return F.coalesce(_lookup(pairs, F.lower(table)), F.lit("custom"))
+    return F.coalesce(_lookup(TABLE_TYPES, F.lower(table)), F.lit("custom"))
 
 
 def event_type_of_table(table: Column, config: SourceConfig | None = None) -> Column:
@@ -238,6 +241,7 @@ def rows_to_events(frame: DataFrame, table: str, config: SourceConfig | None = N
         customer.alias("customer_id"), kind.alias("event_type"), when.alias("ts"),
         F.lit(table).alias("source_table"), *fields,
         non_empty(first_of(frame, config.category_fields, prefix)).alias("product_category"),
+        mobile_substring(non_empty(first_of(frame, ALIASES["device_type"], prefix)), config.mobile_values).alias("is_mobile"),
         apply_rule(first_of(frame, config.revenue_fields, prefix), "decimal").alias("order_total"),
         F.lit(None).cast("decimal(18,2)").alias("total_amount"),
         overflow(frame, config).alias("custom_properties"),
@@ -269,6 +273,7 @@ class EventTable:
     filters: tuple[str, ...] = ()
 
 
+# Target properties of an event.
 TARGETS = (
     "page_url", "page_title", "product_id", "product_name", "product_category", "product_price", "quantity",
     "order_id", "order_total", "search_query", "session_id",
@@ -337,5 +342,8 @@ def source_rows(
     if sample_rate is not None and sample_rate < 1.0:
         rows = rows.sample(fraction=sample_rate, seed=seed)
     if limit is not None:
-        rows = rows.orderBy(config.timestamp_field, F.xxhash64(*rows.columns), *[c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]).limit(limit)
+        # maps, at any depth, have neither an order nor a hash, but a text
+        plain = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
+        texts = [F.to_json(F.struct(c)) for c in rows.columns if c not in plain]
+        rows = rows.orderBy(config.timestamp_field, F.xxhash64(*plain, *texts), *plain, *texts).limit(limit)
     return rows

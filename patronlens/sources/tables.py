@@ -23,11 +23,13 @@ CUSTOMER_ATTRIBUTES = {
 
 
 def tables_in(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the `*.parquet` tables of a folder on any Hadoop file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [f.getPath().getName() for f in files]
-    return sorted(n[: -len(".parquet")] for n in names if n.endswith(".parquet"))
+    """Names of the `*.parquet` tables of a folder, files or folders of part files, on any file system Spark reads.
+
+    The file list is a scan like any other that reads no content; what comes back is one row a table.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    name = F.regexp_extract("path", r"^.*?/([^/]+)\.parquet(?:/|$)", 1)
+    return sorted(r[0] for r in files.select(name.alias("name")).where("name != ''").distinct().collect())
 
 
 def load_events(
@@ -44,7 +46,7 @@ def load_events(
         try:
             frames.append(rows_to_events(spark.read.parquet(f"{folder}/{name}.parquet"), name, config))
         except (AnalysisException, KeyError) as error:
-            errors[name] = str(error).splitlines()[0]
+            errors[name] = f"{config.client_name}: {str(error).splitlines()[0]}"
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
     return merged, errors
 
@@ -63,6 +65,11 @@ def history_rows(frame: DataFrame, config: SourceConfig | None = None, rank: int
                         F.lit(rank).alias("source_rank")).where(F.col("past_id").isNotNull() & F.col("internal_customer_id").isNotNull())
 
 
+def load_history(spark: SparkSession, folder: str, config: SourceConfig) -> DataFrame | None:
+    """Merge history from the table that the source names for it, if it names one."""
+    return history_rows(spark.read.parquet(f"{folder}/{config.id_history_table}.parquet"), config) if config.id_history_table else None
+
+
 def merge_event_rows(frame: DataFrame, config: SourceConfig | None = None, rank: int = 1) -> DataFrame:
     """Merge history rows from merge events whose source ids are an array, JSON text or one bare id."""
     config = config or SourceConfig()

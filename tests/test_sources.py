@@ -1,5 +1,8 @@
 import tempfile
 from datetime import datetime
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 from patronlens.sources import mapping, sampling, sinks, tables
 
@@ -38,3 +41,34 @@ def test_merge_events_accept_arrays_json_and_bare_ids(spark):
     text = spark.createDataFrame([("c", {"source_internal_ids": '["a","b"]'}), ("d", {"source_internal_ids": "z"})], "internal_customer_id string, properties map<string,string>")
     assert [r["past_id"] for r in tables.merge_event_rows(listed).collect()] == ["a"]
     assert sorted(r["past_id"] for r in tables.merge_event_rows(text).collect()) == ["a", "b", "z"]
+
+
+def test_tables_of_a_folder_are_files_and_folders(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.range(3).repartition(3).write.parquet(f"{folder}/many.parquet")
+    spark.range(3).withColumn("day", F.col("id")).write.partitionBy("day").parquet(f"{folder}/parts.parquet")
+    spark.range(3).toPandas().to_parquet(f"{folder}/single.parquet")
+    (Path(folder) / "notes.txt").write_text("x")
+    assert tables.tables_in(spark, folder) == ["many", "parts", "single"]
+
+
+def test_limit_takes_rows_with_maps_at_any_depth(spark):
+    schema = "customer_id string, timestamp timestamp, properties map<string,string>, deep struct<m:map<string,int>>"
+    at = datetime(2024, 1, 1)
+    rows = [(f"c{i}", at, {"a": str(i)}, ({"b": i},)) for i in range(6)]
+    config = mapping.EventTable("t", "view_item", customer_id_field="customer_id", timestamp_field="timestamp", date_field="timestamp")
+    picks = [sorted(r.customer_id for r in mapping.source_rows(spark.createDataFrame(rows, schema).repartition(n), config, limit=4).collect()) for n in (1, 5)]
+    assert picks[0] == picks[1] and len(picks[0]) == 4
+
+
+def test_mobile_values_and_history_table_of_a_source(spark):
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("c", at, "Mobile Web"), ("c", at, "iOS app"), ("c", at, "desktop"), ("c", at, None)], "customer_id string, timestamp timestamp, device string")
+    found = {r.device_type: r.is_mobile for r in mapping.rows_to_events(rows, "view_item", mapping.generic()).collect()}
+    assert found == {"Mobile Web": True, "iOS app": True, "desktop": False, None: False}
+    narrow = mapping.SourceConfig("n", "customer_id", "timestamp", None, mobile_values=("tablet",))
+    assert not any(r.is_mobile for r in mapping.rows_to_events(rows, "view_item", narrow).collect())
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([("a", "u"), (None, "u"), ("b", "")], "anonymous_id string, user_id string").write.parquet(f"{folder}/identifies.parquet")
+    assert [(r.past_id, r.internal_customer_id) for r in tables.load_history(spark, folder, mapping.segment()).collect()] == [("a", "u")]
+    assert tables.load_history(spark, folder, mapping.generic()) is None
