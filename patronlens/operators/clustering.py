@@ -146,6 +146,14 @@ def attach_predictions(profiles: DataFrame, predictions: DataFrame | None) -> Da
         "segment_value", F.coalesce("predicted_clv", F.col("total_revenue").cast("double")))
 
 
+def valued_by(profiles: DataFrame, predictions: DataFrame | None) -> DataFrame:
+    """Profiles whose `total_revenue` is the predicted lifetime value where there is one."""
+    if predictions is None:
+        return profiles
+    valued = attach_predictions(profiles.drop("predicted_clv"), predictions)
+    return valued.withColumn("total_revenue", F.col("segment_value").cast(profiles.schema["total_revenue"].dataType)).select(*profiles.columns)
+
+
 def segment_categories(members: DataFrame, affinity: DataFrame, top: int = 3) -> DataFrame:
     """Top categories per segment and level by number of customers (ties by name)."""
     counts = members.join(affinity.select("customer_id", "level", "category"), "customer_id").groupBy(

@@ -23,6 +23,11 @@ PREFERENCE_WORDS = ("category", "brand", "color", "size", "device", "channel", "
 FEEDBACK_PREFIXES = ("payment", "shipping", "order", "category", "brand", "device")
 NEGATIVE_FEEDBACK = ("not_useful", "obvious", "incorrect")
 
+#: Stands for an object, whose own paths hold its values.
+OBJECT = "[object]"
+#: Values kept of each path, at most one for each part of the range of a hash.
+SAMPLES = 4
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -53,7 +58,10 @@ def attribute_rows(events: DataFrame, attributes: str = "attributes") -> DataFra
 
 
 def json_attribute_rows(events: DataFrame, document: str) -> DataFrame:
-    """The same rows from JSON text: objects are opened level by level until none is left; lists only leave their length."""
+    """The same rows from JSON text: objects are opened level by level until none is left; lists only leave their length.
+
+    An object is a path of its own, with the value OBJECT, and so are the paths inside it.
+    """
     keep = ["event_id", "customer_id", "event_type", "ts"]
     open_rows = events.where(F.col("event_type").isin(*PRODUCT_EVENTS)).select(
         *keep, F.lit("").alias("prefix"), F.try_parse_json(document).alias("v"))
@@ -67,7 +75,7 @@ def json_attribute_rows(events: DataFrame, document: str) -> DataFrame:
         level = cut(named.select(*keep, "path", kind.startswith("OBJECT").alias("nested"), F.when(kind.startswith("OBJECT"), F.to_json("v")).when(
             kind.startswith("ARRAY"), F.concat(F.lit("[list:"), F.json_array_length(F.to_json("v")).cast("string"), F.lit("]"))
         ).otherwise(F.try_variant_get("v", "$", "string")).alias("value")))
-        leaves = level.where("not nested").select(*keep, "path", "value")
+        leaves = level.select(*keep, "path", F.when(F.col("nested"), OBJECT).otherwise(F.col("value")).alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
         deeper = level.where("nested")
         if deeper.isEmpty():
@@ -79,30 +87,39 @@ def attribute_counts(rows: DataFrame) -> DataFrame:
     """Rows folded to (customer, path, value) with occurrences, weight and first time.
 
     This is the only pass over the events: the field profile and the dominant
-    values both start from it. A purchase weighs five.
+    values both start from it. A purchase weighs five. `kinds` has a bit for each event type.
     """
     weight = F.when(F.col("event_type") == "purchase", 5).otherwise(1)
+    kind = F
+    for i, name in enumerate(PRODUCT_EVENTS):
+        kind = kind.when(F.col("event_type") == name, 1 << i)
     return rows.groupBy("customer_id", "path", "value").agg(
-        F.count("*").alias("n"), F.sum(weight).alias("w"), F.min("ts").alias("first_ts"))
+        F.count("*").alias("n"), F.sum(weight).alias("w"), F.min("ts").alias("first_ts"), F.bit_or(kind.otherwise(0)).alias("kinds"))
 
 
 def field_profile(counts: DataFrame) -> DataFrame:
-    """Occurrences, nulls, distinct values, customers and value shapes of every path.
+    """Occurrences, nulls, distinct values, customers, value shapes, event types and sample values of every path.
 
     Values are counted per (path, value) first. A path seen in every event is
-    thereby spread over its values, and the second step only folds counts.
+    thereby spread over its values, and the second step only folds counts. The
+    samples are the values of smallest hash in each quarter of the hash range:
+    the same on every run, and merged like any minimum.
     """
-    listed = F.col("value").startswith("[list:")
-    values = counts.groupBy("path", "value").agg(F.sum("n").alias("n"))
-    live = F.col("value").isNotNull()
-    shaped = values.groupBy("path").agg(
-        F.sum("n").alias("occurrences"), F.coalesce(F.sum(F.when(~live, F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value").alias("distinct_values"),
-        F.coalesce(F.sum(F.when(listed, F.col("n"))), F.lit(0)).alias("lists"),
-        F.coalesce(F.sum(F.when(numeric_text(F.col("value")), F.col("n"))), F.lit(0)).alias("numeric"),
-        F.coalesce(F.sum(F.when(F.col("value").rlike(r"[>/|\\]|::"), F.col("n"))), F.lit(0)).alias("hierarchical"),
-        F.coalesce(F.sum(F.length("value") * F.col("n")), F.lit(0)).alias("characters"))
-    people = counts.where(live & ~listed).select("path", "customer_id").distinct().groupBy("path").agg(F.count("*").alias("customers"))
+    value = F.col("value")
+    values = counts.groupBy("path", "value").agg(F.sum("n").alias("n"), F.bit_or("kinds").alias("kinds"))
+    live, listed, opened = value.isNotNull(), value.startswith("[list:"), value == OBJECT
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    hashed = values.withColumn("_hash", F.when(live & ~opened, F.sha2("value", 256)))
+    quarter = F.floor((F.instr(F.lit("0123456789abcdef"), F.substring("_hash", 1, 1)) - 1) / 4)
+    samples = F.array(*[F.min(F.when(quarter == i, F.struct("_hash", "value"))) for i in range(SAMPLES)])
+    seen = F.bit_or("kinds")
+    shaped = hashed.groupBy("path").agg(
+        F.sum("n").alias("occurrences"), total(~live).alias("nulls"), F.count_if(live & ~opened).alias("distinct_values"),
+        total(listed).alias("lists"), total(opened).alias("objects"), total(numeric_text(value)).alias("numeric"),
+        total(value.rlike(r"[>/|\\]|::")).alias("hierarchical"), F.coalesce(F.sum(F.when(~opened, F.length("value") * F.col("n"))), F.lit(0)).alias("characters"),
+        F.array_sort(F.array_compact(F.array(*[F.when(seen.bitwiseAND(1 << i) > 0, name) for i, name in enumerate(PRODUCT_EVENTS)]))).alias("source_types"),
+        F.array_sort(F.transform(F.array_compact(samples), lambda v: v["value"])).alias("sample_values"))
+    people = counts.where(live & ~listed & ~opened).select("path", "customer_id").distinct().groupBy("path").agg(F.count("*").alias("customers"))
     return shaped.join(people, "path", "left").withColumn("customers", F.coalesce("customers", F.lit(0)))
 
 
@@ -115,7 +132,7 @@ def classify(profile: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "coverage": live / c("occurrences"), "uniqueness": F.coalesce(F.try_divide(c("distinct_values").cast("double"), live.cast("double")), F.lit(0.0)),
     })
     kind = (
-        F.when(live == 0, "text").when(c("lists") > 0, "list").when(c("uniqueness") > limits.id_uniqueness, "id")
+        F.when((live == 0) | (c("distinct_values") == 0), "text").when(c("lists") > 0, "list").when(c("uniqueness") > limits.id_uniqueness, "id")
         .when(share("numeric") >= limits.numeric_share, "numeric").when(share("hierarchical") > limits.hierarchy_share, "hierarchical")
         .when(share("characters") > limits.text_length, "text").otherwise("categorical"))
     typed = typed.withColumn("field_type", kind)

@@ -83,12 +83,21 @@ def _made(spark, folder):
     return _MADE[key]
 
 
-@query("attribute_profile", oracle("SELECT path, occurrences, nulls, distinct_values, customers FROM prof"))
+_ORIGIN = """
+kinds AS (SELECT path, string_agg(DISTINCT etype, '|' ORDER BY etype) AS source_types FROM long GROUP BY 1),
+sampled AS (SELECT path, string_agg(value, '|' ORDER BY value) AS sample_values FROM (SELECT path, arg_min(value, sha256(value)) AS value FROM long WHERE value IS NOT NULL
+  GROUP BY path, (instr('0123456789abcdef', substr(sha256(value), 1, 1)) - 1) // 4) GROUP BY 1)"""
+
+
+@query("attribute_profile", oracle("SELECT path, occurrences, nulls, distinct_values, customers, source_types, coalesce(sample_values, '') AS sample_values FROM prof JOIN kinds USING (path) LEFT JOIN sampled USING (path)", _ORIGIN))
 def attribute_profile(spark, folder):
-    return discovery.field_profile(_counts(spark, folder)).select("path", "occurrences", "nulls", "distinct_values", "customers")
+    found = discovery.field_profile(_counts(spark, folder))
+    return found.select("path", "occurrences", "nulls", "distinct_values", "customers", *[F.array_join(c, "|").alias(c) for c in ("source_types", "sample_values")])
 
 
 @query("json_attribute_profile", """
+SELECT unnest(['meta', 'meta.deep', 'meta.deep.er', 'meta.deep.er.est']) AS path, count(*) AS occurrences, 0 AS distinct_values, 0 AS customers FROM events
+UNION ALL
 SELECT path, count(*) AS occurrences, count(DISTINCT value) AS distinct_values, count(DISTINCT user_id) AS customers FROM (
   SELECT user_id, unnest(['k', 'meta.kind', 'meta.deep.v', 'meta.deep.er.est.w', 'tags']) AS path, unnest([CAST(k AS VARCHAR), event_type, CAST(k % 3 AS VARCHAR), CAST(k % 7 AS VARCHAR), '[list:2]']) AS value
   FROM (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)) GROUP BY 1""".replace("count(DISTINCT user_id)", "CASE WHEN path = 'tags' THEN 0 ELSE count(DISTINCT user_id) END"))

@@ -39,7 +39,7 @@ def run(
         judged = scoring.evaluate_actionability(checked)
     else:
         judged = scoring.viability(scoring.evaluate_actionability(described), everyone)
-    rows = cut(whitespace.category_engagement(affinity, people))
+    rows = cut(whitespace.category_engagement(affinity, clustering.valued_by(people, predictions)))
     statistics, neighbours = whitespace.similarity(rows, whitespace.KEYS, whitespace.CATEGORY_FEATURES)
     found = cut(whitespace.lookalikes(neighbours))
     categories = cut(whitespace.category_whitespace(rows, statistics, found))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patronlens.checks.base_sql import profiles as profiles_sql, with_
 from patronlens.functions.lineage import cut
-from patronlens.operators import whitespace
+from patronlens.operators import clustering, whitespace
 from patronlens.plans import inputs
 from patronlens.plans.inputs import shop_affinity, shop_profiles
 from patronlens.plans.registry import query
@@ -116,6 +116,21 @@ def category_whitespace(spark, folder):
     return _shown(whitespace.category_whitespace(*_whitespace(spark, folder)))
 
 
+# Predictions by a fixed rule, for every second customer; the others keep their revenue.
+_PREDICTED = """
+valued AS (SELECT * REPLACE (CASE WHEN CAST(customer_id AS BIGINT) % 2 = 0 THEN CAST(total_purchases * 100.25 AS DECIMAL(18,2)) ELSE total_revenue END AS total_revenue) FROM profiles)"""
+
+
+@query("category_whitespace_predicted", with_(profiles_sql("shop"), _PREDICTED, _ROWS.replace("JOIN profiles", "JOIN valued"), _KNN, select=_WS))
+def category_whitespace_predicted(spark, folder):
+    """Predicted lifetime values in place of revenue: the neighbours stay, the value of a category changes."""
+    people = shop_profiles(spark, folder)
+    predictions = people.where(F.col("customer_id").cast("bigint") % 2 == 0).select("customer_id", (F.col("total_purchases") * 100.25).alias("predicted_clv"))
+    rows = cut(whitespace.category_engagement(shop_affinity(spark, folder), clustering.valued_by(people, predictions)))
+    statistics, neighbours = whitespace.similarity(rows, whitespace.KEYS, whitespace.CATEGORY_FEATURES)
+    return _shown(whitespace.category_whitespace(rows, statistics, whitespace.lookalikes(neighbours)))
+
+
 @query("top_whitespace_categories", oracle(_WS + " WHERE n_lookalikes > 0 ORDER BY ws.opportunity_value DESC, level, category LIMIT 5"))
 def top_whitespace_categories(spark, folder):
     return _shown(whitespace.top_whitespace(whitespace.category_whitespace(*_whitespace(spark, folder))))

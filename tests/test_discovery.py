@@ -7,9 +7,26 @@ def test_objects_are_opened_at_any_depth(spark):
     document = '{"a": {"b": {"c": {"d": {"e": 1, "f": [1, 2, 3]}}}}, "Session_ID": "s", "g": {}}'
     rows = spark.createDataFrame([("e1", "c1", "view_item", None, document), ("e2", "c2", "view_item", None, None)], "event_id string, customer_id string, event_type string, ts timestamp, document string")
     found = {(r.path, r.value) for r in discovery.json_attribute_rows(rows, "document").collect()}
-    assert found == {("a.b.c.d.e", "1"), ("a.b.c.d.f", "[list:3]")}
+    assert found == {("a.b.c.d.e", "1"), ("a.b.c.d.f", "[list:3]"), *[(p, discovery.OBJECT) for p in ("a", "a.b", "a.b.c", "a.b.c.d", "g")]}
 
 
 def test_system_fields_match_in_any_case(spark):
     rows = spark.createDataFrame([("e1", "c1", "view_item", None, {"Session_ID": "s", "colour": "red", "ORDER_TIMESTAMP": "x"})], "event_id string, customer_id string, event_type string, ts timestamp, attributes map<string,string>")
     assert [r.path for r in discovery.attribute_rows(rows).collect()] == ["colour"]
+
+
+def test_origin_and_samples_of_paths(spark):
+    rows = [(f"e{i}", f"c{i % 5}", "purchase" if i % 2 else "view_item", None, {"colour": f"v{i % 40}", "same": "x"} if i else {"colour": None}) for i in range(200)]
+    frame = spark.createDataFrame(rows, "event_id string, customer_id string, event_type string, ts timestamp, attributes map<string,string>")
+    found = [{r.path: r for r in discovery.field_profile(discovery.attribute_counts(discovery.attribute_rows(frame.repartition(n)))).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+    colour, same = found[0]["colour"], found[0]["same"]
+    assert colour.source_types == ["purchase", "view_item"] and same.sample_values == ["x"] and colour.nulls == 1
+    assert len(colour.sample_values) == discovery.SAMPLES and set(colour.sample_values) <= {f"v{i}" for i in range(40)}
+
+
+def test_a_container_is_no_trait(spark):
+    rows = spark.createDataFrame([(f"e{i}", f"c{i}", "view_item", None, '{"a": {"b": "%d"}}' % (i % 3)) for i in range(30)], "event_id string, customer_id string, event_type string, ts timestamp, document string")
+    found = {r.path: r for r in discovery.classify(discovery.field_profile(discovery.attribute_counts(discovery.json_attribute_rows(rows, "document")))).collect()}
+    assert (found["a"].occurrences, found["a"].distinct_values, found["a"].customers, found["a"].sample_values, found["a"].status) == (30, 0, 0, [], "text")
+    assert found["a.b"].status == "usable"
