@@ -64,7 +64,8 @@ class Ledger:
     def _write(self, rows: DataFrame, name: str, number: int) -> None:
         kinds = [f for f in self.spark.createDataFrame([], SCHEMA).schema if f.name not in ("batch", "part")]
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
-        typed.withColumn("part", _part(F.col("customer_id"))).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{name}/batch={number}")
+        # one file a part: a customer has a row a day, so no part is large because of one customer
+        typed.withColumn("part", _part(F.col("customer_id"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{name}/batch={number}")
 
     def rows(self, below: int | None = None) -> DataFrame:
         """All ledger rows, or those of batches before `below`."""
