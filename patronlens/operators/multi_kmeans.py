@@ -189,7 +189,10 @@ def _plus_plus(rows: DataFrame, models: Sequence[Model], width: int) -> list[np.
 
 
 def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = 300, tolerance: float = TOLERANCE) -> list[Fit]:
-    """Lloyd's steps for all models until no centre of a model moves by more than `tolerance`."""
+    """Lloyd's steps for all models; one ends when its squared centre moves add up to `tolerance` at most.
+
+    The default is meant for features of variance one.
+    """
     width = len(models[0].view.mean)
     centres = _plus_plus(rows, models, width)
     sizes, costs, steps = [np.zeros(m.k) for m in models], [0.0] * len(models), [0] * len(models)
@@ -225,7 +228,7 @@ def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = 300, tole
             sizes[i][c] = n
             if not last:
                 to = np.array(sums) / n
-                moved[i] = max(moved[i], float(np.sqrt(((to - centres[i][c]) ** 2).sum())))
+                moved[i] += float(((to - centres[i][c]) ** 2).sum())
                 centres[i][c] = to
         for i in moving:
             costs[i], steps[i] = cost[i], step

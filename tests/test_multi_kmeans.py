@@ -39,7 +39,7 @@ def test_every_model_takes_its_own_lloyd_steps(spark, points):
     identity = (0.0,) * 3, (1.0,) * 3
     models = [mk.Model(mk.View(*identity), 3, 0, start), mk.Model(mk.View(*identity, 0), 3, 0, start), mk.Model(mk.View(*identity, 1), 3, 0, start),
               mk.Model(mk.View((1.0, 2.0, 3.0), (0.5, 0.0, 2.0)), 2, 0, start[:2])]
-    fits = mk.fit_many(table, models, tolerance=1e-10)
+    fits = mk.fit_many(table, models, tolerance=1e-20)
     for fit, weight in zip(fits[:3], [np.ones(len(points)), *map(np.array, weights)], strict=True):
         centres, near, cost = lloyd(points, weight.astype(float), start)
         assert np.allclose(fit.centres, centres) and fit.cost == pytest.approx(cost)
