@@ -1,10 +1,13 @@
 """Exact k nearest neighbours per group by cosine, without forming all pairs.
 
 Unit vectors are compared by chord distance, which is a metric and orders like
-the cosine. The points of a group are cut into cells around pivots; the triangle
-inequality then bounds, for every query, how far its k-th neighbour can be and
-which cells can hold it. Only those cells are joined, and inside a cell only
-points whose distance to the pivot fits. Nothing is approximated or capped.
+the cosine. The points of a group are cut into about sqrt(n) cells around pivots,
+and the cells into about n ** 0.25 regions around some of these pivots; both
+numbers grow with the group. A point is placed by its distances to the regions
+and to the pivots of one region. The triangle inequality then bounds, for every
+query, how far its k-th neighbour can be, which regions and which of their cells
+can hold it, and inside a cell how far a point may lie from the two pivots.
+Cells of many points are joined in parts. Nothing is approximated or capped.
 
 Equal vectors are folded first, on both sides: a point vector keeps its k
 smallest ids, a query vector is answered once for all its owners. A group of
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from patronlens.functions.joins import join_unique
 from patronlens.functions.lineage import cut
 
-MAX_PIVOTS = 256
+# Points of a cell that one key of the last join holds.
+PART_POINTS = 4096
 # Slack of the pruning bounds against rounding; it only ever keeps a few more pairs.
 SLACK = 1e-7
 
@@ -59,63 +63,95 @@ def _distinct_points(points: DataFrame, group: Sequence[str], names: Sequence[st
 
 
 def _pivots(points: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """About sqrt(n) pivots per group, at most MAX_PIVOTS, taken in hash order."""
-    ranked = points.withColumn("cell", F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(*names), *names)))
-    top = ranked.where(F.col("cell") <= MAX_PIVOTS)
-    sizes = points.groupBy(*group).agg(F.ceil(F.sqrt(F.count("*").cast("double"))).alias("_wanted"))
-    chosen = top.join(sizes, list(group)).where(F.col("cell") <= F.col("_wanted"))
-    return chosen.select(*group, "cell", *[F.col(n).alias(f"p_{n}") for n in names])
+    """About sqrt(n) pivots a group, drawn by hash; of these about n ** 0.25 head a region. Each group has one at least."""
+    drawn = points.select(*group, *names, F.xxhash64(*names).alias("cell")).withColumn("_u", F.shiftrightunsigned("cell", 11) / F.lit(2.0 ** 53))
+    sizes = points.select(*group, (F.shiftrightunsigned(F.xxhash64(*names), 11) / F.lit(2.0 ** 53)).alias("_u")).groupBy(*group).agg(
+        F.count("*").cast("double").alias("_n"), F.min("_u").alias("_least"))
+    joined = join_unique(drawn, sizes, group, F.col("cell"))
+    chosen = joined.where(F.col("_u") <= F.greatest(F.pow("_n", F.lit(-0.5)), "_least"))
+    # one pivot a name, should two vectors have the same hash
+    return chosen.groupBy(*group, "cell").agg(
+        F.min(F.struct(*names)).alias("_p"), F.max(F.col("_u") <= F.greatest(F.pow("_n", F.lit(-0.75)), "_least")).alias("heads")).select(
+        *group, "cell", "heads", *[F.col(f"_p.{n}").alias(f"p_{n}") for n in names])
+
+
+def _placed(points: DataFrame, pivots: DataFrame, group: Sequence[str], names: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells (points with their region, cell, part and distances), outlines of the cells and areas of the regions."""
+    own, pivot, head = _columns(names), _columns(names, "p_"), _columns(names, "r_")
+    heads = pivots.where("heads").select(*group, F.col("cell").alias("region"), *[F.col(f"p_{n}").alias(f"r_{n}") for n in names])
+    to_head = _chord(pivot, head)
+    inside = cut(join_unique(pivots, heads, group, F.col("cell")).groupBy(*group, "cell", *[f"p_{n}" for n in names]).agg(
+        F.min_by("region", F.struct(to_head, "region")).alias("region")))
+    away = _chord(own, head)
+    near = join_unique(points, heads, group, F.struct(*names)).groupBy(*group, *names, "ids").agg(
+        F.min(away).alias("away"), F.min_by("region", F.struct(away, "region")).alias("region"))
+    reach = _chord(own, pivot)
+    cells = cut(join_unique(near, inside, [*group, "region"], F.struct(*names)).groupBy(*group, *names, "ids", "away", "region").agg(
+        F.min(reach).alias("reach"), F.min_by("cell", F.struct(reach, "cell")).alias("cell")))
+    outlines = cells.groupBy(*group, "cell").agg(
+        F.max("reach").alias("radius"), F.sum(F.size("ids")).alias("n"), F.ceil(F.count("*") / F.lit(PART_POINTS)).cast("int").alias("parts"))
+    outlines = cut(outlines.join(inside, [*group, "cell"]))
+    areas = cells.groupBy(*group, "region").agg(F.max("away").alias("extent"), F.sum(F.size("ids")).alias("n"))
+    return cells, outlines, cut(areas.join(heads, [*group, "region"]))
 
 
 def _tightened(rough: DataFrame, cells: DataFrame, group: Sequence[str], names: Sequence[str], k: int) -> DataFrame:
     """Limits lowered to the k-th distance inside the closest cell that holds k points."""
     asked = rough.where(F.col("home").isNotNull()).select("q", *group, F.col("home").alias("cell"), *[F.col(n).alias(f"q_{n}") for n in names])
     chord = _chord(_columns(names, "q_"), _columns(names))
-    near = asked.join(cells.drop("ids", "reach"), [*group, "cell"]).select("q", chord.alias("chord"))
+    near = asked.join(cells.select(*group, "cell", *names), [*group, "cell"]).select("q", chord.alias("chord"))
     ranked = near.withColumn("_rn", F.row_number().over(Window.partitionBy("q").orderBy("chord"))).where(F.col("_rn") <= k)
     reached = ranked.groupBy("q").agg(F.max("chord").alias("kth"), F.count("*").alias("_n")).where(F.col("_n") == k)
     return rough.drop("home").join(reached.drop("_n"), "q", "left").withColumn("limit", F.least("limit", "kth")).drop("kth")
 
 
-def nearest(points: DataFrame, queries: DataFrame, group: Sequence[str], names: Sequence[str], k: int = 5) -> DataFrame:
-    """The k most similar points of every query with a positive cosine.
-
-    `points` and `queries` have `id`, the group columns and unit vectors in `names`.
-    Returns (group, id, neighbour_id, similarity, position).
-    """
-    group, names = list(group), list(names)
-    own, pivot = _columns(names), _columns(names, "p_")
-
-    # every point goes to its closest pivot: at most MAX_PIVOTS distances per point, folded in the same task
+def met(points: DataFrame, queries: DataFrame, group: Sequence[str], names: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct query vectors with their number q, and every pair of query and point vector that the bounds leave."""
+    own, pivot, head = _columns(names), _columns(names, "p_"), _columns(names, "r_")
     folded = cut(_distinct_points(points.select("id", *group, *names), group, names, k))
-    pivots = cut(_pivots(folded, group, names))
-    reach = _chord(own, pivot)
-    cells = cut(
-        join_unique(folded, pivots, group, F.struct(*names)).groupBy(*group, *names, "ids")
-        .agg(F.min(reach).alias("reach"), F.min_by("cell", reach).alias("cell")))
-    outlines = cut(cells.groupBy(*group, "cell").agg(F.max("reach").alias("radius"), F.sum(F.size("ids")).alias("n")).join(
-        pivots, [*group, "cell"]))
+    cells, outlines, areas = _placed(folded, cut(_pivots(folded, group, names)), group, names)
 
-    # a cell that holds k points bounds the distance of the k-th neighbour
+    # a region, then a cell, that holds k points bounds the distance of the k-th neighbour
     asked = cut(queries.select(*group, *names).distinct().withColumn("q", F.monotonically_increasing_id()))
-    way = _chord(own, pivot)
-    far = way + F.col("radius")
-    full = F.col("n") >= k
+    full, way = F.col("n") >= k, _chord(own, head)
+    far = way + F.col("extent")
     bound = F.coalesce(F.min(F.when(full, far)), F.when(F.sum("n") >= k, F.max(far)), F.lit(2.0))
-    rough = cut(join_unique(asked, outlines, group, F.col("q")).groupBy("q", *group, *names).agg(
+    rough = join_unique(asked, areas, group, F.col("q")).groupBy("q", *group, *names).agg(
         # a chord of sqrt(2) is a cosine of zero, beyond which nothing counts
-        F.least(bound, F.lit(2.0 ** 0.5)).alias("limit"), F.min_by("cell", F.when(full, way)).alias("home")))
+        F.least(bound, F.lit(2.0 ** 0.5)).alias("limit"), F.min_by("region", F.when(full, F.struct(way, "region"))).alias("region"))
+    way = _chord(own, pivot)
+    rough = cut(join_unique(rough, outlines, [*group, "region"], F.col("q"), "left").groupBy("q", *group, *names, "limit").agg(
+        F.min(F.when(full, way + F.col("radius"))).alias("_bound"), F.min_by("cell", F.when(full, F.struct(way, "cell"))).alias("home")))
+    rough = rough.withColumn("limit", F.least("limit", "_bound")).drop("_bound")
     limits = cut(_tightened(rough, cells, group, names, k))
-    probes = join_unique(limits, outlines, group, F.col("q")).withColumn("way", way).where(
-        F.col("way") - F.col("radius") <= F.col("limit") + SLACK)
-    probes = probes.select("q", *group, "cell", "way", "limit", *[F.col(n).alias(f"q_{n}") for n in names])
 
-    met = probes.join(cells, [*group, "cell"]).where(F.abs(F.col("way") - F.col("reach")) <= F.col("limit") + SLACK)
-    cosine = _dot(_columns(names, "q_"), own)
-    met = met.withColumn("similarity", cosine).where(
+    within = F.col("limit") + SLACK
+    areas_met = join_unique(limits, areas.drop("n"), group, F.col("q")).withColumn("way_r", _chord(own, head)).where(F.col("way_r") - F.col("extent") <= within)
+    areas_met = areas_met.select("q", *group, *names, "limit", "region", "way_r")
+    probes = join_unique(areas_met, outlines.drop("n"), [*group, "region"], F.col("q")).withColumn("way", way).where(F.col("way") - F.col("radius") <= within)
+    probes = probes.select("q", *group, "cell", "way", "way_r", "limit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                           *[F.col(n).alias(f"q_{n}") for n in names])
+    sizes = outlines.select(*group, "cell", "parts")
+    dealt = join_unique(cells.drop("region"), sizes, [*group, "cell"], F.struct(*names)).withColumn(
+        "part", F.pmod(F.xxhash64(F.lit(1), *names), F.col("parts")).cast("int")).drop("parts")
+    pairs = probes.join(dealt, [*group, "cell", "part"]).where(
+        (F.abs(F.col("way") - F.col("reach")) <= within) & (F.abs(F.col("way_r") - F.col("away")) <= within))
+    return asked, pairs
+
+
+def nearest(points: DataFrame, queries: DataFrame, group: Sequence[str], names: Sequence[str], k: int = 5) -> DataFrame:
+    """The k most similar points of every query with a positive cosine.
+
+    `points` and `queries` have `id`, the group columns and unit vectors in `names`.
+    Returns (group, id, neighbour_id, similarity, position).
+    """
+    group, names = list(group), list(names)
+    asked, pairs = met(points, queries, group, names, k)
+    cosine = _dot(_columns(names, "q_"), _columns(names))
+    close = pairs.withColumn("similarity", cosine).where(
         (F.col("similarity") > 0) & (F.col("similarity") >= 1 - F.col("limit") * F.col("limit") / 2 - SLACK))
     by_query = Window.partitionBy("q")
-    best = met.select("q", "similarity", "ids").withColumn(
+    best = close.select("q", "similarity", "ids").withColumn(
         "_rn", F.row_number().over(by_query.orderBy(F.desc("similarity"), F.col("ids")[0]))).where(F.col("_rn") <= k)
     # at most k vectors with at most k ids each
     single = best.select("q", "similarity", F.explode("ids").alias("neighbour_id"))

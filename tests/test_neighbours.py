@@ -36,3 +36,15 @@ def test_search_equals_brute_force(spark, shape):
         got.setdefault((r["grp"], r["id"]), []).append(r["similarity"])
     for key, expected in brute(points, queries, 5).items():
         assert got.get(key, []) == pytest.approx(expected, abs=1e-9), key
+
+
+def test_pairs_per_query_grow_less_than_the_points(spark):
+    rng = random.Random(11)
+    schema = "grp string, id string, a double, b double, c double"
+
+    def rows(n, name):
+        return neighbours.unit(spark.createDataFrame([("g", f"{name}{i}", *(rng.gauss(0, 1) for _ in NAMES)) for i in range(n)], schema), NAMES)
+
+    queries = rows(100, "q")
+    pairs = {n: neighbours.met(rows(n, "p"), queries, ["grp"], NAMES, 5)[1].count() / 100 for n in (2_000, 20_000)}
+    assert pairs[20_000] < 4 * pairs[2_000] and pairs[20_000] < 2_000, pairs
