@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-4
+MAX_ITER = 300
 ROWS = 4096  # rows that a task looks at together
 
 
@@ -188,7 +189,7 @@ def _plus_plus(rows: DataFrame, models: Sequence[Model], width: int) -> list[np.
     return centres
 
 
-def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = 300, tolerance: float = TOLERANCE) -> list[Fit]:
+def fit_many(rows: DataFrame, models: Sequence[Model], max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> list[Fit]:
     """Lloyd's steps for all models; one ends when its squared centre moves add up to `tolerance` at most.
 
     The default is meant for features of variance one.

@@ -1,9 +1,11 @@
 import inspect
+import re
 from unittest import mock
 
 import pytest
 
-from patronlens.operators import clustering, stability
+import __spark_entry__ as entry
+from patronlens.operators import clustering, multi_kmeans, stability
 from patronlens.plans import segment_queries
 
 
@@ -58,3 +60,22 @@ def test_queries_use_all_restarts_replicates_and_features(name, monkeypatch):
         got = bound.arguments
         assert got.get("restarts", 10) == 10 and got.get("replicates", 10) == 10
         assert "names" not in got or got["names"] == own.parameters["names"].default
+
+
+@pytest.mark.parametrize("name", ["kmeans_from_given_centres", "feature_sensitivity_from_given_centres", "window_consistency_from_given_centres", "critical_feature_report"])
+def test_given_centres_move_as_often_as_in_the_sql(spark, name, monkeypatch):
+    asked = []
+
+    class Enough(Exception):
+        pass
+
+    def watched(rows, models, max_iter=None, tolerance=None):
+        asked.append(max_iter)
+        raise Enough
+
+    monkeypatch.setattr(multi_kmeans, "fit_many", watched)
+    monkeypatch.setattr(stability, "fit_many", watched)
+    with pytest.raises(Enough):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    [moves] = re.findall(r"it < (\d+)", entry.oracle_sql()[name])
+    assert asked == [int(moves)]
