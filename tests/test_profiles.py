@@ -91,3 +91,14 @@ def test_result_does_not_depend_on_partitioning_and_a_hot_customer_is_whole(spar
         for name, value in one[key].asDict().items():
             other = many[key][name]
             assert value == pytest.approx(other) if isinstance(value, float) else value == other
+
+
+def test_events_are_placed_once_before_they_unfold(spark):
+    frame = spark.createDataFrame([event(i, "view_item", f"u{i % 7}", day=i, l1=f"k{i % 5}", l2=f"m{i % 3}") for i in range(50)], SCHEMA)
+    for cells in (profiles.activity_cells(frame), profiles.activity_cells(frame, clock=False)):
+        plan = profiles.facet_rows(cells)._jdf.queryExecution().executedPlan().toString()
+        [at] = [i for i, line in enumerate(plan.splitlines()) if "Exchange" in line]
+        below = plan.splitlines()[at:]
+        assert not any("Generate" in line or "Aggregate" in line for line in below)
+        parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert "hashpartitioning(customer_id" in below[0] and f", {parts})" in below[0] and "REPARTITION_BY_NUM" in below[0]
