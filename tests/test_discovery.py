@@ -30,3 +30,17 @@ def test_a_container_is_no_trait(spark):
     found = {r.path: r for r in discovery.classify(discovery.field_profile(discovery.attribute_counts(discovery.json_attribute_rows(rows, "document")))).collect()}
     assert (found["a"].occurrences, found["a"].distinct_values, found["a"].customers, found["a"].sample_values, found["a"].status) == (30, 0, 0, [], "text")
     assert found["a.b"].status == "usable"
+
+
+def test_no_step_deals_rows_by_path(spark):
+    schema = "event_id string, customer_id string, event_type string, ts timestamp, attributes map<string,string>"
+    rows = spark.createDataFrame([(f"e{i}", f"c{i % 9}", "purchase", None, {"colour": f"v{i % 3}", "size": "s" if i % 4 else None, "Session_ID": "x"}) for i in range(90)], schema)
+    counts = discovery.attribute_counts(discovery.attribute_rows(rows))
+    usable = discovery.classify(discovery.field_profile(counts)).where("status = 'usable'").localCheckpoint()
+    found = discovery.dominant_values(counts, usable)
+    assert {(r.customer_id, r.path, r.value) for r in found.collect()} == {(f"c{i}", "colour", f"v{i % 3}") for i in range(9)}
+    assert discovery.dominant_values(counts, usable.where("false")).isEmpty()
+    plan = discovery.dominant_values(counts, usable)._jdf.queryExecution().executedPlan().toString()
+    # one placement by customer serves the counts and the dominant values
+    own = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(own) == 1 and "hashpartitioning(customer_id" in own[0], plan
