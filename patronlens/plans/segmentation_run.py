@@ -40,8 +40,8 @@ def run(
     else:
         judged = scoring.viability(scoring.evaluate_actionability(described), everyone)
     rows = cut(whitespace.category_engagement(affinity, clustering.valued_by(people, predictions)))
-    statistics, neighbours = whitespace.similarity(rows, whitespace.KEYS, whitespace.CATEGORY_FEATURES)
-    found = cut(whitespace.lookalikes(neighbours))
+    statistics, found = whitespace.alike(rows, whitespace.KEYS, whitespace.CATEGORY_FEATURES)
+    found = cut(found)
     categories = cut(whitespace.category_whitespace(rows, statistics, found))
     per_category = whitespace.segment_whitespace(made.members, found, categories)
     ranked = scoring.priority(scoring.usability(judged).join(whitespace.segment_opportunity(per_category), "segment_id", "left"))

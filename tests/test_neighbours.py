@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from patronlens.operators import neighbours
+from patronlens.operators import neighbours, whitespace
 
 NAMES = ["a", "b", "c"]
 
@@ -48,3 +48,19 @@ def test_pairs_per_query_grow_less_than_the_points(spark):
     queries = rows(100, "q")
     pairs = {n: neighbours.met(rows(n, "p"), queries, ["grp"], NAMES, 5)[1].count() / 100 for n in (2_000, 20_000)}
     assert pairs[20_000] < 4 * pairs[2_000] and pairs[20_000] < 2_000, pairs
+
+
+def test_lookalikes_of_lists_equal_those_of_rows_and_points_are_not_salted(spark):
+    rng = random.Random(3)
+    names = whitespace.GENERAL_FEATURES
+    rows = [("g", f"c{i}", "buyer" if i % 2 else "candidate", float(i), i, *(float(rng.randrange(4)) for _ in names)) for i in range(120)]
+    schema = "grp string, customer_id string, role string, total_revenue double, total_purchases long, " + ", ".join(f"{n} double" for n in names)
+    frame = spark.createDataFrame(rows, schema)
+    _, found = whitespace.alike(frame, ["grp"], names)
+    _, neighbours_ = whitespace.similarity(frame, ["grp"], names)
+    got = {r["customer_id"]: r for r in found.collect()}
+    expected = {r["customer_id"]: r for r in whitespace.lookalikes(neighbours_, ["grp"]).collect()}
+    assert got.keys() == expected.keys() and len(got) > 10
+    for key, row in expected.items():
+        assert got[key]["similarity"] == pytest.approx(row["similarity"], abs=1e-12) and got[key]["nearest_buyers"] == row["nearest_buyers"]
+    assert "_salt" not in found._jdf.queryExecution().toString()
