@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -137,3 +138,17 @@ def test_toxicity_of_odd_texts(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(_odd(spark), model, ["doc_id", "lang"]).collect())
     assert toxicity.fit(documents, labels.limit(0)).base == 0.0 and toxicity.fit(documents.limit(0), labels).base > 0
     assert toxicity.score(_odd(spark).limit(0), model, ["doc_id"]).collect() == []
+
+
+def test_a_slice_of_texts_is_scored_in_little_memory():
+    quality_crf._kinds()
+    width = 3 * quality_crf.FEATURES + 3
+    field = quality_crf.Field(np.zeros((width, 2)), np.zeros((2, 2)), np.zeros(quality_crf.FEATURES), np.ones(quality_crf.FEATURES))
+    text = "\n".join(f"line {i} of a text with a few words in it" for i in range(40))
+    texts = [text] * (quality_crf.BATCH_BYTES // len(text))
+    tracemalloc.start()
+    try:
+        assert len(quality_crf.score_texts(texts, field)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    finally:
+        tracemalloc.stop()
