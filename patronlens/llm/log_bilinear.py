@@ -27,10 +27,10 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,9 @@ PART = 1 << 21
 NOISE = 64
 EPOCHS = 4
 BATCH_BYTES = 1 << 20
-ROWS_AT_ONCE = 8192
+COUNTED_BYTES = 4 << 20
+#: Rows scored together; their scores of all events stay in a core's cache.
+ROWS_AT_ONCE = 256
 COUNTED_AT_ONCE = 1_000_000
 #: The end of a text as a token; no word is white space.
 END = b"\n"
@@ -59,29 +61,61 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else ()), END]
 
 
+def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens of texts, the number of each token one text after another, and tokens of each text; as `tokens_of` has them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten().dictionary_encode()
+    sizes, codes = lists.value_lengths().to_numpy().astype(np.int64), flat.indices.to_numpy().astype(np.int64)
+    words = flat.dictionary.cast(pa.binary()).to_pylist()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    blank = pc.index(flat.dictionary, "").as_py()
+    if blank >= 0:  # beside white space at either end of a text
+        real = codes != blank
+        codes, owner = codes[real] - (codes[real] > blank), owner[real]
+        sizes = np.bincount(owner, minlength=len(sizes))
+        del words[blank]
+    out = np.full(len(codes) + len(sizes), len(words), np.int64)
+    out[np.arange(len(codes)) + owner] = codes
+    return [*words, END], out, sizes + 1
+
+
 def group_of(word: bytes) -> int:
     """Spelling group of a word outside the commonest: by its first two bytes and its last."""
     return zlib.crc32(word[:2] + word[-1:]) % GROUPS
 
 
+class _Numbering(dict):
+    """Numbers of words in the order of their coming."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def count_words(rows: DataFrame, text: str, learned: str) -> DataFrame:
     """(word, c, total): occurrences in rows to learn from, and in all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
+        numbers, sums = _Numbering(), np.zeros((2, 1 << 16), np.int64)
 
         def flush() -> pa.RecordBatch:
-            words = list(held[0].keys() | held[1].keys())
-            out = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "c": pa.array([held[1][w] for w in words], pa.int64()), "total": pa.array([held[0][w] + held[1][w] for w in words], pa.int64())})
-            held[0].clear(), held[1].clear()
+            total, seen = sums[:, : len(numbers)].copy()
+            out = pa.RecordBatch.from_pydict({"word": pa.array(list(numbers), pa.binary()), "c": pa.array(seen), "total": pa.array(total)})
+            numbers.clear()
+            sums[:] = 0
             return out
 
-        for part in slices(batches, "_text", BATCH_BYTES):
-            for one, learn in zip(part.column("_text").to_pylist(), part.column("_learn").to_pylist(), strict=True):
-                held[bool(learn)].update(tokens_of(one))
-            if len(held[0]) + len(held[1]) > COUNTED_AT_ONCE:
+        for part in slices(batches, "_text", COUNTED_BYTES):
+            words, codes, sizes = coded(part.column("_text"))
+            learn = pc.fill_null(part.column("_learn"), False).to_numpy(zero_copy_only=False)
+            at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            while len(numbers) > sums.shape[1]:
+                sums = np.concatenate([sums, np.zeros_like(sums)], axis=1)
+            sums[0, at] += np.bincount(codes, minlength=len(words))
+            sums[1, at] += np.bincount(codes[np.repeat(learn, sizes)], minlength=len(words))
+            if len(numbers) > COUNTED_AT_ONCE:
                 yield flush()
-        if held[0] or held[1]:
+        if numbers:
             yield flush()
 
     used = rows.select(F.col(text).alias("_text"), F.col(learned).alias("_learn"))
@@ -110,12 +144,13 @@ class Model:
 
 
 def contexts(events: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The CONTEXT events before each event of its text, nearest first; OUTPUTS stands before the text."""
-    at = np.arange(len(events)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = np.full((len(events), CONTEXT), OUTPUTS, np.int64)
+    """The CONTEXT events before each event of its text, a row for each place, nearest first; OUTPUTS stands before the text."""
+    first = np.cumsum(sizes) - sizes
+    out = np.full((CONTEXT, len(events)), OUTPUTS, np.int16)
     for back in range(1, CONTEXT + 1):
-        has = at >= back
-        out[has, back - 1] = events[np.flatnonzero(has) - back]
+        out[back - 1, back:] = events[:-back]
+        for at in range(back):
+            out[back - 1, first[sizes > at] + at] = OUTPUTS
     return out
 
 
@@ -128,27 +163,48 @@ def begin_training(share: np.ndarray, rng: np.random.Generator) -> tuple[list[np
     return parameters, [np.full_like(p, 1e-3) for p in parameters]
 
 
+def _sums_by(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, WIDTH) sums of the rows by every line of `at`, which holds numbers below n."""
+    pairs = np.ascontiguousarray(rows.view(np.complex64).T)  # two columns in one sum
+    out = np.zeros((pairs.shape[0], n), np.complex64)
+    where = at.ravel()
+    for own, values in zip(out, pairs, strict=True):
+        np.add.at(own, where, np.tile(values, len(at)))
+    return np.ascontiguousarray(out.T).view(np.float32)
+
+
 def one_pass(parameters: list[np.ndarray], squares: list[np.ndarray], before: np.ndarray, events: np.ndarray, share: np.ndarray, epoch: int, rng: np.random.Generator) -> None:
-    """One pass of noise-contrastive estimation with Adagrad over events and their contexts, in place."""
+    """One pass of noise-contrastive estimation with Adagrad over events and their contexts, in place.
+
+    The slopes of places and sources both follow from the sums, over the rows of a batch, of the
+    slope of the predicted vector by place and event there.
+    """
     place, source, sink, bias = parameters
     noise_log = np.log(NOISE * share).astype(np.float32)
+    before, events = np.ascontiguousarray(before), events.astype(np.int16)  # any other order in memory is copied by each take
     order = rng.permutation(len(events))
+    spots = np.arange(CONTEXT)[:, None] * (OUTPUTS + 1)
     for begin in range(0, len(order), 2048):
         rows = order[begin : begin + 2048]
-        ctx, goal = before[rows], events[rows]
+        at, goal = before.take(rows, axis=1) + spots, events.take(rows).astype(np.int64)
         noise = rng.choice(OUTPUTS, NOISE, p=share)
-        vectors = source[ctx]
-        hidden = (vectors * place).sum(axis=1)
-        good = 1 / (1 + np.exp(-((hidden * sink[goal]).sum(axis=1) + bias[goal] - noise_log[goal])))
-        bad = 1 / (1 + np.exp(-(hidden @ sink[noise].T + bias[noise] - noise_log[noise])))
-        up, down = (good - 1) / len(rows), bad / len(rows)
-        slope_hidden = up[:, None] * sink[goal] + down @ sink[noise]
-        slopes = [(vectors * slope_hidden[:, None, :]).sum(axis=0), np.zeros_like(source), np.zeros_like(sink), np.zeros_like(bias)]
-        _add_rows(slopes[1], ctx.ravel(), (slope_hidden[:, None, :] * place).reshape(-1, WIDTH))
-        _add_rows(slopes[2], goal, up[:, None] * hidden)
-        slopes[3] += np.bincount(goal, up, OUTPUTS)
-        np.add.at(slopes[2], noise, down.T @ hidden)
-        np.add.at(slopes[3], noise, down.sum(axis=0))
+        scaled = (place[:, None, :] * source).reshape(-1, WIDTH)
+        hidden = scaled.take(at[0], axis=0)
+        for own in at[1:]:
+            hidden += scaled.take(own, axis=0)
+        aims, lures, base = sink.take(goal, axis=0), sink[noise], bias - noise_log
+        good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", hidden, aims) + base[goal])))
+        bad = hidden @ -lures.T
+        bad -= base[noise]
+        np.exp(bad, out=bad)
+        bad += 1
+        np.reciprocal(bad, out=bad)
+        up = (good - 1) / len(rows)
+        slope_hidden = up[:, None] * aims + bad @ (lures / len(rows))
+        sums = _sums_by(at, slope_hidden, CONTEXT * (OUTPUTS + 1)).reshape(CONTEXT, OUTPUTS + 1, WIDTH)
+        slopes = [np.einsum("kvd,vd->kd", sums, source), np.einsum("kvd,kd->vd", sums, place), _sums_by(goal[None, :], up[:, None] * hidden, OUTPUTS), np.bincount(goal, up, OUTPUTS).astype(np.float32)]
+        np.add.at(slopes[2], noise, bad.T @ hidden / len(rows))
+        np.add.at(slopes[3], noise, bad.sum(axis=0) / len(rows))
         for p, q, g in zip(parameters, squares, slopes, strict=True):
             q += g * g
             p -= (0.15 / (1 + epoch)) * g / np.sqrt(q)
@@ -204,7 +260,7 @@ def _learner(shared: Broadcast, share: np.ndarray, epoch: int, seed: int) -> Cal
         lead = np.repeat(own.column("lead").to_numpy(), sizes)
         goals = np.arange(len(events)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= lead  # the lead is context only
         p, q = ([a.copy() for a in arrays] for arrays in shared.value)
-        one_pass(p, q, contexts(events, sizes)[goals], events[goals], share, epoch, np.random.default_rng([seed, epoch, key[0].as_py()]))
+        one_pass(p, q, contexts(events, sizes).compress(goals, axis=1), events[goals], share, epoch, np.random.default_rng([seed, epoch, key[0].as_py()]))
         n = int(goals.sum())
         return pa.Table.from_pydict({"n": pa.array([n], pa.int64()), "sums": pa.array([(_flat(p + q) * n).tobytes()], pa.binary())})
 
@@ -228,13 +284,6 @@ def train_all(pieces: DataFrame, event_counts: np.ndarray, seed: int = 1, epochs
     return parameters
 
 
-def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """total[at[i]] += rows[i] for all i."""
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.diff(at[order], prepend=-1))
-    total[at[order][first]] += np.add.reduceat(rows[order], first, axis=0)
-
-
 class _Numbers(dict):
     """Row of a known word in the model's table; other words give -1 less their group."""
 
@@ -247,18 +296,23 @@ def event_log10(model: Model, events: np.ndarray, sizes: np.ndarray) -> np.ndarr
     out = np.empty(len(events))
     before = contexts(events, sizes)
     scaled = [model.source * w for w in model.place]
+    # no score lies beyond this, so that its exponential needs no scaling by the largest one of a row
+    reach = sum(np.linalg.norm(s, axis=1).max() for s in scaled) * np.linalg.norm(model.sink, axis=1).max() + np.abs(model.bias).max()
+    sink, one = np.ascontiguousarray(model.sink.T), np.ones(len(model.bias), np.float32)
     for begin in range(0, len(events), ROWS_AT_ONCE):
-        ctx, goal = before[begin : begin + ROWS_AT_ONCE], events[begin : begin + ROWS_AT_ONCE]
-        hidden = scaled[0][ctx[:, 0]]
+        ctx, goal = before[:, begin : begin + ROWS_AT_ONCE], events[begin : begin + ROWS_AT_ONCE]
+        hidden = scaled[0].take(ctx[0], axis=0)
         for back in range(1, CONTEXT):
-            hidden += scaled[back][ctx[:, back]]
-        scores = hidden @ model.sink.T
+            hidden += scaled[back].take(ctx[back], axis=0)
+        scores = hidden @ sink
         scores += model.bias
         right = scores[np.arange(len(goal)), goal].astype(float)
-        top = scores.max(axis=1)
-        scores -= top[:, None]
+        if reach > 60:
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            right -= top
         np.exp(scores, out=scores)
-        out[begin : begin + ROWS_AT_ONCE] = (right - top - np.log(scores.sum(axis=1, dtype=float))) / np.log(10)
+        out[begin : begin + ROWS_AT_ONCE] = (right - np.log((scores @ one).astype(float))) / np.log(10)
     return out
 
 
@@ -288,8 +342,9 @@ def fit(rows: DataFrame, text: str = "text", learned: str = "learned") -> tuple[
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", BATCH_BYTES):
             names, at, leads, found = [], [], [], []
-            for one, h in zip(part.column("_text").to_pylist(), part.column("_h").to_pylist(), strict=True):
-                ids = np.array([event[w] if w in event else group_of(w) for w in tokens_of(one)], np.int16)
+            words, codes, sizes = coded(part.column("_text"))
+            flat = np.array([event[w] if w in event else group_of(w) for w in words], np.int16)[codes]
+            for ids, h in zip(np.split(flat, np.cumsum(sizes)[:-1]), part.column("_h").to_pylist(), strict=True):
                 for begin in range(0, len(ids), PIECE):
                     lead = min(begin, CONTEXT)
                     names.append(h), at.append(begin), leads.append(lead)
@@ -321,14 +376,12 @@ def score(rows: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
         weight = -np.log10(model.tokens + model.distinct + 1.0)
         number = TaskContext.get().partitionId() << 33
         for part in slices(batches, "_text", BATCH_BYTES):
-            tokens = [tokens_of(t) for t in part.column("_text").to_pylist()]
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            flat = list(chain.from_iterable(tokens))
-            found = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
-            owner = np.repeat(np.arange(len(tokens)), sizes)
-            rare: list[Counter] = [Counter() for _ in tokens]
+            words, codes, sizes = coded(part.column("_text"))
+            found = np.array([numbers[w] for w in words], np.int64)[codes]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rare: list[Counter] = [Counter() for _ in sizes]
             for at in np.flatnonzero(found < 0).tolist():
-                rare[owner[at]][flat[at]] += 1
+                rare[owner[at]][words[codes[at]]] += 1
             events = np.where(found < 0, -1 - found, event_of[found])
             c = np.where(found < 0, 0, counted[found])
             add_one = np.log10(c + 1.0)
@@ -336,12 +389,12 @@ def score(rows: DataFrame, model: Model, counts: DataFrame, keep: list[str], tex
             value = event_log10(model, events, sizes)
             value[grouped] += inside[events[grouped]] + add_one[grouped]  # of the rest, the count comes by the join
             names = [n for n in part.schema.names if n != "_text"]
-            total = lambda x: np.bincount(owner, x, len(tokens))
+            total = lambda x: np.bincount(owner, x, len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(n) for n in names), pa.array(number + np.arange(len(tokens)), pa.int64()), pa.array(sizes), pa.array(total(c > 0).astype(np.int64)), pa.array(total(add_one + weight)), pa.array(total(value)), pa.array([[{"word": w, "n": n} for w, n in own.items()] for own in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                [*(part.column(n) for n in names), pa.array(number + np.arange(len(sizes)), pa.int64()), pa.array(sizes), pa.array(total(c > 0).astype(np.int64)), pa.array(total(add_one + weight)), pa.array(total(value)), pa.array([[{"word": w, "n": n} for w, n in own.items()] for own in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
                 [*names, "_row", "n_tokens", "_known", "_base", "_score", "_rare"],
             )
-            number += len(tokens)
+            number += len(sizes)
 
     used = rows.select(*keep, F.col(text).alias("_text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in used.schema.fields[:-1])

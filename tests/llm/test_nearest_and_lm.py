@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,48 @@ def test_four_hundred_words_are_events_of_their_own(spark):
     number = dict(zip(model.words, model.events, strict=True))
     assert len({number[w.encode()] for w in words}) == 400 and min(number[w.encode()] for w in words) > log_bilinear.GROUPS
     assert model.source.shape[1] >= 32
+
+
+def test_coded_tokens_are_the_tokens_of_each_text():
+    texts = [None, "", " ", "a A\tB ", "é\x1cÀ x \x0b\x0c y", "b\r\nb", "a"]
+    words, codes, sizes = log_bilinear.coded(pa.array(texts, pa.string()))
+    found = np.split(codes, np.cumsum(sizes)[:-1])
+    assert [[words[i] for i in own] for own in found] == [log_bilinear.tokens_of(t) for t in texts]
+    assert len(set(words)) == len(words)
+
+
+def test_slopes_of_a_batch_and_room_of_scores():
+    """A batch moves the parameters as the plain sums over its rows do; scoring holds few rows of all events at once."""
+    lb, rng = log_bilinear, np.random.default_rng(5)
+    events = rng.integers(0, lb.OUTPUTS, 1500)
+    share = np.full(lb.OUTPUTS, 1 / lb.OUTPUTS)
+    before = lb.contexts(events, np.array([1000, 3, 497]))
+    parameters, squares = lb.begin_training(share, rng)
+    parameters[3] = parameters[3] + rng.normal(0, 0.1, lb.OUTPUTS).astype(np.float32)
+    place, source, sink, bias = (p.astype(float) for p in parameters)
+    draws = np.random.default_rng(9)
+    draws.permutation(len(events))
+    noise = draws.choice(lb.OUTPUTS, lb.NOISE, p=share)
+    slopes = [np.zeros_like(p) for p in (place, source, sink, bias)]
+    for row, goal in enumerate(events):
+        ctx = before[:, row]
+        hidden = (place * source[ctx]).sum(axis=0)
+        pull = np.zeros(lb.WIDTH)
+        for out, hit in [(goal, 1), *((n, 0) for n in noise)]:
+            error = (1 / (1 + np.exp(-(hidden @ sink[out] + bias[out] - np.log(lb.NOISE * share[out])))) - hit) / len(events)
+            pull += error * sink[out]
+            slopes[2][out] += error * hidden
+            slopes[3][out] += error
+        slopes[0] += source[ctx] * pull
+        np.add.at(slopes[1], ctx, place * pull)
+    wanted = [p - 0.15 * g / np.sqrt(1e-3 + g * g) for p, g in zip((place, source, sink, bias), slopes, strict=True)]
+    lb.one_pass(parameters, squares, before, events, share, 0, np.random.default_rng(9))
+    for got, own in zip(parameters, wanted, strict=True):
+        assert np.allclose(got, own, atol=2e-5)
+    zero = np.zeros(lb.GROUPS, np.int64)
+    model = lb.Model([], np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, zero, zero, *parameters)
+    tracemalloc.start()
+    lb.event_log10(model, np.resize(events, 20_000), np.array([20_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
