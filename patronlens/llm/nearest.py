@@ -185,8 +185,13 @@ _HITS = "query long, hits array<struct<far: double, id: long>>"
 
 
 def _merged(parts: DataFrame, most: int) -> DataFrame:
-    """The `most` best of all partial answers of a query; a query has one part for each leaf it asked."""
-    return parts.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, most).alias("hits"))
+    """The `most` best of all partial answers of a query; a query has one part for each leaf it asked.
+
+    An entry is met once in each tree, so hits repeat; sorted, equal ones are neighbours.
+    """
+    ranked = parts.groupBy("query").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("all"))
+    fresh = F.filter("all", lambda hit, at: (at == 0) | (hit != F.get("all", at - 1)))
+    return ranked.select("query", F.slice(fresh, 1, most).alias("hits"))
 
 
 def brute_force(entries: DataFrame, keys: list[int], queries: np.ndarray, most: int) -> DataFrame:

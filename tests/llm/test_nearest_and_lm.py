@@ -198,3 +198,10 @@ def test_slopes_of_a_batch_and_room_of_scores():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+def test_hits_that_repeat_over_the_trees_are_met_once_without_comparing_all_pairs(spark):
+    parts = spark.range(0, 800).selectExpr("id % 2 as query", "transform(sequence(0, 20), i -> struct(cast(-(i + id % 97) as double) as far, i + id % 97 as id)) as hits")
+    merged = nearest._merged(parts, 30)
+    assert {r["query"]: [(h["far"], h["id"]) for h in r["hits"]] for r in merged.collect()} == {q: [(-float(i), i) for i in range(116, 86, -1)] for q in (0, 1)}
+    assert "array_distinct" not in merged._jdf.queryExecution().optimizedPlan().toString()
