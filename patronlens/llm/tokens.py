@@ -12,6 +12,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The split rule and white space of word_bpe_49k.json, within Latin-1 and in lower case.
 _LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085 "
@@ -61,9 +63,9 @@ class Encoder:
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(self.closing[ids])
-        last = np.cumsum([len(_PIECES.findall(w)) for w in words])
+        last = np.cumsum([1 if w.isalpha() else len(_PIECES.findall(w)) for w in words])
         if len(ends) != last[-1]:
             found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
             return np.array(list(chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
@@ -86,22 +88,29 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """int32 ids of each text; a null text has none."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        here, words, whole = [], [], []
+        here, lowered, whole = [], [], []
         for at, text in enumerate(texts):
             if not text:
                 out[at] = np.zeros(0, np.int32)
             elif self.split_here and "<|" not in text and (text.isascii() or _latin(text)) and not _NOT_SPACE.search(text):
                 here.append(at)
-                words.append(text.lower().split())
+                lowered.append(text.lower())
             else:
                 whole.append(at)
-        for at, found in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
+        for at, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
             out[at] = np.array(found.ids, np.int32)
         if here:
             if len(self.number) > CACHED_WORDS:
                 self._clear()
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+            lists = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+            counts, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+            codes, blank = flat.indices.to_numpy(), pc.index(flat.dictionary, "").as_py()
+            if blank >= 0:  # beside white space at either end of a text
+                real = codes != blank
+                counts, codes = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts)), codes[real]
+            # each distinct word of the texts is looked up once; the blank has no place among them
+            distinct = [self.number[w] if w else -1 for w in flat.dictionary.to_numpy(zero_copy_only=False)]
+            numbers = np.array(distinct, np.int64)[codes]
             self._learn()
             sizes = self.sizes[numbers]
             ends = np.cumsum(sizes)

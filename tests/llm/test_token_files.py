@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from patronlens.llm import queries, token_files
-from patronlens.llm.tokens import default_path, encoder
+from patronlens.llm.tokens import Encoder, default_path, encoder
 
 ODD = ["It's  <|endoftext|> x", "ÀÉ Straße ½ x²y", "Σίσυφος ΟΔΟΣ", "日本語 テスト", "áé", "'Tis don'T ''s !'s", "\x1c\x85\xa0x\x00y", "ﬁ œuvre İstanbul", "", "  "]
 
@@ -63,3 +63,21 @@ def test_odd_rows(spark, monkeypatch):
     assert [r.start for r in out] == np.concatenate([[0], np.cumsum([r.n_tokens for r in out])[:-1]]).tolist()
     assert all(len(r.tokens) == r.n_tokens and r.tokens[-1] == 1 for r in out)
     assert token_files.read_files(token_files.write_files(frame.limit(0))).collect() == []
+
+
+def test_words_are_looked_up_once_in_a_batch():
+    """All white space of Latin-1 between words gives the library's ids; a word that repeats in a batch is looked up once."""
+    plain, whole = Encoder(default_path()), Encoder(default_path(), False)
+    texts = [None, "", " ", "a  b\n", "\u0085x\xa0y\x0bz ", "É'll 12½ ß", "Word word wOrd " * 50]
+    assert [i.tolist() for i in plain(texts)] == [i.tolist() for i in whole(texts)]
+    asked = []
+
+    class Counted(type(plain.number)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    known, plain.number = plain.number, Counted()
+    plain.number.update(known)
+    plain(texts)
+    assert len(asked) == len(set(asked)) > 3
