@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronlens.llm.common import stored, words_of
+from patronlens.llm.common import slices, stored, words_in, words_of
 from patronlens.llm.sieve import split_by
 
 WINDOW = 10
 SEGMENT_WORDS = 500_000
 BLOCK_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 INTS, STRINGS = "array<int>", "array<string>"
 
 
@@ -44,40 +44,50 @@ def _lists(values: pa.Array | np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _by_code(code: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative codes, by their lower and then their upper 16 bits."""
+    order = np.argsort(code.astype(np.uint16), kind="stable")
+    upper = (code >> 16).astype(np.uint16)
+    return order[np.argsort(upper[order], kind="stable")] if upper.any() else order
+
+
 def build_index(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Segments of the inverted index; the columns `keep` of the documents stay with them as lists."""
     used = documents.select(*keep, F.col(text).alias("_text"))
 
-    def segment(number: int, kept: list[list], words: list[list[str]], kinds: list[pa.DataType]) -> pa.RecordBatch:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def segment(number: int, held: list[tuple[list[pa.Array], pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        kept = [pa.concat_arrays(columns) for columns in zip(*(k for k, _, _ in held), strict=True)]
+        sizes = np.concatenate([s for _, _, s in held])
         begins = np.concatenate([[0], np.cumsum(sizes + 1)])  # a gap after each document
-        flat = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+        flat = pa.concat_arrays([w for _, w, _ in held]).dictionary_encode()
         code = flat.indices.to_numpy(zero_copy_only=False)
-        place = np.arange(len(code)) + np.repeat(np.arange(len(words)), sizes)
-        order = np.argsort(code, kind="stable")
+        place = np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)
+        order = _by_code(code)
         ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(flat.dictionary)))])
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *(_lists(pa.array(k, t), t) for k, t in zip(kept, kinds, strict=True)), _lists(begins, pa.int32()), _lists(flat.dictionary, pa.string()), _lists(ends, pa.int32()), _lists(place[order], pa.int32())],
+            [pa.array([number], pa.int64()), *(_lists(k, k.type) for k in kept), _lists(begins, pa.int32()), _lists(flat.dictionary, pa.string()), _lists(ends, pa.int32()), _lists(place[order], pa.int32())],
             ["segment", *keep, "begins", "terms", "ends", "positions"],
         )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        kept, words, held, kinds = [[] for _ in keep], [], 0, []
-        for batch in batches:
-            kinds = [batch.schema.field(k).type for k in keep]
-            values = [batch.column(k).to_pylist() for k in keep]
-            for row, one in enumerate(batch.column("_text")):
-                own = words_of(one.as_py())
-                if words and held + len(own) > SEGMENT_WORDS:
-                    yield segment(number, kept, words, kinds)
-                    number, kept, words, held = number + 1, [[] for _ in keep], [], 0
-                words.append(own)
-                held += len(own)
-                for into, v in zip(kept, values, strict=True):
-                    into.append(v[row])
-        if words:
-            yield segment(number, kept, words, kinds)
+        number, held, rows, words = TaskContext.get().partitionId() << 32, [], 0, 0
+        for part in slices(batches, "_text", BATCH_BYTES):
+            flat, sizes = words_in(part.column("_text"))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+
+            def take(begin: int, end: int, part=part, flat=flat, sizes=sizes, ends=ends) -> None:
+                held.append(([part.column(k).slice(begin, end - begin) for k in keep], flat.slice(ends[begin], ends[end] - ends[begin]), sizes[begin:end]))
+
+            begin = 0
+            for row, own in enumerate(sizes.tolist()):
+                if rows and words + own > SEGMENT_WORDS:
+                    take(begin, row)
+                    yield segment(number, held)
+                    number, held, rows, words, begin = number + 1, [], 0, 0, row
+                rows, words = rows + 1, words + own
+            take(begin, len(sizes))
+        if rows:
+            yield segment(number, held)
 
     lists = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in used.schema.fields[:-1])
     return used.mapInArrow(build, f"segment long, {lists}, begins {INTS}, terms {STRINGS}, ends {INTS}, positions {INTS}")

@@ -66,7 +66,7 @@ def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten().dictionary_encode()
     sizes, codes = lists.value_lengths().to_numpy().astype(np.int64), flat.indices.to_numpy().astype(np.int64)
-    words = flat.dictionary.cast(pa.binary()).to_pylist()
+    words = flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     owner = np.repeat(np.arange(len(sizes)), sizes)
     blank = pc.index(flat.dictionary, "").as_py()
     if blank >= 0:  # beside white space at either end of a text

@@ -2,11 +2,13 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from patronlens.checks.harness import compare, duck
 from patronlens.llm import decontamination, queries
-from patronlens.llm.common import words_of
+from patronlens.llm.common import words_in, words_of
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,3 +69,17 @@ def test_proximity(spark):
 def test_digest_of_no_item(spark):
     rows = queries.QUERIES["op2_decontamination"](spark, FOLDER).where("not contaminated").collect()
     assert rows and {r.items_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_words_by_column_are_the_words_of_each_text():
+    texts = [None, "", "a", "Bc", " d\x00É[e`F{g\x7f", "中 文 x", "-", "z9", "9z."]
+    for column in (pa.array(texts), pa.array([*texts, "q"]).slice(2), pa.array([], pa.string())):
+        words, sizes = words_in(column)
+        words.validate(full=True)
+        ends = np.cumsum(sizes)
+        assert [words.to_pylist()[e - n : e] for e, n in zip(ends, sizes, strict=True)] == [words_of(t) for t in column.to_pylist()]
+
+
+def test_order_of_codes_beyond_sixteen_bits():
+    code = np.random.default_rng(1).integers(0, 200_000, 50_000).astype(np.int32)
+    assert (decontamination._by_code(code) == np.argsort(code, kind="stable")).all()
