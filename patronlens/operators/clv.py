@@ -62,8 +62,11 @@ def _cycle(value: Column, period: float, wave) -> Column:
     return F.coalesce(wave(F.lit(2 * math.pi) * value / F.lit(float(period))), F.lit(0.0))
 
 
-def build_features(profiles: DataFrame, affinity: DataFrame, names: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Feature columns as doubles, one row per customer; only the asked ones are computed."""
+def build_features(profiles: DataFrame, affinity: DataFrame | None, names: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Feature columns as doubles, one row per customer; only the asked ones are computed.
+
+    Profiles that hold the columns of the leading category need no affinity.
+    """
     names = names_of() if names is None else names
     c = F.col
     sessions, tenure = c("total_sessions"), c("tenure_days")
@@ -86,7 +89,7 @@ def build_features(profiles: DataFrame, affinity: DataFrame, names: Sequence[str
     for name, value, period in (("last_month", F.month(last), 12), ("last_doy", F.dayofyear(last), 365), ("pref_dow", dow, 7), ("pref_hour", hour, 24)):
         made[f"{name}_sin"], made[f"{name}_cos"] = _cycle(value, period, F.sin), _cycle(value, period, F.cos)
     base = profiles
-    if any(n in names for n in FEATURES["category"][1:]):
+    if any(n in names and n not in profiles.columns for n in FEATURES["category"][1:]):
         base = profiles.join(top_level_categories(affinity), "customer_id", "left")
     kept = [c(n).alias(f"_{n}") if n in names else c(n) for n in keep]
     return base.select("customer_id", *kept, *[made.get(n, c(n)).cast("double").alias(n) for n in names])
@@ -123,7 +126,7 @@ def estimator(config: TrainingConfig, n_rows: int) -> Estimator:
     raise ValueError(f"unknown model {config.model!r}")
 
 
-def training_table(profiles: DataFrame, affinity: DataFrame, config: TrainingConfig) -> DataFrame:
+def training_table(profiles: DataFrame, affinity: DataFrame | None, config: TrainingConfig) -> DataFrame:
     """Features, target and time of every customer as one materialised vector table."""
     rows = build_features(profiles.withColumn("target", F.col(config.target).cast("double")), affinity, config.names, keep=("target", "last_seen"))
     return cut(as_vectors(rows, config.names).select("customer_id", "target", "last_seen", "features"))
@@ -140,11 +143,11 @@ def time_folds(table: DataFrame, splits: int = 5) -> DataFrame:
     n = splits + 1
     # the first fold takes the remainder, as in an expanding-window split with equal test folds
     marks = order_statistics(stamped, "_t", {f"b{i}": (i, n) for i in range(1, n)}, position=lambda rows, i, parts: rows - (parts - i) * F.floor(rows / parts))
-    tagged = stamped.withColumn("_b", marks.select(F.struct("*")).scalar())
+    borders = marks.first()  # `splits` numbers
     fold = F.lit(0)
     for i in range(1, n):
-        fold = fold + (F.col("_t") >= F.col(f"_b.b{i}")).cast("int")
-    return tagged.withColumn("fold", fold).drop("_t", "_b")
+        fold = fold + (F.col("_t") >= F.lit(borders[f"b{i}"]).cast("bigint")).cast("int")
+    return stamped.withColumn("fold", fold).drop("_t")
 
 
 def metrics(predicted: DataFrame, actual: str = "target", guess: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -197,10 +200,10 @@ def _fold_metrics(predicted: DataFrame) -> DataFrame:
 def cross_validate(table: DataFrame, config: TrainingConfig) -> DataFrame:
     """Metrics per fold of an expanding-window split; each model sees only earlier rows.
 
-    Ridge fits of all folds come from one scan, and one more scores them. Trees have no such
+    Ridge fits of all folds come from one scan, and one more scores them, both of the given table. Trees have no such
     sums; their fits start together from one materialised table and share the cluster.
     """
-    folds = cut(time_folds(table, config.splits))
+    folds = time_folds(table, config.splits)
     if config.model == "ridge" and not set(config.params) - {"alpha"}:
         fits = ridge_folds(folds, config.splits, config.params.get("alpha", 1.0))
         betas = F.array(*[F.array(*[F.lit(float(v)) for v in (b, *beta)]) for beta, b in fits])
@@ -208,6 +211,8 @@ def cross_validate(table: DataFrame, config: TrainingConfig) -> DataFrame:
         guess = F.aggregate(F.zip_with(x, betas[F.col("fold") - 1], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return _fold_metrics(folds.where("fold > 0").select("fold", "target", guess.alias("prediction")))
 
+    folds = cut(folds)
+
     def score(i: int) -> DataFrame:
         past = folds.where(F.col("fold") < i)
         model = estimator(config, past.count()).fit(past)
@@ -246,7 +251,7 @@ class Predictor:
     kind: str
     version: str = "v1"
 
-    def predict(self, profiles: DataFrame, affinity: DataFrame, top: int = 5) -> DataFrame:
+    def predict(self, profiles: DataFrame, affinity: DataFrame | None, top: int = 5) -> DataFrame:
         """Non-negative prediction in cents, confidence and the features that weigh most."""
         rows = as_vectors(build_features(profiles, affinity, self.names), self.names)
         forest = isinstance(self.model, RandomForestRegressionModel)
@@ -301,7 +306,7 @@ def leaf_table(model: RandomForestRegressionModel) -> DataFrame:
     return nodes.select("tree", place.alias("leaf"), F.col("prediction").alias("guess"))
 
 
-def train(profiles: DataFrame, affinity: DataFrame, config: TrainingConfig = TrainingConfig(), version: str = "v1") -> tuple[Predictor, DataFrame]:
+def train(profiles: DataFrame, affinity: DataFrame | None, config: TrainingConfig = TrainingConfig(), version: str = "v1") -> tuple[Predictor, DataFrame]:
     """Final model over all rows, with its metrics on them."""
     table = training_table(profiles, affinity, config)
     model = estimator(config, table.count()).fit(table)
@@ -309,7 +314,7 @@ def train(profiles: DataFrame, affinity: DataFrame, config: TrainingConfig = Tra
     return Predictor(model, config.names, weights, config.model, version), metrics(model.transform(table))
 
 
-def train_with_holdout(profiles: DataFrame, affinity: DataFrame, config: TrainingConfig = TrainingConfig(), fraction: float = 0.2):
+def train_with_holdout(profiles: DataFrame, affinity: DataFrame | None, config: TrainingConfig = TrainingConfig(), fraction: float = 0.2):
     """Model of the earlier rows and its metrics on the most recent ones."""
     past, recent = time_holdout(training_table(profiles, affinity, config), fraction)
     model = estimator(config, past.count()).fit(past)

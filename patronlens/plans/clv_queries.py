@@ -8,7 +8,7 @@ from patronlens.checks.base_sql import profiles as profiles_sql, with_
 from patronlens.functions.columns import r6
 from patronlens.functions.lineage import cut
 from patronlens.operators import clv, clustering
-from patronlens.plans.inputs import shop_affinity, shop_profiles, web_affinity, web_profiles
+from patronlens.plans.inputs import shop_profiles, web_profiles
 from patronlens.plans.registry import query
 from patronlens.plans.report_queries import tidy
 from patronlens.plans.segment_queries import members
@@ -45,10 +45,10 @@ def features_sql(names, source: str) -> str:
 
 for _group, _names in clv.FEATURES.items():
     query(f"clv_{_group}_features", features_sql(_names, "web"))(
-        lambda spark, folder, n=_names: tidy(clv.build_features(web_profiles(spark, folder), web_affinity(spark, folder), n)))
+        lambda spark, folder, n=_names: tidy(clv.build_features(web_profiles(spark, folder, leading=True), None, n)))
 
 query("clv_feature_matrix", features_sql(clv.names_of(), "shop"))(
-    lambda spark, folder: tidy(clv.build_features(shop_profiles(spark, folder), shop_affinity(spark, folder))))
+    lambda spark, folder: tidy(clv.build_features(shop_profiles(spark, folder, leading=True), None)))
 
 
 @query("clv_regression_metrics", with_(profiles_sql("shop"), select="""
@@ -74,7 +74,7 @@ _BETA = {"total_sessions": 120.5, "interval_mean": -3.25, "churn_risk_score": -5
     f"SELECT customer_id, '{n}' AS feature, round({b} * (v - avg(v) OVER ()), 4) AS contribution FROM (SELECT customer_id, CAST(coalesce({n}, -1) AS DOUBLE) AS v FROM profiles)"
     for n, b in _BETA.items())))
 def clv_linear_contributions(spark, folder):
-    rows = cut(clv.build_features(shop_profiles(spark, folder), shop_affinity(spark, folder), tuple(_BETA)))
+    rows = cut(clv.build_features(shop_profiles(spark, folder, leading=True), None, tuple(_BETA)))
     found = clv.linear_contributions(rows, tuple(_BETA), tuple(_BETA.values()))
     return tidy(found.withColumn("contribution", F.round("contribution", 4)))
 
@@ -90,7 +90,7 @@ def _config(model: str) -> clv.TrainingConfig:
 def clv_models(spark, folder):
     out = None
     for model in _MODELS:
-        _, found = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), _config(model))
+        _, found = clv.train(shop_profiles(spark, folder, leading=True), None, _config(model))
         row = found.withColumn("model", F.lit(model))
         out = row if out is None else out.unionByName(row)
     return out
@@ -123,25 +123,25 @@ SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, round(avg(abs(y - p)) / 1000
   round(avg(abs((y - p) / y)) FILTER (WHERE y <> 0), 4) AS mape FROM guess GROUP BY 1"""))
 def clv_cross_validation(spark, folder):
     config = _config("ridge")
-    found = clv.cross_validate(clv.training_table(shop_profiles(spark, folder), shop_affinity(spark, folder), config), config)
+    found = clv.cross_validate(clv.training_table(shop_profiles(spark, folder, leading=True), None, config), config)
     scale = {"mae": 1000, "rmse": 1000, "r2": 1, "mape": 100}
     return found.select("fold", "n", *[F.round(F.col(c) / d, 4).alias(c) for c, d in scale.items()])
 
 
 @query("clv_holdout")
 def clv_holdout(spark, folder):
-    return clv.train_with_holdout(shop_profiles(spark, folder), shop_affinity(spark, folder), _config("random_forest"))[1]
+    return clv.train_with_holdout(shop_profiles(spark, folder, leading=True), None, _config("random_forest"))[1]
 
 
 @query("clv_importances")
 def clv_importances(spark, folder):
-    predictor, _ = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), _config("random_forest"))
+    predictor, _ = clv.train(shop_profiles(spark, folder, leading=True), None, _config("random_forest"))
     return spark.createDataFrame(list(predictor.weights), "feature string, importance double")
 
 
 def _predictions(spark, folder):
-    predictor, _ = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), _config("random_forest"))
-    return predictor.predict(shop_profiles(spark, folder), shop_affinity(spark, folder))
+    predictor, _ = clv.train(shop_profiles(spark, folder, leading=True), None, _config("random_forest"))
+    return predictor.predict(shop_profiles(spark, folder, leading=True), None)
 
 
 @query("clv_predictions")
@@ -167,7 +167,7 @@ def clv_top_features(spark, folder):
 
 @query("clv_ablation_importance")
 def clv_ablation_importance(spark, folder):
-    predictor, _ = clv.train(shop_profiles(spark, folder), shop_affinity(spark, folder), _config("random_forest"))
-    rows = clv.build_features(shop_profiles(spark, folder), shop_affinity(spark, folder), predictor.names)
+    predictor, _ = clv.train(shop_profiles(spark, folder, leading=True), None, _config("random_forest"))
+    rows = clv.build_features(shop_profiles(spark, folder, leading=True), None, predictor.names)
     return clv.global_importance(clv.ablation_contributions(predictor.model, rows, predictor.names)).select(
         "feature", r6(F.col("importance")).alias("importance"))

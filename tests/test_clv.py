@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from patronlens.operators import clv
+from patronlens.operators import clv, profiles
 from patronlens.plans import clv_queries, inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -122,3 +122,17 @@ def test_time_folds_and_holdout_follow_positions(spark):
     assert folds == {0: 254, 1: 250, 2: 250, 3: 250, 4: 250, 5: 250}
     past, recent = clv.time_holdout(table, 0.2)
     assert (past.count(), recent.count()) == (1203, 301)
+
+
+def test_queries_take_the_leading_category_from_the_pass_of_the_profiles(spark, people, monkeypatch):
+    """The same features as from the affinities, without a second pass over the events or their table."""
+    names = ("category_count", *profiles.LEADING)
+    rows = inputs.shop_profiles(spark, FOLDER, leading=True)
+    got, want = ({r["customer_id"]: r for r in clv.build_features(p, a, names).collect()} for p, a in ((rows, None), people))
+    assert got.keys() == want.keys() and any(r["top_category_purchases"] for r in want.values())
+    for customer, r in want.items():
+        assert all(got[customer][n] == pytest.approx(r[n], rel=1e-12) for n in names)
+    assert not set(profiles.LEADING) & set(people[0].columns)
+    monkeypatch.setattr(inputs, "_WRITTEN", {})
+    clv_queries.clv_cross_validation(spark, FOLDER).collect()
+    assert {name for _, _, name in inputs._WRITTEN} == {"shop_profiles"}
