@@ -53,7 +53,8 @@ class _Model:
     """Adaptive state of a block; the same calls in the same order on both sides."""
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.counts = np.ones(vocabulary, np.int64)
+        self.counts, self.total = np.ones(vocabulary, np.int64), vocabulary
+        self.sums = np.zeros(vocabulary + 1, np.int64)
         self.step = max(1, (1 << 21) // max(lanes, 1) // 16)
         self.guess = [np.zeros(vocabulary, np.int32), np.zeros(1 << HASH_BITS, np.int32)]
         self.sure = [np.zeros(vocabulary, np.int8), np.zeros(1 << HASH_BITS, np.int8)]
@@ -94,15 +95,32 @@ class _Model:
             hit = guess == ids
             self.sure[order][at] = _SURER.take((hit.view(np.int8) << 3) | sure)
             self.guess[order][at] = np.where(hit | (sure > 1), guess, ids)
-        self.counts += np.bincount(ids, minlength=len(self.counts)) * self.step
-        if self.counts.sum() > 1 << 22:
+        np.add.at(self.counts, ids, self.step)
+        self.total += n * self.step
+        if self.total > 1 << 22:
             self.counts = (self.counts >> 1) + 1
+            self.total = int(self.counts.sum())
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
 
     def frequencies(self) -> np.ndarray:
-        """Cumulative order-0 counts, with the total at the end."""
-        return np.concatenate([[0], np.cumsum(self.counts)]).astype(np.uint64)
+        """Cumulative order-0 counts, with the total at the end; until the next call."""
+        np.cumsum(self.counts, out=self.sums[1:])
+        return self.sums.view(np.uint64)
+
+
+def _divided(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """a // b for a below 2^52, where the quotient as a double never reaches the next whole number."""
+    return (a / b).astype(np.uint64)
+
+
+def _places(sums: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The last place of each value in the rising sums; sorted values meet neighbouring memory."""
+    bits = max(len(values) - 1, 1).bit_length()
+    packed = np.sort((values << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64))
+    out = np.empty(len(values), np.int64)
+    out[(packed & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.searchsorted(sums, packed >> np.uint64(bits), "right") - 1
+    return out
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -120,7 +138,7 @@ class _Writer:
     def put(self, lanes: np.ndarray | slice, begin: np.ndarray, size: np.ndarray, total: int | None) -> None:
         """Narrow the ranges of the lanes to [begin, begin + size) of the total (None: 2^16)."""
         low, span = self.low[lanes], self.range[lanes]
-        part = span >> np.uint64(16) if total is None else span // np.uint64(total)
+        part = span >> np.uint64(16) if total is None else _divided(span, total)
         low = low + part * begin
         span = part * size
         which = np.arange(len(self.low))[lanes]
@@ -195,16 +213,18 @@ def decode_block(payload: bytes) -> np.ndarray:
 
     def narrow(lanes_: np.ndarray | slice, part: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         value, width, place = code[lanes_] - part * begin, part * size, at[lanes_]
-        short = width < _TOP
-        value = np.where(short, (value << np.uint64(16)) | stream[np.minimum(place, len(stream) - 1)], value)
-        code[lanes_], span[lanes_], at[lanes_] = value, np.where(short, width << np.uint64(16), width), place + short
+        short = np.flatnonzero(width < _TOP)
+        value[short] = (value[short] << np.uint64(16)) | stream[np.minimum(place[short], len(stream) - 1)]
+        width[short] <<= np.uint64(16)
+        place[short] += 1
+        code[lanes_], span[lanes_], at[lanes_] = value, width, place
 
     for step in range(steps):
         live = lanes if step < last else lanes - 1
         model.predict(live)
         s2, s1 = model.second_share, model.first_share
         part = span[:live] >> np.uint64(16)
-        value = np.minimum(code[:live] // part, np.uint64(65535)).astype(np.int64)
+        value = np.minimum(_divided(code[:live], part), np.uint64(65535)).astype(np.int64)
         outcome = np.where(value < s2, 2, (value < s2 + s1).astype(np.int64))
         begin = np.where(outcome == 2, 0, np.where(outcome == 1, s2, s2 + s1))
         size = np.where(outcome == 2, s2, np.where(outcome == 1, s1, 65536 - s2 - s1))
@@ -213,9 +233,9 @@ def decode_block(payload: bytes) -> np.ndarray:
         rest = np.flatnonzero(outcome == 0)
         if len(rest):
             sums = model.frequencies()
-            part = span[rest] // sums[-1]
-            value = np.minimum(code[rest] // part, sums[-1] - np.uint64(1))
-            left = np.searchsorted(sums, value, "right") - 1
+            part = _divided(span[rest], model.total)
+            value = np.minimum(_divided(code[rest], part), sums[-1] - np.uint64(1))
+            left = _places(sums, value)
             narrow(rest, part, sums[left], sums[left + 1] - sums[left])
             own[rest] = left
         grid[step, :live] = own

@@ -21,6 +21,8 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LE
 #: Characters that str.split takes as white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 CACHED_WORDS = 1_000_000
+#: Unknown words that the tokenizer gets as one text; its work on a text grows a little faster than the text.
+JOINED_WORDS = 50
 END = 1
 
 
@@ -63,7 +65,8 @@ class Encoder:
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        texts = [" ".join(words[at : at + JOINED_WORDS]) for at in range(0, len(words), JOINED_WORDS)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))), np.int32)
         ends = np.flatnonzero(self.closing[ids])
         last = np.cumsum([1 if w.isalpha() else len(_PIECES.findall(w)) for w in words])
         if len(ends) != last[-1]:
@@ -109,13 +112,14 @@ class Encoder:
                 real = codes != blank
                 counts, codes = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts)), codes[real]
             # each distinct word of the texts is looked up once; the blank has no place among them
-            distinct = [self.number[w] if w else -1 for w in flat.dictionary.to_numpy(zero_copy_only=False)]
-            numbers = np.array(distinct, np.int64)[codes]
+            distinct = np.array([self.number[w] if w else -1 for w in flat.dictionary.to_numpy(zero_copy_only=False)], np.int64)
             self._learn()
-            sizes = self.sizes[numbers]
+            held = np.where(distinct < 0, 0, self.sizes[distinct])
+            # the ids of these words alone are a small table, and so are their places there
+            table, begins = _gathered(self.flat, self.begins[distinct], held), np.cumsum(held) - held
+            sizes = held.take(codes)
             ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.flat[np.arange(total) + np.repeat(self.begins[numbers] - ends + sizes, sizes)]
+            ids = _gathered(table, begins.take(codes), sizes)
             last = np.concatenate([[0], ends])[np.cumsum(counts)]
             begin = 0
             for at, end in zip(here, last.tolist(), strict=True):
@@ -128,6 +132,16 @@ class Encoder:
         return [np.append(ids, np.int32(end)) for ids in self(texts)]
 
 
+def _gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` from `begins`, of the given sizes, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begins - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat.take(at)
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")

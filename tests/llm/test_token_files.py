@@ -81,3 +81,24 @@ def test_words_are_looked_up_once_in_a_batch():
     plain.number.update(known)
     plain(texts)
     assert len(asked) == len(set(asked)) > 3
+
+
+def test_places_and_quotients_are_those_of_whole_numbers():
+    """Sorted look-ups and division as doubles give the very integers, next to every border too."""
+    rng = np.random.default_rng(3)
+    sums = np.concatenate([[0], np.cumsum(rng.integers(1, 90, 49_000))]).astype(np.uint64)
+    values = np.concatenate([sums[:-1], sums[1:] - np.uint64(1), rng.integers(0, int(sums[-1]), 9_000).astype(np.uint64)])
+    assert (token_files._places(sums, values) == np.searchsorted(sums, values, "right") - 1).all()
+    assert token_files._places(sums, values[:1]).tolist() == [0]
+    below = rng.integers(1, 1 << 32, 20_000).astype(np.uint64)
+    whole = rng.integers(1, 1 << 16, 20_000).astype(np.uint64)
+    for a in (below * whole, below * whole - np.uint64(1), below * whole + np.uint64(1)):
+        assert (token_files._divided(a, below) == a // below).all()
+
+
+def test_faster_coding_gives_the_same_payload():
+    """The payload of a fixed block, as the plain integer code gave it."""
+    rng = np.random.default_rng(5)
+    ids = np.where(rng.random(60_000) < 0.4, rng.zipf(1.3, 60_000) % 4_000, np.arange(60_000) % 37)
+    payload = token_files.encode_block(ids)
+    assert (len(payload), zlib.crc32(payload)) == (49768, 2936827910) and (token_files.decode_block(payload) == ids).all()
