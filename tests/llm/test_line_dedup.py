@@ -194,3 +194,28 @@ def test_words_of_a_line_are_found_once_and_only_lines_with_room_take_the_wide_c
     assert sorted((r["id"], len(set(r["words"]))) for r in long_lines.collect()) == [(1, 241), (3, 241)]
     conditions = [line for line in every._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
     assert conditions and not any("split(lower" in line for line in conditions)
+
+
+def test_lines_of_few_words_and_very_many_pairs_of_letters(spark):
+    """Lines without blanks, or of four to six words, whose pairs of letters need the wide counters."""
+    rnd = random.Random(3)
+
+    def run(n):
+        return "".join(chr(0x4E00 + rnd.randrange(9_000)) for _ in range(n))
+
+    rows = []
+    for one in (run(239), run(240), run(600), "\U00020000" * 3 + run(300), " ".join(run(200) for _ in range(3)), " ".join([run(30) for _ in range(3)] + [run(4_000)]), " ".join(run(60) for _ in range(6)), " ".join([run(40) for _ in range(6)])):
+        rows += [(len(rows), one), (len(rows) + 1, one[:50] + "\u9fa0" + one[51:]), (len(rows) + 2, one)]
+    got = {r.doc_id: r.n_removed for r in _run(spark, rows).collect()}
+    assert got == {i: int(i % 3 > 0) for i in range(len(rows))}
+
+
+def test_pairs_of_letters_of_long_lines_vote(spark):
+    words = {n: ["".join(chr(0x4E00 + i) for i in range(n))] for n in (239, 240, 241, 5_000)}
+    frame = spark.createDataFrame(list(words.items()), "n int, words array<string>")
+    rows = line_dedup.with_simhash(frame, ["n"], "words").collect()
+    assert sorted(r.n for r in spark.createDataFrame([(r.kind,) for r in rows], "n int").collect()) == [line_dedup.LETTERS] * 4
+    long_lines = line_dedup.line_table(spark.createDataFrame([(n, own[0]) for n, own in words.items()], "doc_id long, text string"), "doc_id", "text", 2 * line_dedup.WIDE)
+    assert sorted(r["id"] for r in long_lines.collect()) == [240, 241, 5_000]
+    for row, (n, own) in zip(sorted(rows, key=lambda r: r.features), sorted(words.items()), strict=False):
+        assert row.features == min(n + 1, 255)
