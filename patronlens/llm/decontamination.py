@@ -2,7 +2,8 @@
 
 The index is a stored table of segments, each over the words of neighbouring documents: the
 term list, the postings of every term (ascending word positions in the segment), and where
-each document begins. A query phrase starts from the postings of its rarest term over the
+each document begins. Terms and postings are binary cells, which the JVM passes on as they are,
+and `ROW_GROUP` segments are one row group, so that a reading task holds few at a time. A query phrase starts from the postings of its rarest term over the
 whole corpus, shifted by the term's offset, and is intersected with the shifted postings of
 the next rarer terms; positions within `slop` of their place give proximity matches.
 
@@ -35,6 +36,8 @@ WINDOW = 10
 SEGMENT_WORDS = 500_000
 BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 1 << 20
+#: Segments of a Parquet row group; without it a task keeps at least a hundred of them before it looks at their size.
+ROW_GROUP = 2
 INTS, STRINGS = "array<int>", "array<string>"
 
 
@@ -44,6 +47,29 @@ def _lists(values: pa.Array | np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _cell(data: bytes | pa.Buffer) -> pa.Array:
+    """One binary cell, filled up to full eighths so that the next one begins at an even address."""
+    data = pa.py_buffer(data)
+    if data.size % 8:
+        data = pa.py_buffer(data.to_pybytes() + bytes(-data.size % 8))
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], np.int32)), data])
+
+
+def _packed_terms(terms: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The terms and where the postings of each end."""
+    batch = pa.RecordBatch.from_arrays([terms, pa.array(ends, pa.int32())], ["term", "end"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return _cell(sink.getvalue())
+
+
+def _terms(cell: pa.BinaryScalar) -> tuple[pa.Array, np.ndarray]:
+    """The terms of a segment, and their postings' borders."""
+    batch = pa.ipc.open_stream(cell.as_buffer()).read_next_batch()
+    return batch.column("term"), np.concatenate([[0], batch.column("end").to_numpy()])
+
+
 def _by_code(code: np.ndarray) -> np.ndarray:
     """Stable order of non-negative codes, by their lower and then their upper 16 bits."""
     order = np.argsort(code.astype(np.uint16), kind="stable")
@@ -63,10 +89,10 @@ def build_index(documents: DataFrame, keep: list[str], text: str = "text") -> Da
         code = flat.indices.to_numpy(zero_copy_only=False)
         place = np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)
         order = _by_code(code)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(flat.dictionary)))])
+        ends = np.cumsum(np.bincount(code, minlength=len(flat.dictionary)))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *(_lists(k, k.type) for k in kept), _lists(begins, pa.int32()), _lists(flat.dictionary, pa.string()), _lists(ends, pa.int32()), _lists(place[order], pa.int32())],
-            ["segment", *keep, "begins", "terms", "ends", "positions"],
+            [pa.array([number], pa.int64()), *(_lists(k, k.type) for k in kept), _lists(begins, pa.int32()), _packed_terms(flat.dictionary, ends), _cell(place[order].astype(np.int32))],
+            ["segment", *keep, "begins", "terms", "positions"],
         )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +116,7 @@ def build_index(documents: DataFrame, keep: list[str], text: str = "text") -> Da
             yield segment(number, held)
 
     lists = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in used.schema.fields[:-1])
-    return used.mapInArrow(build, f"segment long, {lists}, begins {INTS}, terms {STRINGS}, ends {INTS}, positions {INTS}")
+    return used.mapInArrow(build, f"segment long, {lists}, begins {INTS}, terms binary, positions binary")
 
 
 def windows_of(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -125,15 +151,15 @@ def term_counts(index: DataFrame, terms: list[str]) -> dict[str, int]:
         wanted, total = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                at = pc.index_in(wanted, value_set=batch.column("terms")[row].values)
-                ends = batch.column("ends")[row].values.to_numpy()
+                held, ends = _terms(batch.column("terms")[row])
+                at = pc.index_in(wanted, value_set=held)
                 known = np.flatnonzero(at.is_valid())
                 here = at.drop_null().to_numpy()
                 total[known] += ends[here + 1] - ends[here]
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
 
-    rows = index.select("terms", "ends").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = index.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     return {terms[r["term"]]: r["n"] for r in rows}  # at most one row for each given term
 
 
@@ -186,8 +212,9 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
             wanted = pa.array(terms, pa.string())
             for batch in batches:
                 for row in range(batch.num_rows):
-                    here = pc.fill_null(pc.index_in(wanted, value_set=batch.column("terms")[row].values), -1).to_numpy()
-                    ends, positions, begins = (batch.column(c)[row].values.to_numpy() for c in ("ends", "positions", "begins"))
+                    held, ends = _terms(batch.column("terms")[row])
+                    here = pc.fill_null(pc.index_in(wanted, value_set=held), -1).to_numpy()
+                    positions, begins = np.frombuffer(batch.column("positions")[row].as_buffer(), np.int32), batch.column("begins")[row].values.to_numpy()
                     firsts, lasts, owners = [], [], []
                     for at, (ids, offsets, _) in enumerate(plans):
                         known = here[ids]
@@ -224,7 +251,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
                         "items": pa.array(items, pa.list_(pa.string())),
                     })
 
-        columns = index.select("segment", "begins", "terms", "ends", "positions")
+        columns = index.select("segment", "begins", "terms", "positions")
         found.append(columns.mapInArrow(match, f"segment long, ordinal int, spans array<struct<first: int, end: int>>, items {STRINGS}"))
     # one row for each document and block, so the lists below hold at most one entry a block
     return reduce(DataFrame.union, found).groupBy("segment", "ordinal").agg(
@@ -234,7 +261,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 
 def contamination(documents: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, slop: int = 0, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For every document: `keep`, n_words, n_hit (words inside matches), items (their ids), contaminated."""
-    index = stored(build_index(documents, keep, text))
+    index = stored(build_index(documents, keep, text), options={"parquet.block.row.count.limit": str(ROW_GROUP), "parquet.page.size.row.check.min": "1"})
     matches = search(index, stored(windows_of(items, window, item_id, item_text)), slop)
     rows = index.select("segment", "begins", F.posexplode(F.arrays_zip(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keep)])).alias("ordinal", "_kept")).select(
         "segment", "ordinal", (F.element_at("begins", F.col("ordinal") + 2) - F.element_at("begins", F.col("ordinal") + 1) - 1).cast("long").alias("_n"), "_kept"

@@ -1,14 +1,16 @@
 """Positional index against SQL and brute force; odd rows, segments, blocks and proximity."""
 
 import hashlib
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from patronlens.checks.harness import compare, duck
 from patronlens.llm import decontamination, queries
-from patronlens.llm.common import words_in, words_of
+from patronlens.llm.common import stored, words_in, words_of
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -83,3 +85,26 @@ def test_words_by_column_are_the_words_of_each_text():
 def test_order_of_codes_beyond_sixteen_bits():
     code = np.random.default_rng(1).integers(0, 200_000, 50_000).astype(np.int32)
     assert (decontamination._by_code(code) == np.argsort(code, kind="stable")).all()
+
+
+def test_a_file_of_many_segments_has_small_row_groups(spark, monkeypatch):
+    """A task that reads the index holds a few segments at a time, however many its file has."""
+    monkeypatch.setattr(decontamination, "SEGMENT_WORDS", 15)
+    kept = []
+    monkeypatch.setattr(decontamination, "stored", lambda frame, *args, **more: kept.append(stored(frame, *args, **more)) or kept[-1])
+    docs = spark.createDataFrame([(i, f"some ten words of text {i} that go on and on") for i in range(60)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "text 7 that go on and on"), (2, "on some"), (3, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.contamination(docs, items, ["doc_id"]).collect()}
+    assert got == {i: (11, 7 if i == 7 else 0) for i in range(60)}
+    [file] = [f for f in kept[0].inputFiles()]
+    groups = pq.ParquetFile(unquote(urlparse(file).path)).metadata
+    assert groups.num_rows == 60 and max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) == decontamination.ROW_GROUP
+
+
+def test_cells_of_terms_and_postings():
+    terms, ends = pa.array(["b", "aä", "c"]), np.array([1, 4, 5])
+    cells = pa.concat_arrays([decontamination._packed_terms(terms, ends), decontamination._cell(np.arange(5, dtype=np.int32))])
+    assert [len(c.as_py()) % 8 for c in cells] == [0, 0]
+    back, borders = decontamination._terms(cells[0])
+    assert back.equals(terms) and borders.tolist() == [0, 1, 4, 5]
+    assert np.frombuffer(cells[1].as_buffer(), np.int32)[:5].tolist() == [0, 1, 2, 3, 4]
