@@ -136,3 +136,22 @@ def test_queries_take_the_leading_category_from_the_pass_of_the_profiles(spark,
     monkeypatch.setattr(inputs, "_WRITTEN", {})
     clv_queries.clv_cross_validation(spark, FOLDER).collect()
     assert {name for _, _, name in inputs._WRITTEN} == {"shop_profiles"}
+
+
+def test_training_table_has_as_many_parts_as_its_rows_need(spark, monkeypatch):
+    many = spark.range(0, 100, 1, 40)
+    assert [clv._few_parts(many).rdd.getNumPartitions(), clv._few_parts(many.limit(0)).count()] == [1, 0]
+    monkeypatch.setattr(clv, "FEW_ROWS", 30)
+    assert clv._few_parts(many).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(clv, "MOST_ROWS", 9)
+    parts = clv._few_parts(many)
+    assert parts.rdd.getNumPartitions() == 12 and sorted(r.id for r in parts.collect()) == list(range(100))
+    monkeypatch.undo()
+    table = clv.training_table(_rows_in_parts(spark, 40), None, clv.TrainingConfig("ridge", groups=("engagement",)))
+    assert table.rdd.getNumPartitions() == 1 and table.count() == 100
+
+
+def _rows_in_parts(spark, parts):
+    counts = {n: F.col("id") % 7 for n in clv.FEATURES["engagement"]}
+    more = {"tenure_days": 3, "preferred_day_of_week": 1, "preferred_hour_of_day": 1, "total_revenue": 5, "total_purchases": 2, "days_since_last_purchase": 1, "mobile_session_ratio": 0.5, "top_category_score": 1.0, "top_category_purchases": 1.0, "category_concentration": 1.0}
+    return spark.range(0, 100, 1, parts).select(F.col("id").alias("customer_id"), *[c.alias(n) for n, c in counts.items()], *[F.lit(v).alias(n) for n, v in more.items()], F.lit("regular").alias("behavior_type"), F.timestamp_seconds("id").alias("last_seen"))
