@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patronlens.functions.columns import ratio
-from patronlens.functions.lineage import cut, shared_folder
+from patronlens.functions.lineage import cut, few_parts, shared_folder
 from patronlens.operators.features import as_vectors
 from patronlens.operators.multi_kmeans import folded, moments, rows_of
 from patronlens.operators.reports import order_statistics
@@ -41,10 +41,6 @@ FEATURES = {
 }
 
 
-#: Rows of a part of the training table: at most, and where it would have fewer parts than there are cores.
-MOST_ROWS, FEW_ROWS = 250_000, 5_000
-
-
 #: Features that give a target away: the target itself and what is computed from it.
 GIVEN_AWAY = {"total_revenue": ("total_revenue", "avg_order_value", "revenue_per_session")}
 
@@ -130,20 +126,13 @@ def estimator(config: TrainingConfig, n_rows: int) -> Estimator:
     raise ValueError(f"unknown model {config.model!r}")
 
 
-def _few_parts(table: DataFrame) -> DataFrame:
-    """The table in as many parts as its rows need; no row is shuffled.
+def training_table(profiles: DataFrame, affinity: DataFrame | None, config: TrainingConfig) -> DataFrame:
+    """Features, target and time of every customer as one materialised vector table.
 
-    Tree fits run a job for every level, and each part sends dense sums for all open nodes of it, so
-    tasks and shuffled bytes of a fit follow the number of parts, not that of the rows.
+    In a tree fit each part sends dense sums for all open nodes of a level, so its parts are few.
     """
-    rows, cores = table.count(), table.sparkSession.sparkContext.defaultParallelism
-    return table.coalesce(max(1, -(-rows // MOST_ROWS), min(cores, -(-rows // FEW_ROWS))))
-
-
-def training_table(profiles: DataFrame, affinity: DataFrame | None, config: TrainingConfig) -> DataFrame:
-    """Features, target and time of every customer as one materialised vector table."""
     rows = build_features(profiles.withColumn("target", F.col(config.target).cast("double")), affinity, config.names, keep=("target", "last_seen"))
-    return _few_parts(cut(as_vectors(rows, config.names).select("customer_id", "target", "last_seen", "features")))
+    return few_parts(cut(as_vectors(rows, config.names).select("customer_id", "target", "last_seen", "features")))
 
 
 def time_folds(table: DataFrame, splits: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from patronlens.functions import lineage
 from patronlens.operators import clv, profiles
 from patronlens.plans import clv_queries, inputs
 
@@ -140,11 +141,11 @@ def test_queries_take_the_leading_category_from_the_pass_of_the_profiles(spark,
 
 def test_training_table_has_as_many_parts_as_its_rows_need(spark, monkeypatch):
     many = spark.range(0, 100, 1, 40)
-    assert [clv._few_parts(many).rdd.getNumPartitions(), clv._few_parts(many.limit(0)).count()] == [1, 0]
-    monkeypatch.setattr(clv, "FEW_ROWS", 30)
-    assert clv._few_parts(many).rdd.getNumPartitions() == 4
-    monkeypatch.setattr(clv, "MOST_ROWS", 9)
-    parts = clv._few_parts(many)
+    assert [lineage.few_parts(many).rdd.getNumPartitions(), lineage.few_parts(many.limit(0)).count()] == [1, 0]
+    monkeypatch.setattr(lineage, "FEW_ROWS", 30)
+    assert lineage.few_parts(many).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(lineage, "MOST_ROWS", 9)
+    parts = lineage.few_parts(many)
     assert parts.rdd.getNumPartitions() == 12 and sorted(r.id for r in parts.collect()) == list(range(100))
     monkeypatch.undo()
     table = clv.training_table(_rows_in_parts(spark, 40), None, clv.TrainingConfig("ridge", groups=("engagement",)))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from patronlens.operators import clustering, features, multi_kmeans as mk
@@ -116,3 +117,12 @@ def test_model_finds_the_nearest_centre(spark, points):
     assert clustering.best_k(clustering.search_k(vectors, range(2, 7), restarts=5)) == 4
     with pytest.raises(clustering.TooFewCustomers):
         clustering.fit_kmeans(vectors.limit(2), 3)
+
+
+def test_fits_read_few_parts(spark):
+    """Every step is a job, so a small table must not keep the many parts of the profiles."""
+    frame = spark.range(0, 60, 1, 40).select(F.col("id").alias("customer_id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("x"))
+    vectors = frame.select("customer_id", array_to_vector("x").alias("features"))
+    rows = clustering._rows(vectors)
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 60
+    assert clustering.fit_kmeans(vectors, 3).cost < 1e-12
